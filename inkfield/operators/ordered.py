@@ -52,19 +52,16 @@ def ordered_scan(
     across = W.partitionBy(*keys).orderBy("_bucket")
     earlier = across.rowsBetween(W.unboundedPreceding, -1)
     carry = closing.select(
-        *parts,
+        *(F.col(p).alias(f"_at_{p}") for p in parts),
         *(F.lag(c).over(across).alias(f"_clag_{o}") for o, c in lag.items()),
         *(F.sum(f"_sum_{o}").over(earlier).alias(f"_csum_{o}") for o in total),
         *(F.last(f"_last_{o}", ignorenulls=True).over(earlier).alias(f"_clast_{o}") for o in last_known),
     )
-    same = [local[p].eqNullSafe(carry[p]) for p in parts]
-    condition = same[0]
-    for part in same[1:]:
-        condition = condition & part
-    joined = local.join(carry.select(*parts, *(c for c in carry.columns if c.startswith("_c"))), condition)
-    kept = [local[c] for c in df.columns if c != "_one"]
-    return joined.select(
-        *kept,
+    same = F.lit(True)
+    for part in parts:
+        same = same & F.col(part).eqNullSafe(F.col(f"_at_{part}"))
+    return local.join(carry, same).select(
+        *(c for c in df.columns if c != "_one"),
         *(F.when(F.col("_place") == 1, F.col(f"_clag_{o}")).otherwise(F.col(f"_lag_{o}")).alias(o) for o in lag),
         *((F.col(f"_sum_{o}") + F.coalesce(f"_csum_{o}", F.lit(0))).alias(o) for o in total),
         *(F.coalesce(f"_last_{o}", f"_clast_{o}").alias(o) for o in last_known),

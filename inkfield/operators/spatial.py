@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from inkfield.functions import geometry as g
+from inkfield.session import spread
 
 REGION_KEY = ["page_id", "x", "y", "w", "h"]
 DETECTION_BOX = ["dx", "dy", "dw", "dh"]
@@ -95,13 +96,17 @@ def grid_cells() -> Column:
 
 
 def _column_masks(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Union of row masks per (keys, sample column): a fixed-size state that combines map-side."""
+    """Union of row masks per (keys, sample column): a fixed-size state that combines map-side.
+
+    Empty ranges are dropped by the explode, not by a filter: a filter would be
+    pushed into the join with the whole range arithmetic copied into it.
+    """
     words = [f"m{i}" for i in range(g.MASK_WORDS)]
     masks = g.row_masks(F.col("r0"), F.col("r1"))
     return (
-        pairs.where(_rect_cells() > 0)
+        spread(pairs, *keys, "c0", "c1", "r0", "r1")
         .select(*keys, "c0", "c1", *(m.alias(w) for m, w in zip(masks, words)))
-        .withColumn("col", F.explode(F.sequence("c0", "c1")))
+        .withColumn("col", F.explode(F.when(F.col("c1") >= F.col("c0"), F.sequence("c0", "c1"))))
         .groupBy(*keys, "col")
         .agg(*(F.bit_or(w).alias(w) for w in words))
     )

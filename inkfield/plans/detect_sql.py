@@ -3,25 +3,25 @@
 from __future__ import annotations
 
 from inkfield.plans import views_sql as v
+from inkfield.plans.registry import SQL
 from inkfield.plans.views_sql import views
 
-SQL: dict[str, str] = {}
 
 _BOXES = [v.REGIONS, v.DETECTIONS, v.PAIRS]
 _MEASURED = [*_BOXES, v.COVERAGE, v.MEASURES]
 
 SQL["region_measures"] = views(*_MEASURED) + """
-SELECT box_id, round(coverage, 6) AS coverage, round(best_iou, 6) AS best_iou, pieces,
-  round(single, 6) AS single, touching FROM measures_v"""
+SELECT box_id, round(1e-9 + coverage, 6) AS coverage, round(1e-9 + best_iou, 6) AS best_iou, pieces,
+  round(1e-9 + single, 6) AS single, touching FROM measures_v"""
 
 _TALLY = """
 SELECT CASE WHEN grouping(kind) = 0 THEN kind WHEN grouping(background) = 0 THEN background
     WHEN grouping(language) = 0 THEN language ELSE 'all' END AS slice,
   count(*) AS regions,
   count(*) FILTER (coverage >= 0.5) AS hits,
-  round(count(*) FILTER (coverage >= 0.5) / count(*), 6) AS recall,
-  round(sum(coverage) / count(*), 6) AS mean_coverage,
-  round(count(*) FILTER (best_iou >= 0.5) / count(*), 6) AS iou_recall,
+  round(1e-9 + count(*) FILTER (coverage >= 0.5) / count(*), 6) AS recall,
+  round(1e-9 + sum(coverage) / count(*), 6) AS mean_coverage,
+  round(1e-9 + count(*) FILTER (best_iou >= 0.5) / count(*), 6) AS iou_recall,
   count(*) FILTER (pieces > 1) AS fragmented
 FROM (SELECT m.kind, CASE WHEN dark THEN 'dark bg' ELSE 'light bg' END AS background, p.language,
     coverage, best_iou, pieces FROM measures_v m JOIN pages_v p ON m.page_id = p.page_id)
@@ -30,16 +30,16 @@ GROUP BY GROUPING SETS ((kind), (background), (language), ())"""
 SQL["slice_tally"] = views(v.PAGES, *_MEASURED) + _TALLY
 
 SQL["best_match"] = views(*_BOXES) + """
-SELECT r.box_id, round(coalesce(b.best.iou, 0.0), 6) AS iou, b.best.score AS score,
-  b.best.dx AS dx, b.best.dy AS dy, round(b.best.dw, 6) AS dw, round(b.best.dh, 6) AS dh
+SELECT r.box_id, round(1e-9 + coalesce(b.best.iou, 0.0), 6) AS iou, b.best.score AS score,
+  b.best.dx AS dx, b.best.dy AS dy, round(1e-9 + b.best.dw, 6) AS dw, round(1e-9 + b.best.dh, 6) AS dh
 FROM regions_v r LEFT JOIN (
   SELECT box_id, max_by({'iou': common / (w * h + dw * dh - common), 'score': score, 'dx': dx, 'dy': dy, 'dw': dw, 'dh': dh},
     {'a': common / (dw * dh + w * h - common), 'b': score, 'c': -dx, 'd': -dy, 'e': -dw, 'f': -dh}) AS best
   FROM pairs_v GROUP BY box_id) b ON r.box_id = b.box_id"""
 
 SQL["overlap_pairs"] = views(*_BOXES) + """
-SELECT box_id, det_id, round(common, 6) AS common, round(common / (w * h + dw * dh - common), 6) AS iou,
-  round(common / least(w * h, dw * dh), 6) AS containment, round(common / (dw * dh), 6) AS detection_inside
+SELECT box_id, det_id, round(1e-9 + common, 6) AS common, round(1e-9 + common / (w * h + dw * dh - common), 6) AS iou,
+  round(1e-9 + common / least(w * h, dw * dh), 6) AS containment, round(1e-9 + common / (dw * dh), 6) AS detection_inside
 FROM pairs_v"""
 
 SQL["containment_pairs"] = views(*_BOXES) + """
@@ -57,11 +57,11 @@ SQL["spurious"] = views(*_BOXES, _SPURIOUS) + "SELECT det_id, model FROM flags_v
 SQL["merged"] = views(*_BOXES, _SPURIOUS) + """
 SELECT det_id, CAST(held AS BIGINT) AS regions_held FROM flags_v WHERE held > 1"""
 SQL["fragments"] = views(*_MEASURED) + """
-SELECT box_id, pieces, round(single, 6) AS single, single < 0.9 AS true_split
+SELECT box_id, pieces, round(1e-9 + single, 6) AS single, single < 0.9 AS true_split
 FROM measures_v WHERE pieces > 1"""
 SQL["detection_totals"] = views(*_BOXES, _SPURIOUS) + """
 SELECT count(*) AS detections, count(*) FILTER (spurious) AS spurious, count(*) FILTER (held > 1) AS merged,
-  round(count(*) FILTER (spurious) / greatest(1, count(*)), 6) AS spurious_rate FROM flags_v"""
+  round(1e-9 + count(*) FILTER (spurious) / greatest(1, count(*)), 6) AS spurious_rate FROM flags_v"""
 SQL["page_report"] = views(v.PAGES, *_MEASURED) + """
 SELECT p.page_id, p.language, coalesce(r.regions, 0) AS regions, coalesce(r.missed, 0) AS missed,
   coalesce(d.detections, 0) AS detections
@@ -71,34 +71,45 @@ LEFT JOIN (SELECT page_id, count(*) AS regions, count(*) FILTER (coverage < 0.5)
 LEFT JOIN (SELECT page_id, count(*) AS detections FROM detections_v GROUP BY page_id) d ON p.page_id = d.page_id"""
 SQL["misses"] = views(*_MEASURED) + """
 SELECT page_id, kind, dark, CAST(round_even(x, 0) AS BIGINT) AS x, CAST(round_even(y, 0) AS BIGINT) AS y,
-  CAST(round_even(w, 0) AS BIGINT) AS w, CAST(round_even(h, 0) AS BIGINT) AS h, round(coverage, 2) AS coverage
+  CAST(round_even(w, 0) AS BIGINT) AS w, CAST(round_even(h, 0) AS BIGINT) AS h, round(1e-9 + coverage, 2) AS coverage
 FROM measures_v WHERE coverage < 0.5 AND dark"""
 
-# The sweep, threshold by threshold: every detection of score >= t counts at t.
+# The sweep: every detection of score >= t counts at t. A region's state is
+# worked out once for each distinct level its detections reach and holds for
+# the thresholds above the level before.
 _SWEEP = """levels_v AS (
-  SELECT unnest([CAST(0.05 AS DOUBLE)] || list_transform(range(10, 96), lambda i: round(CAST(0.01 AS DOUBLE) * i, 2))) AS threshold),
-scored_v AS (
-  SELECT p.box_id, p.model, t.threshold, max(common / (dw * dh + w * h - common)) AS best_iou,
+  SELECT row_number() OVER (ORDER BY threshold) AS i, threshold FROM (
+    SELECT unnest([CAST(0.05 AS DOUBLE)] || list_transform(range(10, 96), lambda i: round(CAST(0.01 AS DOUBLE) * i, 2))) AS threshold)),
+reach_v AS (
+  SELECT s.score, count(*) AS level FROM (SELECT DISTINCT score FROM detections_v) s
+  JOIN levels_v t ON t.threshold <= s.score GROUP BY s.score),
+steps_v AS (
+  SELECT *, coalesce(lag(level) OVER (PARTITION BY box_id, model ORDER BY level), 0) AS below FROM (
+    SELECT DISTINCT p.box_id, p.model, r.level FROM pairs_v p JOIN reach_v r ON p.score = r.score)),
+state_v AS (
+  SELECT z.box_id, z.model, z.level, z.below, max(common / (dw * dh + w * h - common)) AS best_iou,
     count(*) FILTER (common / greatest(w * h, 1) > 0.05) AS pieces, max(common / (w * h)) AS single
-  FROM pairs_v p JOIN levels_v t ON p.score >= t.threshold GROUP BY ALL),
-shown_v AS (
-  SELECT s.*, t.threshold FROM spans_v s JOIN levels_v t ON s.score >= t.threshold),
+  FROM steps_v z JOIN pairs_v p ON p.box_id = z.box_id AND p.model = z.model
+  JOIN reach_v r ON p.score = r.score AND r.level >= z.level GROUP BY ALL),
 shown_cover_v AS (
-  SELECT box_id, model, threshold, sum(part) / any_value(CAST(nc * nr AS DOUBLE)) AS coverage FROM (
-    SELECT box_id, model, threshold, c, nc, nr,
-      greatest(0, r1 - greatest(r0 - 1, coalesce(max(r1) OVER (PARTITION BY box_id, model, threshold, c ORDER BY r0, r1
+  SELECT box_id, model, level, sum(part) / any_value(CAST(nc * nr AS DOUBLE)) AS coverage FROM (
+    SELECT box_id, model, level, c, nc, nr,
+      greatest(0, r1 - greatest(r0 - 1, coalesce(max(r1) OVER (PARTITION BY box_id, model, level, c ORDER BY r0, r1
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1))) AS part
-    FROM (SELECT DISTINCT box_id, model, threshold, c, nc, nr, r0, r1 FROM shown_v))
-  GROUP BY box_id, model, threshold),
+    FROM (SELECT DISTINCT z.box_id, z.model, z.level, s.c, s.nc, s.nr, s.r0, s.r1
+      FROM steps_v z JOIN spans_v s ON s.box_id = z.box_id AND s.model = z.model
+      JOIN reach_v r ON s.score = r.score AND r.level >= z.level))
+  GROUP BY box_id, model, level),
 sliced_v AS (
   SELECT box_id, unnest(['all', kind, CASE WHEN dark THEN 'dark bg' ELSE 'light bg' END]) AS slice FROM regions_v),
 sizes_v AS (SELECT slice, count(*) AS n FROM sliced_v GROUP BY slice),
 hits_v AS (
-  SELECT z.slice, s.model, s.threshold, sum(coalesce(c.coverage, 0.0)) AS coverage,
+  SELECT z.slice, s.model, t.threshold, sum(coalesce(c.coverage, 0.0)) AS coverage,
     count(*) FILTER (c.coverage >= 0.5) AS hits, count(*) FILTER (best_iou >= 0.5) AS iou_hits,
     count(*) FILTER (pieces > 1) AS fragmented, count(*) FILTER (pieces > 1 AND single < 0.9) AS true_split
-  FROM scored_v s JOIN sliced_v z ON s.box_id = z.box_id
-  LEFT JOIN shown_cover_v c ON s.box_id = c.box_id AND s.model = c.model AND s.threshold = c.threshold
+  FROM state_v s JOIN sliced_v z ON s.box_id = z.box_id
+  JOIN levels_v t ON t.i > s.below AND t.i <= s.level
+  LEFT JOIN shown_cover_v c ON s.box_id = c.box_id AND s.model = c.model AND s.level = c.level
   GROUP BY ALL),
 counts_v AS (
   SELECT m.model, t.threshold, count(f.det_id) AS detections, count(f.det_id) FILTER (f.spurious) AS spurious
@@ -115,11 +126,11 @@ sweep_v AS (
 _SWEPT = views(*_MEASURED, _SPURIOUS, _SWEEP)
 
 SQL["sweep"] = _SWEPT + """
-SELECT model, threshold, slice, n, round(recall, 6) AS recall, round(mean_coverage, 6) AS mean_coverage,
-  round(iou_recall, 6) AS iou_recall, fragmented, true_split, detections, spurious,
-  round(spurious_rate, 6) AS spurious_rate FROM sweep_v"""
+SELECT model, threshold, slice, n, round(1e-9 + recall, 6) AS recall, round(1e-9 + mean_coverage, 6) AS mean_coverage,
+  round(1e-9 + iou_recall, 6) AS iou_recall, fragmented, true_split, detections, spurious,
+  round(1e-9 + spurious_rate, 6) AS spurious_rate FROM sweep_v"""
 SQL["sweep_cumulative"] = _SWEPT + """
-SELECT model, threshold, detections, spurious, round(spurious / greatest(1, detections), 6) AS spurious_rate
+SELECT model, threshold, detections, spurious, round(1e-9 + spurious / greatest(1, detections), 6) AS spurious_rate
 FROM counts_v"""
 _POINTS = """, limits_v AS (SELECT unnest([0.05, 0.2, 0.25, 0.3, 0.4, 0.6]::DOUBLE[]) AS ceiling),
 table_v AS (
@@ -133,8 +144,8 @@ ranked_v AS (
   LEFT JOIN table_v t ON t.model = m.model AND t.spurious_rate <= c.ceiling + 1e-9),
 points_v AS (SELECT * FROM ranked_v WHERE place = 1)"""
 SQL["operating_point"] = _SWEPT.rstrip() + _POINTS + """
-SELECT model, ceiling, threshold, round(sfx_recall, 6) AS sfx_recall, round(dark_recall, 6) AS dark_recall,
-  round(all_recall, 6) AS all_recall FROM points_v"""
+SELECT model, ceiling, threshold, round(1e-9 + sfx_recall, 6) AS sfx_recall, round(1e-9 + dark_recall, 6) AS dark_recall,
+  round(1e-9 + all_recall, 6) AS all_recall FROM points_v"""
 SQL["pareto"] = _SWEPT.rstrip() + _POINTS + """,
 winners_v AS (
   SELECT * FROM points_v a WHERE threshold IS NOT NULL AND NOT EXISTS (
@@ -146,7 +157,7 @@ SELECT p.ceiling, CASE WHEN count(p.threshold) = 0 THEN '-'
 FROM points_v p GROUP BY p.ceiling"""
 SQL["fixed_report"] = _SWEPT + """
 SELECT slice, """ + ", ".join(
-    f"round(max({c}) FILTER (model = '{m}'), 6) AS {m}_{n}" if n in ("recall", "cov", "iou")
+    f"round(1e-9 + max({c}) FILTER (model = '{m}'), 6) AS {m}_{n}" if n in ("recall", "cov", "iou")
     else f"CAST(max({c}) FILTER (model = '{m}') AS BIGINT) AS {m}_{n}"
     for m in "FO"
     for c, n in (("recall", "recall"), ("mean_coverage", "cov"), ("iou_recall", "iou"), ("spurious", "spurious"),
@@ -158,16 +169,16 @@ def _tally_of(model: str) -> str:
     """One model's tally as a derived table: the shared views with only its detections."""
     found = v.DETECTIONS[:-1] + f" WHERE l_linestatus = '{model}')"
     return "(" + views(v.PAGES, v.REGIONS, found, v.PAIRS, v.COVERAGE, v.MEASURES) + _TALLY.replace(
-        "round(count(*) FILTER (coverage >= 0.5) / count(*), 6)", "count(*) FILTER (coverage >= 0.5) / count(*)"
-    ).replace("round(sum(coverage) / count(*), 6)", "sum(coverage) / count(*)").replace(
-        "round(count(*) FILTER (best_iou >= 0.5) / count(*), 6)", "count(*) FILTER (best_iou >= 0.5) / count(*)"
+        "round(1e-9 + count(*) FILTER (coverage >= 0.5) / count(*), 6)", "count(*) FILTER (coverage >= 0.5) / count(*)"
+    ).replace("round(1e-9 + sum(coverage) / count(*), 6)", "sum(coverage) / count(*)").replace(
+        "round(1e-9 + count(*) FILTER (best_iou >= 0.5) / count(*), 6)", "count(*) FILTER (best_iou >= 0.5) / count(*)"
     ) + ")"
 
 
 SQL["compare_models"] = f"""
 SELECT list_position(['bubble', 'sfx', 'caption', 'dark bg', 'light bg', 'ja', 'ko', 'zh', 'all'], slice) - 1 AS position,
   slice, b.regions AS n, """ + ", ".join(
-    f"round(b.{c}, 6) AS before_{c}, round(a.{c}, 6) AS after_{c}, round(a.{c} - b.{c}, 6) AS delta_{c}"
+    f"round(1e-9 + b.{c}, 6) AS before_{c}, round(1e-9 + a.{c}, 6) AS after_{c}, round(1e-9 + a.{c} - b.{c}, 6) AS delta_{c}"
     for c in ("recall", "mean_coverage", "iou_recall")
 ) + f" FROM {_tally_of('F')} b JOIN {_tally_of('O')} a USING (slice)"
 
