@@ -66,3 +66,62 @@ def ordered_scan(
         *((F.col(f"_sum_{o}") + F.coalesce(f"_csum_{o}", F.lit(0))).alias(o) for o in total),
         *(F.coalesce(f"_last_{o}", f"_clast_{o}").alias(o) for o in last_known),
     )
+
+
+def islands(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    bucket: Column,
+    lag: Mapping[str, str],
+    opens: Column,
+    island: str = "island",
+    rank: str | None = None,
+) -> DataFrame:
+    """Numbers the runs of rows per ``keys``: a row for which ``opens`` holds starts a new one.
+
+    ``opens`` may use the row's columns and the ``lag`` outputs (null on the
+    first row). Buckets are cut as in ``ordered_scan``; only the first row of a
+    bucket needs the bucket before, so one summary pass settles lags, runs and
+    ranks together.
+    """
+    parts = [*keys, "_bucket"]
+    along = W.partitionBy(*parts).orderBy(*order)
+    so_far = along.rowsBetween(W.unboundedPreceding, 0)
+    whole = along.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    started = F.coalesce(opens, F.lit(False)).cast("long")
+    local = (
+        df.withColumn("_bucket", bucket)
+        .select(
+            "*", F.row_number().over(along).alias("_place"),
+            *(F.lag(c).over(along).alias(o) for o, c in lag.items()),
+        )
+        .withColumn("_opens", F.when(F.col("_place") == 1, F.lit(0).cast("long")).otherwise(started))
+        .withColumn("_run", F.sum("_opens").over(so_far))
+    )
+    across = W.partitionBy(*keys).orderBy("_bucket")
+    earlier = across.rowsBetween(W.unboundedPreceding, -1)
+    first_rows = local.select(
+        "*", F.sum("_opens").over(whole).alias("_total"), F.count(F.lit(1)).over(whole).alias("_size"),
+        *(F.last(c).over(whole).alias(f"_end_{o}") for o, c in lag.items()),
+    ).where("_place = 1")
+    carry = (
+        first_rows.withColumns({o: F.lag(f"_end_{o}").over(across) for o in lag})
+        .withColumn("_first", started)
+        .select(
+            *(F.col(p).alias(f"_at_{p}") for p in parts),
+            *(F.col(o).alias(f"_carried_{o}") for o in lag),
+            (F.coalesce(F.sum(F.col("_total") + F.col("_first")).over(earlier), F.lit(0)) + F.col("_first")).alias("_run_base"),
+            F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_rank_base"),
+        )
+    )
+    same = F.lit(True)
+    for part in parts:
+        same = same & F.col(part).eqNullSafe(F.col(f"_at_{part}"))
+    ranked = [(F.col("_place") + F.col("_rank_base")).alias(rank)] if rank else []
+    return local.join(carry, same).select(
+        *df.columns,
+        *(F.when(F.col("_place") == 1, F.col(f"_carried_{o}")).otherwise(F.col(o)).alias(o) for o in lag),
+        (F.col("_run") + F.col("_run_base")).alias(island),
+        *ranked,
+    )

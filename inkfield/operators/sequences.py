@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from inkfield.functions import geometry as g
-from inkfield.operators.ordered import ordered_scan
+from inkfield.operators.ordered import islands, ordered_scan
 
 # Fixed values the results depend on.
 EDGE_TOLERANCE = 2
@@ -40,10 +40,10 @@ def strips(tiles: DataFrame, bucket_height: float = 4096.0) -> DataFrame:
     )
     keys, order = ["doc_id", "kx", "kw"], ["y", "tile_id"]
     bucket = F.floor(F.col("y") / bucket_height)
-    seams = ordered_scan(placed, keys, order, bucket, lag={"above": "bottom"}).withColumn(
-        "breaks", F.when(F.col("above").isNull() | (F.abs(F.col("y") - F.col("above")) > t), 1).otherwise(0)
+    runs = islands(
+        placed, keys, order, bucket, lag={"above": "bottom"},
+        opens=F.col("above").isNull() | (F.abs(F.col("y") - F.col("above")) > t), island="run", rank="place",
     )
-    runs = ordered_scan(seams, keys, order, bucket, total={"run": "breaks"}, rank="place")
     extents = runs.groupBy(*keys, "run").agg(
         F.count(F.lit(1)).alias("tiles"), F.min("place").alias("first_place"), F.min("y").alias("top"),
         F.max_by("bottom", "place").alias("last_bottom"),
@@ -67,11 +67,12 @@ def gap_segments(rows: DataFrame, group: str, bucket_rows: int = 4096) -> DataFr
     least_gap = F.greatest(F.lit(1), g.half_up(width * INK_GAP))
     active = rows.where(F.col("count") > F.greatest(F.lit(1.0), width * INK_ACTIVE))
     bucket = F.floor(F.col("row") / bucket_rows)
-    seen = ordered_scan(active, [group], ["row"], bucket, lag={"before": "row"}).withColumn(
-        "opens", F.when(F.col("before").isNull() | (F.col("row") - F.col("before") - 1 >= least_gap), 1).otherwise(0)
+    seen = islands(
+        active, [group], ["row"], bucket, lag={"before": "row"},
+        opens=F.col("before").isNull() | (F.col("row") - F.col("before") - 1 >= least_gap),
     )
-    islands = (
-        ordered_scan(seen, [group], ["row"], bucket, total={"island": "opens"})
+    segments = (
+        seen
         .groupBy(group, "island", "width", "rows")
         .agg(F.min("row").alias("top"), (F.max("row") + 1).alias("end"))
         .withColumn("bottom", F.when(F.col("rows") - F.col("end") < least_gap, F.col("rows")).otherwise(F.col("end")))
@@ -79,7 +80,7 @@ def gap_segments(rows: DataFrame, group: str, bucket_rows: int = 4096) -> DataFr
         .select(group, "top", "bottom")
     )
     groups = rows.groupBy(group).agg(F.max("rows").alias("rows"), F.max("width").alias("width"))
-    return groups.join(islands, group, "left").select(
+    return groups.join(segments, group, "left").select(
         group, F.coalesce("top", F.lit(0)).cast("long").alias("top"),
         F.coalesce("bottom", "rows").cast("long").alias("bottom"), "width",
     )
@@ -121,11 +122,11 @@ def repeat_guard(symbols: DataFrame, group: str, order: Sequence[str], bucket: C
     The start token stands before the first step, so a leading run of it is one
     repeat ahead.
     """
-    paired = ordered_scan(symbols, [group], order, bucket, lag={"before": "class"}, rank="place").withColumn(
-        "opens", (~F.col("class").eqNullSafe(F.col("before"))).cast("int")
+    runs = islands(
+        symbols, [group], order, bucket, lag={"before": "class"},
+        opens=~F.col("class").eqNullSafe(F.col("before")), island="run", rank="place",
     )
-    runs = ordered_scan(paired, [group], order, bucket, total={"run": "opens"})
-    starts = runs.where("opens = 1").select(group, "run", F.col("place").alias("run_start"))
+    starts = runs.groupBy(group, "run").agg(F.min("place").alias("run_start"))
     marked = runs.join(starts, [group, "run"])
     ahead = F.when((F.col("run") == 1) & (F.col("class") == START_TOKEN), 1).otherwise(0)
     stops = (F.col("class") == END_TOKEN) | (F.col("place") - F.col("run_start") + ahead >= MAX_REPEATS)
@@ -133,7 +134,7 @@ def repeat_guard(symbols: DataFrame, group: str, order: Sequence[str], bucket: C
     return (
         marked.join(first_stop, group, "left")
         .where((F.col("place") < F.coalesce("stop", F.lit(MAX_LENGTH + 1))) & (F.col("place") <= MAX_LENGTH))
-        .drop("run", "run_start", "opens", "before", "stop")
+        .drop("run", "run_start", "before", "stop")
     )
 
 
@@ -203,24 +204,25 @@ def reading_order(lines: DataFrame, group: str, key: str, extent: float = 4096.0
         F.when(v, F.col("_mw")).otherwise(F.col("_mh")).alias("thickest"),
     )
     bucket = F.floor(F.col("centre") / extent)
-    paired = ordered_scan(axes, [group], ["centre", key], bucket, lag={"before": "centre"}).withColumn(
-        "opens",
-        F.when(F.col("before").isNull() | (F.col("centre") - F.col("before") >= 0.5 * F.col("thickest")), 1).otherwise(0),
+    blocks = islands(
+        axes, [group], ["centre", key], bucket, lag={"before": "centre"},
+        opens=F.col("before").isNull() | (F.col("centre") - F.col("before") >= 0.5 * F.col("thickest")), island="block",
     )
-    blocks = (
-        ordered_scan(paired, [group], ["centre", key], bucket, total={"block": "opens"})
-        .groupBy(group, "vertical", "block")
+    # Vertical blocks and rows run in reverse: both are numbered in reading direction.
+    sign = F.when(v, -1).otherwise(1)
+    packed = (
+        blocks.groupBy(group, "vertical", "block")
         .agg(F.array_sort(F.collect_list(F.struct("centre", F.col(key).alias("id"), "thickness", "along"))).alias("boxes"))
-        .select(group, "vertical", "block", F.posexplode(_row_fold(F.col("boxes"))).alias("row_no", "row"))
-        .select(group, "vertical", "block", "row_no", F.posexplode(F.array_sort("row.ids")).alias("in_row", "item"))
-        .select(group, "vertical", "block", "row_no", "in_row", F.col("item.id").alias(key))
+        .withColumn("_block", sign * F.col("block"))
+    )
+    earlier = W.partitionBy(group).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    rows = _row_fold(F.col("boxes"))
+    ordered = F.flatten(F.transform(F.when(v, F.reverse(rows)).otherwise(rows), lambda r: F.array_sort(r["ids"])))
+    return (
+        packed.withColumn("_before", F.coalesce(F.sum(F.size("boxes")).over(earlier), F.lit(0)))
+        .select(group, "vertical", "_before", F.posexplode(ordered).alias("_in", "item"))
+        .select(group, F.col("item.id").alias(key), "vertical", (F.col("_before") + F.col("_in")).alias("position"))
     )
-    # Vertical rows are reversed; blocks and rows then number in one direction.
-    sign = F.when(F.col("vertical"), -1).otherwise(1)
-    turned = blocks.withColumns({"_block": sign * F.col("block"), "_row": sign * F.col("row_no")})
-    return ordered_scan(
-        turned, [group], ["_block", "_row", "in_row"], F.floor(F.col("_block") / 64), rank="position"
-    ).select(group, key, "vertical", (F.col("position") - 1).alias("position"))
 
 
 def column_packing(lines: DataFrame, group: str, key: str) -> DataFrame:

@@ -181,7 +181,7 @@ def zip_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["zip_results"] = views(REQUESTS, REPLIES) + """
-SELECT r.page_id, r.position, md5(coalesce(p.text, '')) AS digest, CASE WHEN length(source) > 200 THEN 2 ELSE 0 END AS lobes,
+SELECT r.page_id, r.position, md5(coalesce(p.text, '')) AS digest, CAST(CASE WHEN length(source) > 200 THEN 2 ELSE 0 END AS BIGINT) AS lobes,
   length(source) < 20 AS on_art
 FROM requests_v r LEFT JOIN parsed_v p ON p.reply_id = r.page_id AND p.number = r.position + 1"""
 
@@ -206,7 +206,7 @@ def label_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["label_union"] = """
-SELECT lang AS language, lang || lpad(CAST(doc_id AS VARCHAR), greatest(2, length(CAST(doc_id AS VARCHAR))), '0') AS id,
+SELECT lang AS language, lang || lpad(CAST(doc_id AS VARCHAR), CAST(greatest(2, length(CAST(doc_id AS VARCHAR))) AS INT), '0') AS id,
   md5(text) AS source FROM documents WHERE lang IN ('en', 'fr', 'de', 'es')"""
 
 
@@ -240,7 +240,8 @@ def region_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["region_text"] = """WITH l AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i
   FROM documents WHERE source <> 'src0'),
-j AS (SELECT l.doc_id, string_agg(t, CASE WHEN lang IN ('de', 'en') THEN ' ' ELSE '' END ORDER BY i) FILTER (t <> '') AS text
+j AS (SELECT l.doc_id, CASE WHEN lang IN ('de', 'en') THEN string_agg(t, ' ' ORDER BY i) FILTER (t <> '')
+  ELSE string_agg(t, '' ORDER BY i) FILTER (t <> '') END AS text
   FROM l JOIN documents USING (doc_id) GROUP BY l.doc_id, lang)
 SELECT d.doc_id, md5(CASE WHEN d.source <> 'src0' THEN coalesce(j.text, '') ELSE d.lang END) AS digest
 FROM documents d LEFT JOIN j USING (doc_id)"""
