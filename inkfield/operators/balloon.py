@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from inkfield.functions.arrays import bind
 from inkfield.operators import raster as rs
+from inkfield.session import cut_lineage
 
 # Fixed values the results depend on.
 FIELD_COVERAGE = 0.73
@@ -73,22 +75,28 @@ def clip_to_balloon(windows: DataFrame, key: str) -> tuple[DataFrame, DataFrame,
     )
     dark = F.transform(F.arrays_zip("r", "g", "b"), lambda p: (
         F.floor((p["r"] * 299 + p["g"] * 587 + p["b"] * 114) / 1000) < INK_LUMA).cast("int"))
-    flat = (
+    flat = cut_lineage(
         windows.join(ground, key).where(F.col("coverage") >= FIELD_COVERAGE)
         .withColumns({"near": near, "ink": dark, "_seed": _both("seed", "base")})
         .withColumns({"labels": rs.label_dense("near", "width"), "shapes": rs.label_dense("ink", "width")})
+    )
+    flat = (
+        flat
         .withColumn("reached", _labels_where("labels", F.zip_with("_seed", "near", lambda s, n: s * n)))
         .where(F.size("reached") > 0)
-        .withColumn("_reached_cells", F.transform("labels", lambda v: F.array_contains("reached", v).cast("int")))
+        .withColumn("_reached_cells", bind(
+            F.struct("labels", "reached"), lambda s: F.transform(s["labels"], lambda v: F.array_contains(s["reached"], v).cast("int"))))
     )
-    filled = rs.fill_holes(flat, "_reached_cells", "balloon").withColumn(
+    # Cut here and below: the labelled windows are read several times, and a
+    # checkpoint keeps the UDF results as columns instead of inlining them.
+    filled = cut_lineage(rs.fill_holes(flat, "_reached_cells", "balloon").withColumn(
         "_leaving", _labels_where("shapes", F.zip_with("ink", "base", lambda i, b: i * (1 - b)))
-    )
+    ).drop("near", "_seed", "_reached_cells", "coverage"))
     ink_total = _count(_both("ink", "base"))
-    lost = F.size(F.filter(
-        F.arrays_zip("ink", "base", "shapes", "balloon"),
-        lambda c: (c["ink"] == 1) & (c["base"] == 1) & (c["balloon"] == 0) & ~F.array_contains("_leaving", c["shapes"]),
-    ))
+    lost = bind(F.struct(F.arrays_zip("ink", "base", "shapes", "balloon").alias("cells"), "_leaving"), lambda s: F.size(F.filter(
+        s["cells"],
+        lambda c: (c["ink"] == 1) & (c["base"] == 1) & (c["balloon"] == 0) & ~F.array_contains(s["_leaving"], c["shapes"]),
+    )))
     kept = filled.where((ink_total == 0) | (lost / ink_total <= GUARD)).withColumns({
         "_limit": INTERIOR_MAX * _count(F.col("base")), "paint": _both("base", "balloon"),
     })
@@ -96,9 +104,12 @@ def clip_to_balloon(windows: DataFrame, key: str) -> tuple[DataFrame, DataFrame,
     one = kept.select(key, "width", "_limit", "labels", F.explode("reached").alias("label")).withColumn(
         "own", F.transform("labels", lambda v: (v == F.col("label")).cast("int"))
     )
-    parts = rs.fill_holes(one, "own", "part").withColumn("area", _count(F.col("part")))
+    parts = cut_lineage(
+        rs.fill_holes(one, "own", "part").drop("own", "labels")
+    ).withColumn("area", _count(F.col("part")))
     border = rs.on_border(F.size("part"), F.col("width"))
-    clear = ~F.exists(border, lambda i: F.element_at("part", (i + 1).cast("int")) == 1)
+    clear = ~bind(F.struct("part", border.alias("border")), lambda s: F.exists(
+        s["border"], lambda i: F.element_at(s["part"], (i + 1).cast("int")) == 1))
     closed = rs.explode_map(
         parts.where(clear & (F.col("area") <= F.col("_limit"))), [key, "label", "area"], "part", F.col("width"), "on"
     ).where("on = 1").drop("on")

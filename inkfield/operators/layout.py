@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from inkfield.functions.arrays import bind
 from inkfield.functions.text import trimmed
 
 # Fixed values the results depend on.
@@ -91,6 +92,11 @@ def _texts(lines: Column) -> Column:
 
 
 def fit_text(words: Column, x: Column, y: Column, w: Column, h: Column) -> Column:
+    """``_fit_text`` with the words cut once."""
+    return bind(words, lambda cut: _fit_text(cut, x, y, w, h))
+
+
+def _fit_text(words: Column, x: Column, y: Column, w: Column, h: Column) -> Column:
     """Largest size at which the words fit a box; else the smallest size, widened, centred, flagged.
 
     Sizes are tried from large to small and the fold stops wrapping at the
@@ -107,22 +113,39 @@ def fit_text(words: Column, x: Column, y: Column, w: Column, h: Column) -> Colum
     start = F.least(F.lit(float(MAX_SIZE)), F.greatest(F.lit(float(MIN_SIZE)), h))
     sizes = F.transform(F.sequence(F.lit(0), F.floor(start - MIN_SIZE).cast("int")), lambda k: start - k)
 
-    def attempt(done: Column, size: Column) -> Column:
-        tried = F.transform(F.array(wrap(words, w, size)), lambda lines: F.when(
-            (_widest(lines, size) <= w) & (_block_height(lines, size) <= h), fit(size, lines, x, y, w, h, False)))
-        return F.when(done.isNotNull(), done).otherwise(F.element_at(tried, 1))
+    # No size can fit whose longest word is too wide or whose words alone need
+    # more than the box's lines: those are not wrapped at all.
+    bounds = F.struct(
+        F.aggregate(words, F.lit(0).cast("long"), lambda m, word: F.greatest(m, word["m"])).alias("longest"),
+        F.aggregate(words, F.lit(0).cast("long"), lambda m, word: m + word["m"]).alias("total"),
+    )
 
-    fitted = F.aggregate(sizes, F.lit(None).cast(fit_type), attempt)
+    def attempts(limits: Column) -> Column:
+        def attempt(done: Column, size: Column) -> Column:
+            rows = F.floor(h / (size * LINE_HEIGHT) + 1e-9)
+            hopeless = (limits["longest"] * size / 1000 > w + 1e-6) | (limits["total"] * size / 1000 > rows * w + 1e-6)
+            tried = bind(wrap(words, w, size), lambda lines: F.when(
+                (_widest(lines, size) <= w) & (_block_height(lines, size) <= h), fit(size, lines, x, y, w, h, False)))
+            return F.when(done.isNotNull(), done).when(hopeless, F.lit(None).cast(fit_type)).otherwise(tried)
+
+        return F.aggregate(sizes, F.lit(None).cast(fit_type), attempt)
+
+    fitted = bind(bounds, attempts)
     least = F.lit(float(MIN_SIZE))
     longest = F.aggregate(words, F.lit(0).cast("long"), lambda m, word: F.greatest(m, word["m"])) * least / 1000
     wide = F.least(F.greatest(w, longest), w * MAX_WIDENING)
-    spilled = F.element_at(F.transform(F.array(wrap(words, wide, least)), lambda lines: fit(
-        least, lines, x + (w - wide) / 2, y + (h - _block_height(lines, least)) / 2, wide, _block_height(lines, least), True)), 1)
+    spilled = bind(wrap(words, wide, least), lambda lines: fit(
+        least, lines, x + (w - wide) / 2, y + (h - _block_height(lines, least)) / 2, wide, _block_height(lines, least), True))
     blank = fit(least, F.array().cast("array<struct<text:string,m:bigint>>"), x, y, w, h, False)
     return F.when(F.size(words) == 0, blank).otherwise(F.coalesce(fitted, spilled))
 
 
 def split_by_weight(words: Column, weights: Column) -> Column:
+    """``_split_by_weight`` with the words and weights worked out once."""
+    return bind(words, lambda cut: bind(weights, lambda shares: _split_by_weight(cut, shares)))
+
+
+def _split_by_weight(words: Column, weights: Column) -> Column:
     """Words cut into parts by weight, never inside a word.
 
     Each cut takes the word end nearest its share of the text, preferring a
@@ -159,13 +182,13 @@ def split_by_weight(words: Column, weights: Column) -> Column:
 
         return F.aggregate(F.sequence(F.lit(1), F.size(weights) - 1), state, step, lambda s: s["cuts"])
 
-    cuts = F.element_at(F.transform(F.array(ends), cut), 1)
+    cuts = bind(ends, cut)
     bounds = F.concat(F.array(F.lit(-1)), cuts, F.array(count - 1))
     texts = F.transform(words, lambda word: word["text"])
-    parts = F.element_at(F.transform(F.array(bounds), lambda b: F.transform(
+    parts = bind(bounds, lambda b: bind(texts, lambda t: F.transform(
         F.sequence(F.lit(1), F.size(b) - 1),
-        lambda k: F.array_join(F.slice(texts, F.element_at(b, k) + 2, F.element_at(b, k + 1) - F.element_at(b, k)), " "),
-    )), 1)
+        lambda k: F.array_join(F.slice(t, F.element_at(b, k) + 2, F.element_at(b, k + 1) - F.element_at(b, k)), " "),
+    )))
     whole = F.array(F.array_join(texts, " "))
     return F.when(count == 0, F.array().cast("array<string>")).when(
         (F.size(weights) <= 1) | (count == 1), whole).otherwise(parts)

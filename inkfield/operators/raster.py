@@ -306,21 +306,31 @@ def on_border(size: Column, width: Column) -> Column:
     )
 
 
-def filled_holes(on: Column, outside: Column, width: Column) -> Column:
-    """Cells of a dense window with its holes set, given the labels of its unset cells."""
-    edge = F.array_distinct(F.transform(on_border(F.size(on), width), lambda i: F.element_at(outside, (i + 1).cast("int"))))
-    return F.transform(on, lambda v, i: F.when(
-        (v == 1) | ~F.array_contains(edge, F.element_at(outside, (i + 1).cast("int"))), 1).otherwise(0))
+@F.pandas_udf(ArrayType(IntegerType()))
+def fill_dense(cells: pd.Series, width: pd.Series) -> pd.Series:
+    """A dense window with every unset cell that cannot reach the edge set: the outside spreads inwards."""
+    out = []
+    for c, w in zip(cells, width):
+        free = ~np.asarray(c, dtype=bool).reshape(-1, int(w))
+        outside = free.copy()
+        outside[1:-1, 1:-1] = False
+        while True:
+            wider = outside.copy()
+            wider[1:] |= outside[:-1]
+            wider[:-1] |= outside[1:]
+            wider[:, 1:] |= outside[:, :-1]
+            wider[:, :-1] |= outside[:, 1:]
+            wider &= free
+            if np.array_equal(wider, outside):
+                break
+            outside = wider
+        out.append((~outside).astype(np.int32).ravel())
+    return pd.Series(out)
 
 
 def fill_holes(windows: DataFrame, array: str, out: str) -> DataFrame:
     """Unset cells not 4-connected to the window's edge become set."""
-    inverse = F.transform(array, lambda v: 1 - v)
-    return (
-        windows.withColumn("_outside", label_dense(inverse, F.col("width")))
-        .withColumn(out, filled_holes(F.col(array), F.col("_outside"), F.col("width")))
-        .drop("_outside")
-    )
+    return windows.withColumn(out, fill_dense(array, "width"))
 
 
 # --- largest rectangle -----------------------------------------------------

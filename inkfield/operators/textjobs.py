@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from inkfield.functions import text as tx
+from inkfield.functions.arrays import bind
 from inkfield.operators.ordered import ordered_scan
 
 # Fixed values the results depend on.
@@ -97,15 +98,17 @@ def parse_replies(replies: DataFrame, key: str) -> DataFrame:
     asked = opened.where("count > 0").select(
         key, "lines", "starts", F.explode(F.sequence(F.lit(1), F.col("count"))).alias("number")
     ).withColumn("start", F.try_element_at(F.filter("starts", lambda s: s["number"] == F.col("number")), F.lit(-1)))
-    following = F.filter("starts", lambda s: s["i"] > F.col("start.i"))
-    end = F.coalesce(F.try_element_at(following, F.lit(1))["i"], F.size("lines"))
-    bounded = asked.withColumn("end", end)
-    more = F.transform(
-        F.filter("lines", lambda s: (s["i"] > F.col("start.i")) & (s["i"] < F.col("end")) & (s["line"] != "")),
-        lambda s: s["line"],
-    )
-    entry = F.concat_ws(" ", F.col("start.rest"), F.array_join(more, " "))
-    return bounded.select(key, "number", F.when(F.col("start").isNotNull(), tx.clean_reply(tx.trimmed(entry))).alias("text"))
+
+    def entry(start: Column) -> Column:
+        following = F.filter("starts", lambda s: s["i"] > start["i"])
+        end = F.coalesce(F.try_element_at(following, F.lit(1))["i"], F.size("lines"))
+        more = bind(end, lambda stop: F.transform(
+            F.filter("lines", lambda s: (s["i"] > start["i"]) & (s["i"] < stop) & (s["line"] != "")), lambda s: s["line"]
+        ))
+        return F.concat_ws(" ", start["rest"], F.array_join(more, " "))
+
+    joined = bind(F.col("start"), entry)
+    return asked.select(key, "number", F.when(F.col("start").isNotNull(), tx.clean_reply(tx.trimmed(joined))).alias("text"))
 
 
 def reask(parsed: DataFrame, key: str) -> DataFrame:

@@ -1,4 +1,4 @@
 """All query modules; importing them fills the registry."""
 
-from inkfield.plans import decisions, detect, detect_sql, label_sets, texts  # noqa: F401
+from inkfield.plans import decisions, detect, detect_sql, label_sets, layouts, ordered_rows, rasters, texts  # noqa: F401
 from inkfield.plans.registry import QUERIES, SQL  # noqa: F401

@@ -185,3 +185,42 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
         "array_position(array('view', 'click', 'error', 'purchase', 'signup'), event_type) AS raw_class",
         "value", "value / 500 AS p", "k",
     )
+
+
+def maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as dense 8 x 8 probability maps of small pages."""
+    return table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("map_id"), "label", F.lit(8).alias("width"),
+        F.transform("embedding", lambda v: F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.5 + 2 * v.cast("double")))).alias("p"),
+    )
+
+
+def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as 8 x 8 colour images; the channels are the row read from positions 0, 1 and 2 on."""
+    byte = F.transform("embedding", lambda v: F.floor(255 * F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.5 + v.cast("double")))).cast("int"))
+    turned = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), byte.alias("b0"))
+    shown = turned.select("image_id", "b0", F.posexplode("b0").alias("pos", "r"))
+    return shown.select(
+        "image_id", F.floor(F.col("pos") / 8).cast("int").alias("row"), (F.col("pos") % 8).cast("int").alias("col"), "r",
+        F.element_at("b0", ((F.col("pos") + 1) % 64 + 1).cast("int")).alias("g"),
+        F.element_at("b0", ((F.col("pos") + 2) % 64 + 1).cast("int")).alias("b"),
+    ).withColumn("luma", F.floor((F.col("r") * 299 + F.col("g") * 587 + F.col("b") * 114) / 1000).cast("int"))
+
+
+def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as 32 x 32 balloon windows: pale cells inside a dark frame, text mask in the middle."""
+    def pixel(i):
+        row, col = F.floor(i / 32), i % 32
+        cell = F.element_at("embedding", (F.floor(row / 4) * 8 + F.floor(col / 4) + 1).cast("int"))
+        frame = (row < 3) | (row >= 29) | (col < 3) | (col >= 29)
+        return F.when(frame | (cell < -0.22), 30).otherwise(F.when(cell > 0.3, 225).otherwise(240))
+
+    def within(lo_r, hi_r, lo_c, hi_c):
+        return F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda i: (
+            (F.floor(i / 32) >= lo_r) & (F.floor(i / 32) < hi_r) & (i % 32 >= lo_c) & (i % 32 < hi_c)).cast("int"))
+
+    grey = F.transform(F.sequence(F.lit(0), F.lit(1023)), pixel)
+    return table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("region_id"), F.lit(32).alias("width"), grey.alias("r"), grey.alias("g"), grey.alias("b"),
+        within(6, 26, 4, 28).alias("base"), within(12, 20, 12, 20).alias("seed"),
+    )
