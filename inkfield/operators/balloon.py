@@ -80,7 +80,7 @@ def clip_to_balloon(windows: DataFrame, key: str) -> tuple[DataFrame, DataFrame,
         .withColumns({"near": near, "ink": dark, "_seed": _both("seed", "base")})
         .withColumns({"labels": rs.label_dense("near", "width"), "shapes": rs.label_dense("ink", "width")})
     )
-    flat = (
+    flat = cut_lineage(
         flat
         .withColumn("reached", _labels_where("labels", F.zip_with("_seed", "near", lambda s, n: s * n)))
         .where(F.size("reached") > 0)
@@ -101,11 +101,13 @@ def clip_to_balloon(windows: DataFrame, key: str) -> tuple[DataFrame, DataFrame,
         "_limit": INTERIOR_MAX * _count(F.col("base")), "paint": _both("base", "balloon"),
     })
 
-    one = kept.select(key, "width", "_limit", "labels", F.explode("reached").alias("label")).withColumn(
-        "own", F.transform("labels", lambda v: (v == F.col("label")).cast("int"))
+    one = cut_lineage(
+        kept.select(key, "width", "_limit", "labels", F.explode("reached").alias("label"))
+        .withColumn("own", F.transform("labels", lambda v: (v == F.col("label")).cast("int")))
+        .drop("labels")
     )
     parts = cut_lineage(
-        rs.fill_holes(one, "own", "part").drop("own", "labels")
+        rs.fill_holes(one, "own", "part").drop("own")
     ).withColumn("area", _count(F.col("part")))
     border = rs.on_border(F.size("part"), F.col("width"))
     clear = ~bind(F.struct("part", border.alias("border")), lambda s: F.exists(

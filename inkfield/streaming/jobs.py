@@ -62,16 +62,16 @@ def rebuild_stream(states: DataFrame) -> DataFrame:
     fields = ["provider", "api_key", "source", "target"]
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        before = state.get if state.exists else None
-        for frame in frames:
-            rows = []
-            for row in frame.sort_values(["at_us", "event_id"]).itertuples(index=False):
-                now = tuple(getattr(row, f) for f in fields)
-                rows.append((row.event_id, key[0], before is not None and now != tuple(before)))
-                before = now
-            yield pd.DataFrame(rows, columns=["event_id", "user_id", "rebuild"])
-        if before is not None:
-            state.update(tuple(before))
+        # One user's rows of one micro-batch, which the trigger bounds; order matters across frames.
+        batch = pd.concat(list(frames)).sort_values(["at_us", "event_id"])
+        before = tuple(state.get) if state.exists else None
+        rows = []
+        for row in batch.itertuples(index=False):
+            now = tuple(getattr(row, f) for f in fields)
+            rows.append((row.event_id, key[0], before is not None and now != before))
+            before = now
+        state.update(before)
+        yield pd.DataFrame(rows, columns=["event_id", "user_id", "rebuild"])
 
     return states.groupBy("user_id").applyInPandasWithState(
         step, "event_id LONG, user_id LONG, rebuild BOOLEAN",
@@ -95,12 +95,14 @@ def request_lifecycle(messages: DataFrame, delay: str, patience_ms: int) -> Data
         for frame in frames:
             seen += int((frame["type"] == "progress").sum())
             last = max(last, int(frame["at"].max().timestamp() * 1000))
-            ends = frame[frame["type"] != "progress"].sort_values("at")
+            ends = frame[frame["type"] != "progress"]
             if len(ends):
-                end = ends["type"].iloc[0]
+                first = ends.loc[ends["at"].idxmin()]
+                if end is None or first["at"] < end[0]:
+                    end = (first["at"], first["type"])
         if end is not None:
             state.remove()
-            yield pd.DataFrame({"request_id": [key[0]], "status": [end], "progress": [seen]})
+            yield pd.DataFrame({"request_id": [key[0]], "status": [end[1]], "progress": [seen]})
         else:
             state.update((seen,))
             state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + patience_ms)
