@@ -88,24 +88,24 @@ def connected_components(cells: DataFrame, keys: Sequence[str], block: int = 64)
     component size; lineage is cut every round.
     """
     node = F.shiftleft(F.col("row").cast("long"), NODE_SHIFT) + F.col("c0")
-    runs = cut_lineage(horizontal_runs(cells, keys).withColumn("node", node))
+    runs = cut_lineage(horizontal_runs(cells, keys).withColumn("_node", node))
     spans = runs.withColumn(
         "_block", F.explode(F.sequence(F.floor(F.col("c0") / block), F.floor(F.col("c1") / block)))
     )
     above = spans.select(
         *keys, (F.col("row") + 1).alias("row"), "_block", F.col("c0").alias("a0"), F.col("c1").alias("a1"),
-        F.col("node").alias("v"),
+        F.col("_node").alias("_v"),
     )
     links = (
         spans.join(above, [*keys, "row", "_block"])
         .where((F.col("c0") <= F.col("a1")) & (F.col("a0") <= F.col("c1")))
-        .select(*keys, F.col("node").alias("u"), "v")
+        .select(*keys, F.col("_node").alias("_u"), "_v")
         .distinct()
     )
     labels = _star_labels(links, keys)
     named = (
-        runs.join(labels, [*keys, "node"], "left")
-        .withColumn("label", F.coalesce("label", "node"))
+        runs.join(labels, [*keys, "_node"], "left")
+        .withColumn("label", F.coalesce("label", "_node"))
     )
     return named.select(
         *keys, "row", F.explode(F.sequence("c0", "c1")).alias("col"),
@@ -119,25 +119,25 @@ def _star_labels(links: DataFrame, keys: Sequence[str]) -> DataFrame:
     edges = cut_lineage(links)
     signature = None
     while True:
-        both = edges.select(*keys, "u", "v").unionByName(edges.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy(*keys, "u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        both = edges.select(*keys, "_u", "_v").unionByName(edges.select(*keys, F.col("_v").alias("_u"), F.col("_u").alias("_v")))
+        least = both.groupBy(*keys, "_u").agg(F.least(F.min("_v"), F.first("_u")).alias("_m"))
         large = (
-            both.join(least, [*keys, "u"]).where("v > u")
-            .select(*keys, F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+            both.join(least, [*keys, "_u"]).where("_v > _u")
+            .select(*keys, F.col("_v").alias("_u"), F.col("_m").alias("_v")).where("_u <> _v").distinct()
         )
-        low = large.groupBy(*keys, "u").agg(F.min("v").alias("m"))
+        low = large.groupBy(*keys, "_u").agg(F.min("_v").alias("_m"))
         small = (
-            large.join(low, [*keys, "u"])
-            .select(*keys, F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-            .select(*keys, "e.u", "e.v").where("u <> v").distinct()
+            large.join(low, [*keys, "_u"])
+            .select(*keys, F.explode(F.array(F.struct("_u", F.col("_m").alias("_v")), F.struct(F.col("_v").alias("_u"), F.col("_m").alias("_v")))).alias("_e"))
+            .select(*keys, "_e._u", "_e._v").where("_u <> _v").distinct()
         )
         edges = cut_lineage(small)
-        digest = F.xxhash64(*keys, "u", "v")
+        digest = F.xxhash64(*keys, "_u", "_v")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.shiftright(digest, 20)), F.bit_xor(digest)).first()
         if now == signature:
             break
         signature = now
-    return edges.select(*keys, F.col("u").alias("node"), F.col("v").alias("label"))
+    return edges.select(*keys, F.col("_u").alias("_node"), F.col("_v").alias("label"))
 
 
 def explode_map(maps: DataFrame, keys: Sequence[str], array: str, width: Column, value: str = "p") -> DataFrame:
