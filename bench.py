@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import time
 
 from inkfield.session import local_session
 from inkfield.plans.catalog import QUERIES
 
 HEADLINE = [
-    "slice_tally", "best_match", "spurious", "page_report", "sweep", "label_build", "cer_by_slice", "request_plan",
-    "reply_parse", "settings_state", "repeat_guard", "strips", "components", "component_boxes", "dominant_tones", "line_pack",
+    "slice_tally", "best_match", "spurious", "label_build", "request_plan", "reply_parse", "settings_state",
+    "repeat_guard", "components", "component_boxes", "dominant_tones", "strips", "sweep_cumulative", "cer_by_slice",
 ]
 
 
@@ -25,6 +26,7 @@ def main() -> None:
         started = time.perf_counter()
         QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - started, 3)
+        print(name, seconds[name], file=sys.stderr, flush=True)
     print(json.dumps({
         "metric": "headline queries, total", "value": round(sum(seconds.values()), 3), "unit": "sec",
         "queries": seconds, "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf"),

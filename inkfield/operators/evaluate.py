@@ -121,9 +121,19 @@ def _at_every_step(df: DataFrame, thresholds: Sequence[float]) -> DataFrame:
 
 
 def step_of(score: Column, thresholds: Sequence[float] = THRESHOLDS) -> Column:
-    """Number of thresholds at or below the score: it counts at steps 1..that."""
-    levels = F.array(*(F.lit(float(t)) for t in thresholds))
-    return F.size(F.filter(levels, lambda t: t <= score))
+    """Number of thresholds at or below the score: it counts at steps 1..that.
+
+    A halving chain of comparisons, so it stays in generated code.
+    """
+    levels = sorted(float(t) for t in thresholds)
+
+    def halve(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        middle = (lo + hi) // 2
+        return F.when(score >= levels[middle], halve(middle + 1, hi)).otherwise(halve(lo, middle))
+
+    return halve(0, len(levels))
 
 
 def _region_steps(regions: DataFrame, detections: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from inkfield.operators import stages
-from inkfield.plans import standins as st, views_sql as v
+from inkfield.plans import detect_sql, standins as st, views_sql as v  # noqa: F401 - detect_sql fills SQL first
 from inkfield.plans.label_sets import _RECORDS, _records
 from inkfield.plans.registry import SQL, query
 from inkfield.plans.views_sql import views
@@ -35,6 +35,10 @@ def manifest_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.audit_manifest(manifest, files.dropDuplicates(["dest"])).select("page_id", "status")
 
 
+SQL["manifest_audit"] = """
+SELECT page_id, CASE WHEN length(html) < 1500 THEN 'missing' WHEN contains(url, '//m.') THEN 'mismatch' ELSE 'cached' END AS status FROM pages"""
+
+
 @query
 def binary_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The given files themselves, read as bytes."""
@@ -68,6 +72,12 @@ def sweep_store(spark: SparkSession, sf_dir: str) -> DataFrame:
         "model", "threshold", "detections", "spurious", F.col("model_order").cast("long"))
 
 
+SQL["sweep_store"] = SQL["sweep_cumulative"].replace(
+    "SELECT model, threshold, detections, spurious, round(1e-9 + spurious / greatest(1, detections), 6) AS spurious_rate\n",
+    "SELECT model, threshold, detections, spurious, CASE model WHEN 'O' THEN 1 ELSE 2 END::BIGINT AS model_order\n",
+)
+
+
 @query
 def metric_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily event means appended day by type, read back."""

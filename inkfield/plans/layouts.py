@@ -13,7 +13,7 @@ from inkfield.session import spread
 @query
 def line_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document packed into lines of 320 pixels at size 12."""
-    packed = lo.pack_text(st.table(spark, sf_dir, "documents"), "doc_id", "text", 320, 12)
+    packed = lo.pack_text(spread(st.table(spark, sf_dir, "documents"), "doc_id"), "doc_id", "text", 320, 12)
     return packed.select("doc_id", F.col("line").cast("long"), "text", "m")
 
 
@@ -39,7 +39,7 @@ def weighted_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document cut in two by weights 3 and 2."""
     weights = F.array(F.lit(3.0), F.lit(2.0))
     parts = lo.split_by_weight(lo.words_of(F.col("text")), weights)
-    return st.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(parts).alias("part", "text")).select(
+    return spread(st.table(spark, sf_dir, "documents"), "doc_id").select("doc_id", F.posexplode(parts).alias("part", "text")).select(
         "doc_id", F.col("part").cast("long"), F.md5("text").alias("digest"))
 
 

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from inkfield.session import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -139,7 +141,7 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every sentence of every document as a wanted text, with a damaged copy as the reading."""
-    cut = table(spark, sf_dir, "documents").select(
+    cut = spread(table(spark, sf_dir, "documents"), "doc_id").select(
         "doc_id", "lang", F.posexplode(F.split("text", r"[.\n]")).alias("sentence", "part")
     )
     return cut.where("trim(part) <> ''").selectExpr(
@@ -172,7 +174,7 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
 
     lines = F.split("text", "\n")
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents"), "doc_id").select(
         F.col("doc_id").alias("reply_id"), F.size(lines).alias("count"),
         F.array_join(F.filter(F.transform(lines, spoil), lambda s: s.isNotNull()), "\n").alias("reply"),
     )
@@ -189,7 +191,7 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings as dense 8 x 8 probability maps of small pages."""
-    return table(spark, sf_dir, "embeddings").select(
+    return spread(table(spark, sf_dir, "embeddings"), "vec_id").select(
         F.col("vec_id").alias("map_id"), "label", F.lit(8).alias("width"),
         F.transform("embedding", lambda v: F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.5 + 2 * v.cast("double")))).alias("p"),
     )
@@ -220,7 +222,7 @@ def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
             (F.floor(i / 32) >= lo_r) & (F.floor(i / 32) < hi_r) & (i % 32 >= lo_c) & (i % 32 < hi_c)).cast("int"))
 
     grey = F.transform(F.sequence(F.lit(0), F.lit(1023)), pixel)
-    return table(spark, sf_dir, "embeddings").select(
+    return spread(table(spark, sf_dir, "embeddings"), "vec_id").select(
         F.col("vec_id").alias("region_id"), F.lit(32).alias("width"), grey.alias("r"), grey.alias("g"), grey.alias("b"),
         within(6, 26, 4, 28).alias("base"), within(12, 20, 12, 20).alias("seed"),
     )

@@ -238,7 +238,7 @@ def test_balloon_is_filled_and_given_a_lobe(spark):
     grid[8:32, 6:34] = 240          # a pale balloon in a dark page
     grid[18:21, 14:26] = 20         # its text
     base, seed = np.zeros((40, 40), int), np.zeros((40, 40), int)
-    base[15:24, 12:28] = 1
+    base[10:30, 8:32] = 1
     seed[16:23, 12:28] = 1
     noise = np.random.default_rng(1).integers(0, 255, (40, 40))
     rows = [(i, 40, *(g.ravel().tolist() for _ in range(3)), base.ravel().tolist(), seed.ravel().tolist()) for i, g in ((1, grid), (2, noise))]
