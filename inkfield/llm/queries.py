@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkfield.llm import exact_dedup, token_files
+from inkfield.llm import exact_dedup, packing, quality_cnn, token_files
 from inkfield.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,3 +48,14 @@ def op2_token_files(spark: SparkSession, folder: str) -> DataFrame:
     files = scratch_path(spark, "token-ids")
     index = token_files.write_tokens(table(spark, folder, "documents"), files, tokenizer_file("word_bpe_49k.json"), end_id=1)
     return token_files.read_tokens(spark, index, files)
+
+
+@query
+def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
+@query
+def op9_quality_cnn(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return quality_cnn.classify(docs, quality_cnn.train(docs, table(spark, folder, "labels")))
