@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkfield.llm import exact_dedup, packing, quality_cnn, token_files
+from inkfield.llm import exact_dedup, packing, quality_cnn, quality_rules, token_files
 from inkfield.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +59,49 @@ def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 def op9_quality_cnn(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return quality_cnn.classify(docs, quality_cnn.train(docs, table(spark, folder, "labels")))
+
+
+@query
+def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+_MARKS = {
+    "symbol_share": "n_symbols, word_chars", "line_share": "n_dup_lines, n_words", "repeat_share": "n_repeat_words, n_words", "mark_share": "n_marks, word_chars",
+}
+SQL["op5_quality_rules"] = f"""
+WITH d AS (
+  SELECT doc_id, lang, coalesce(text, '') AS text,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines
+  FROM documents
+), w AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM d)
+, v AS (SELECT doc_id, i, word AS a, lead(word) OVER o AS b, lead(word, 2) OVER o AS c FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i))
+, r AS (SELECT doc_id, i FROM v WHERE c IS NOT NULL QUALIFY count(*) OVER (PARTITION BY doc_id, a, b, c) >= 2)
+, q AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, i + k AS i FROM r, (VALUES (0), (1), (2)) s(k)) GROUP BY doc_id)
+, c AS (
+  SELECT d.doc_id, lang, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, length(regexp_replace(text, '[^!]', '', 'g'))::BIGINT AS n_marks,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(q.n, 0)::BIGINT AS n_repeat_words
+  FROM d LEFT JOIN q USING (doc_id)
+), s AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    {", ".join(f"CASE WHEN {v.split(', ')[1]} > 0 THEN ceil({v.split(', ')[0]} * 100 / {v.split(', ')[1]}) ELSE 0 END AS {k}" for k, v in _MARKS.items())}
+  FROM c
+), g AS (
+  SELECT s.* FROM s JOIN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1) USING (doc_id) WHERE NOT base_failed
+), m AS ({" UNION ALL ".join(f"SELECT lang, '{k}' AS measure, {k} AS share FROM g" for k in _MARKS)})
+, t AS (
+  SELECT lang, measure, cutoff, count(*) AS n, count(*) FILTER (share > cutoff) AS errors
+  FROM m, (SELECT unnest([{", ".join(map(str, quality_rules.GRID))}]) AS cutoff) GROUP BY ALL
+), a AS (
+  SELECT * FROM t WHERE errors <= n * {quality_rules.RISK / 4} AND
+    list_sum(list_transform(range(0, errors + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1)
+      + i * ln({quality_rules.RISK / 4}) + (n - i) * ln(1 - {quality_rules.RISK / 4}))))
+    <= {quality_rules.DOUBT} / ((SELECT count(DISTINCT coalesce(lang, '?')) FROM g) * 4 * {len(quality_rules.GRID)})
+), b AS (SELECT lang, measure, arg_min(cutoff, (errors, cutoff)) AS cutoff FROM a GROUP BY ALL)
+, p AS (SELECT lang, {", ".join(f"max(cutoff) FILTER (measure = '{k}') AS {k}_cut" for k in _MARKS)} FROM b GROUP BY lang)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT ({" OR ".join(f"coalesce({k} > {k}_cut, false)" for k in _MARKS)}) AS kept
+FROM s LEFT JOIN p ON s.lang IS NOT DISTINCT FROM p.lang
+"""
