@@ -147,24 +147,22 @@ def join_classes(classes: DataFrame, own: DataFrame, bench: Bench, size: int, pe
         "heads",
     )
     bench.drop("shared")
-    comps, links, count = None, None, heads.select("node").distinct().count()
-    for turn in range(ROUNDS + 1):
-        last = turn == ROUNDS
-        of = heads.withColumn("comp", F.col("node")) if comps is None else (
-            heads.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        )
-        lead = F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "n", "comp", "rest"))
-        mixed = of.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), lead.alias("lead")).where("low <> high")
-        if last:
-            left = of.join(mixed.select("h"), "h")
-            mate = left.select("h", *(F.col(c).alias(f"b_{c}") for c in ("node", "n", "comp", "rest")))
-            paired = left.join(mate, (left["h"] == mate["h"]) & (F.col("comp") < F.col("b_comp"))).drop(mate["h"])
-        else:
-            paired = of.join(mixed.select("h", *(F.col(f"lead.{c}").alias(f"b_{c}") for c in ("node", "n", "comp", "rest"))), "h").where("comp <> b_comp")
+    comps, links, turn, last = None, None, 0, False
+    count = heads.select("node").distinct().count()
+    while True:
+        of = heads.withColumn("comp", F.col("node"))
+        if comps is not None:
+            of = heads.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        lead = F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "n", "comp", "rest")).alias("lead")
+        mixed = of.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), lead).where("low <> high")
+        mates = of.join(mixed.select("h"), "h", "left_semi") if last else mixed.select("h", "lead.*")
+        mates = mates.select("h", *(F.col(c).alias(f"b_{c}") for c in ("node", "n", "comp", "rest")))
         least = needed(F.col("n"), F.col("b_n"), percent)
+        # Each pair of components from one side when all are made; a leader is on the other side from the start.
+        apart = F.col("comp") < F.col("b_comp") if last else F.col("comp") != F.col("b_comp")
         pairs = bench.keep(
             # what follows the first common shingle, it included, must be enough for a link
-            paired.where(least <= F.least("rest", "b_rest"))
+            of.join(mates, "h").where(apart & (least <= F.least("rest", "b_rest")))
             .select(F.least("node", "b_node").alias("a"), F.greatest("node", "b_node").alias("b"), least.alias("least")).distinct(),
             f"pairs-{turn}",
         )
@@ -175,12 +173,42 @@ def join_classes(classes: DataFrame, own: DataFrame, bench: Bench, size: int, pe
             links = found if links is None else links.unionByName(found)
             comps = connected(links, bench, f"comps-{turn}")
         if last:
+            bench.drop("segments", "heads")
             return comps
-        if new <= GOES_ON * count:
-            # little is left to join by leaders; the pairs between components are next, and the last
-            return finish(heads, comps, links, segments, bench, percent)
-    return comps
+        turn += 1
+        last = new <= GOES_ON * count or turn == ROUNDS
+
+
+def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, and class_size, the rows of its class."""
+    bench = Bench(docs.sparkSession, "jaccard-join")
+    own = ids_and_texts(docs, doc_id, text)
+    each = bench.keep(own.mapInArrow(lambda b: sets(b, size, percent), SETS), "sets")
+    classes = bench.keep(
+        each.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("least"), F.count("*").alias("class_size"), F.first("hashes").alias("hashes"))
+        .withColumn("node", F.monotonically_increasing_id()),
+        "classes",
+    )
+    comps = join_classes(classes, own, bench, size, percent)
+    named = classes.select("n", "s1", "s2", "node", "least", "class_size")
+    if comps is None:
+        final = named.withColumn("component", F.col("least"))
+    else:
+        first = comps.join(named, "node").groupBy("comp").agg(F.min("least").alias("first"))
+        linked = comps.join(first, "comp").select("node", "first")
+        final = named.join(linked, "node", "left").withColumn("component", F.coalesce("first", "least"))
+    final = bench.keep(final.select("n", "s1", "s2", "class_size", "component"), "final")
+    out = each.drop("hashes").join(final, ["n", "s1", "s2"]).select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), "class_size",
+    )
+    out = bench.keep(out, "components")
+    bench.drop("sets", "classes", "alive", "final")
+    return out.select(given_id(), "n_shingles", given_id("component_id"), "class_size")
 
 
-def finish(heads: DataFrame, comps: DataFrame | None, links: DataFrame | None, segments: DataFrame, bench: Bench, percent: int) -> DataFrame | None:
-    raise NotImplementedError
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """The documents with the smallest id of their component, all columns; rows that share this id all stay."""
+    found = components(docs, doc_id, text, size, percent)
+    key = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(NO_ID))
+    lost = found.where(key("doc_id") != key("component_id")).select(key("doc_id").alias("__lost")).distinct()
+    return docs.join(lost, key(f"`{doc_id}`") == F.col("__lost"), "left_anti")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkfield.llm import exact_dedup, packing, quality_cnn, quality_rules, token_files
+from inkfield.llm import exact_dedup, jaccard_join, packing, quality_cnn, quality_rules, token_files
 from inkfield.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,6 +55,11 @@ def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+@query
+def op6_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.components(table(spark, folder, "documents"), size=4, percent=85)
+
+
 @query
 def op9_quality_cnn(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
