@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkfield.llm import exact_dedup, jaccard_join, packing, quality_cnn, quality_rules, token_files
+from inkfield.llm import exact_dedup, jaccard_join, packing, quality_cnn, quality_rules, substring_dedup, token_files
 from inkfield.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,6 +66,11 @@ def op9_quality_cnn(spark: SparkSession, folder: str) -> DataFrame:
     return quality_cnn.classify(docs, quality_cnn.train(docs, table(spark, folder, "labels")))
 
 
+@query
+def op4_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.passages(table(spark, folder, "documents"))
+
+
 @query
 def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
