@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkfield.llm import exact_dedup, jaccard_join, packing, quality_cnn, quality_rules, substring_dedup, token_files
+from inkfield.llm import exact_dedup, jaccard_join, packing, quality_cnn, quality_rules, sentencepiece_codec, substring_dedup, token_files
 from inkfield.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,6 +60,11 @@ def op6_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.components(table(spark, folder, "documents"), size=4, percent=85)
 
 
+@query
+def op7_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return sentencepiece_codec.encode_decode(table(spark, folder, "documents"), tokenizer_file("piece_bpe_32k.model"), with_ids=False)
+
+
 @query
 def op9_quality_cnn(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")

@@ -34,6 +34,9 @@ def byte_names() -> dict[int, str]:
 class Encoder:
     """``encode`` of the tokenizer in ``path`` without added special tokens, for many texts at a time."""
 
+    #: What stands before a text, so that its first word is like any other.
+    head = "\n"
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -46,11 +49,14 @@ class Encoder:
         self.spelt = [(chr(b), n) for b, n in names.items() if b != 0x20 and chr(b) != n and b != ord(LEAD)]
         self.spelt.insert(0, (LEAD, names[0x20]))
         (self.cut_id,) = self.slim.encode(names[ord(CUT)], add_special_tokens=False).ids
+        self.forget()
+        if not self.drops_blanks:
+            (self.line_id,) = self.whole.encode("\n", add_special_tokens=False).ids
+
+    def forget(self) -> None:
         self.words = pa.array([], pa.large_string())
         self.begins = self.lengths = np.zeros(0, np.int64)
         self.pool = np.zeros(0, "<u4")
-        if not self.drops_blanks:
-            (self.line_id,) = self.whole.encode("\n", add_special_tokens=False).ids
 
     def direct(self, texts: list[str]) -> list[np.ndarray]:
         found = []
@@ -131,8 +137,8 @@ class Encoder:
         if self.drops_blanks:
             parts = pc.split_pattern(pc.replace_substring(column, "\n", " "), " ")
         else:
-            # Each text starts as a line does, so a word follows either a line feed or a blank.
-            line, none = pa.scalar("\n", pa.large_string()), pa.scalar("", pa.large_string())
+            # So every word follows either a line feed or a blank.
+            line, none = pa.scalar(self.head, pa.large_string()), pa.scalar("", pa.large_string())
             parts = pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise(line, column, none), "\n", " \n"), " ")
         offsets = np.asarray(parts.offsets).astype(np.int64) - parts.offsets[0].as_py()
         coded = parts.flatten().dictionary_encode()
@@ -154,7 +160,7 @@ class Encoder:
             at[offsets[:-1]] = len(lengths) - 1
         counts = lengths[at]
         begins = begins[at]
-        if not self.drops_blanks:  # the line feed that was put before each text goes again
+        if not self.drops_blanks and self.head == "\n":  # the line feed that was put before each text goes again
             begins[offsets[:-1] + 1] += 1
             counts[offsets[:-1] + 1] -= 1
         ends = np.cumsum(counts)
