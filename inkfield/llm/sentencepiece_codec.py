@@ -149,7 +149,7 @@ class PieceEncoder(Encoder):
     def plain(self, column: pa.Array) -> np.ndarray:
         if not self.by_words:
             return np.zeros(len(column), bool)
-        odd = pc.match_substring_regex(column, BLANK + "{2}|^$|" + MARK)
+        odd = pc.match_substring_regex(column, BLANK + "{2}|^$|^ |" + MARK)
         return ~odd.to_numpy(zero_copy_only=False)
 
     def direct(self, texts: list[str]) -> list[np.ndarray]:
