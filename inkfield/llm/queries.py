@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from inkfield.llm import exact_dedup, jaccard_join, packing, quality_cnn, quality_rules, sentencepiece_codec, substring_dedup, token_files
+from inkfield.llm import chat_format, exact_dedup, jaccard_join, packing, quality_cnn, quality_rules, sentencepiece_codec, substring_dedup, token_files
 from inkfield.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +120,33 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND NOT ({" OR ".join(f"coalesce({k} > {k}_cut, false)" for k in _MARKS)}) AS kept
 FROM s LEFT JOIN p ON s.lang IS NOT DISTINCT FROM p.lang
 """
+
+
+@query
+def op8_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    trial = "\\### Assistant: </turn> ok"
+    own = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    kinds = {f.name: f.dataType for f in own.schema.fields}
+    both = own.unionByName(
+        spark.createDataFrame([(0, "user", trial), (1, "assistant", trial)], "turn long, role string, text string")
+        .select(F.lit(-7).cast(kinds["conv_id"]).alias("conv_id"), F.col("turn").cast(kinds["turn"]).alias("turn"), "role", "text")
+    )
+    path = tokenizer_file("byte_bpe_50k.json")
+    written = scratch_path(spark, "chats")
+    chat_format.format_chats(both, path).write.parquet(written)
+    return chat_format.digests(spark.read.parquet(written), path)
+
+
+SQL["op8_chat_format"] = """
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'
+), e AS (
+  SELECT *, regexp_replace(text, '(\\\\*)(###|</turn>)', '\\\\\\1\\2', 'g') AS shown FROM t
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length(shown) + length(role) + 15)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
