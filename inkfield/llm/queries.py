@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from inkfield.llm import chat_format, exact_dedup, jaccard_join, packing, quality_cnn, quality_rules, sentencepiece_codec, substring_dedup, token_files
+from inkfield.llm import chat_format, exact_dedup, jaccard_join, packing, quality_cnn, quality_rules, sentencepiece_codec, substring_dedup, token_files, warc
 from inkfield.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -150,3 +150,19 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sum(length(shown) + length(role) + 15)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id
 """
+
+
+@query
+def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
+    archives = scratch_path(spark, "archives")
+    index = warc.write_warc(table(spark, folder, "pages"), archives, segment=1 << 13)
+    return warc.read_warc(spark, index, archives)
+
+
+SQL["op10_warc"] = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha1(coalesce(html, '')) AS d FROM pages)
+SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, d AS payload_digest,
+  CASE WHEN octet_length(b) >= 1000 AND page_id < max(page_id) OVER w THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN octet_length(b) >= 1000 AND page_id < max(page_id) OVER w THEN max(page_id) OVER w END AS refers_to
+FROM p WINDOW w AS (PARTITION BY d)
+"""
