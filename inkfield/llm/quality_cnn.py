@@ -49,11 +49,10 @@ class Layout:
         self.codes = np.full(begins[-1] + WIDTH - 1, PAD, np.uint16)
         lengths = np.diff(offsets)
         self.codes[np.arange(len(data)) + np.repeat(begins[:-1] - offsets[:-1], lengths)] = data
-        # Windows that start in a text but run over its last half would see the next text.
         self.first = np.cumsum(self.halves) - self.halves
         self.n = int(begins[-1])
-        over = (begins[1:-1, None] - np.arange(1, WIDTH)[None, :]).ravel() if len(sizes) > 1 else np.zeros(0, np.int64)
-        self.crossing = over
+        # Windows that run over a text's last half would see the next text; the bytes they begin with are in the window before.
+        self.crossing = (begins[1:, None] - np.arange(1, WIDTH)[None, :]).ravel()
         last = np.cumsum(self.halves) - 1
         self.is_chunk = np.ones(int(self.halves.sum()), bool)
         self.is_chunk[last[self.halves > 1]] = False
