@@ -1,8 +1,8 @@
 """Operators against small sequential models, on random and hand-made cases."""
 
 import base64
+import decimal
 import json
-import math
 import random
 
 import numpy as np
@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import Window as W, functions as F
 
 from inkfield.functions import text as tx
-from inkfield.operators import balloon as bl, labels as lb, layout as lo, raster as rs, sequences as sq, spatial as sp, stages
+from inkfield.operators import balloon as bl, labels as lb, layout as lo, raster as rs, sequences as sq, spatial as sp, stages, textjobs as tj
 from inkfield.operators.ordered import ordered_scan
 from inkfield.sources import readers
 
@@ -105,122 +105,104 @@ def test_components_three_ways(spark):
             assert joined[(i, r, c)] == want[r, c]
 
 
-def brute_order(lines, vertical):
-    def centre(b):
-        return b[1] + b[3] / 2 if vertical else b[2] + b[4] / 2
+BOXES = "g INT, k STRING, x DOUBLE, y DOUBLE, w DOUBLE, h DOUBLE"
 
-    def thick(b):
-        return b[3] if vertical else b[4]
 
-    rows = []
-    for b in sorted(lines, key=lambda b: (centre(b), b[0])):
-        for row in rows:
-            if abs(centre(b) - row["c"]) < 0.5 * min(thick(b), row["t"]):
-                row["t"] = min(row["t"], thick(b))
-                row["b"].append(b)
-                break
-        else:
-            rows.append({"c": centre(b), "t": thick(b), "b": [b]})
-    if vertical:
-        rows.reverse()
-    return [b[0] for row in rows for b in sorted(row["b"], key=lambda b: (b[2] if vertical else b[1], b[0]))]
-
-
-def test_reading_order(spark):
-    rng = random.Random(8)
-    groups = {g: [(f"{i:02d}", rng.uniform(0, 300), rng.uniform(0, 300), rng.uniform(8, 60), rng.uniform(8, 60)) for i in range(rng.randrange(1, 14))] for g in range(40)}
-    df = spark.createDataFrame([(g, *b) for g, bs in groups.items() for b in bs], "g INT, k STRING, x DOUBLE, y DOUBLE, w DOUBLE, h DOUBLE")
+def in_order(spark, groups):
+    df = spark.createDataFrame([(g, *b) for g, bs in groups.items() for b in bs], BOXES)
     got = {}
     for r in sq.reading_order(df, "g", "k", extent=64.0).collect():
         got.setdefault(r.g, {})[r.position] = r.k
-    for g, bs in groups.items():
-        vertical = 2 * sum(b[4] > 1.5 * b[3] for b in bs) >= len(bs)
-        assert [got[g][i] for i in range(len(bs))] == brute_order(bs, vertical)
-
-
-def brute_targets(size, text, ignore, background, ignore_all):
-    w, h = size
-    target, mask = np.zeros((h, w), int), np.ones((h, w), int)
-
-    def cells(b, inset=0.0):
-        x0, y0, x1, y1 = (b[0] + inset) / 4, (b[1] + inset) / 4, (b[0] + b[2] - inset) / 4, (b[1] + b[3] - inset) / 4
-        if x1 - x0 < 1e-3 or y1 - y0 < 1e-3:
-            return None
-        a, t, c, d = max(0, math.floor(x0)), max(0, math.floor(y0)), min(w, math.ceil(x1)), min(h, math.ceil(y1))
-        return (slice(t, d), slice(a, c)) if c > a and d > t else None
-
-    if ignore_all:
-        mask[:] = 0
-    for boxes, value in ((background, 1), (ignore, 0)):
-        for b in boxes:
-            if cells(b):
-                mask[cells(b)] = value
-    cores = []
-    for b in text:
-        if cells(b) is None:
-            continue
-        core = cells(b, b[2] * b[3] * 0.84 / max(1e-6, 2 * (b[2] + b[3])))
-        big = core and min(core[1].stop - core[1].start, core[0].stop - core[0].start) >= 2
-        mask[cells(b)] = (0 if ignore_all else 1) if big else 0
-        if big:
-            cores.append(core)
-    for core in cores:
-        target[core] = 1
-        mask[core] = 1
-    return target, mask
+    return {g: [found[i] for i in range(len(groups[g]))] for g, found in got.items()}
+
+
+def test_reading_order_by_hand(spark):
+    two_rows = [("a", 90.0, 11.0, 30.0, 10.0), ("b", 10.0, 9.0, 30.0, 10.0), ("c", 50.0, 10.0, 30.0, 10.0), ("d", 10.0, 40.0, 30.0, 10.0), ("e", 60.0, 41.0, 30.0, 10.0)]
+    two_columns = [("a", 10.0, 50.0, 10.0, 30.0), ("b", 11.0, 5.0, 10.0, 30.0), ("c", 60.0, 5.0, 10.0, 30.0), ("d", 59.0, 60.0, 10.0, 30.0)]
+    stairs = [(str(n), 40.0 * n, 12.0 * n, 30.0, 10.0) for n in range(5)]  # each apart from the next by more than half a line
+    got = in_order(spark, {1: two_rows, 2: two_columns, 3: stairs, 4: [("only", 1.0, 2.0, 3.0, 4.0)]})
+    assert got == {1: ["b", "c", "a", "d", "e"], 2: ["c", "d", "b", "a"], 3: list("01234"), 4: ["only"]}
+
+
+def test_reading_order_properties(spark):
+    """Every line once; and where lines are far enough apart to be rows, rows follow and each runs on."""
+    rng = random.Random(8)
+    groups, grid = {}, {}
+    for g in range(30):
+        down = g % 2 == 1
+        cells = {(r, c): (f"{r:02d}{c:02d}", rng.uniform(-2, 2), rng.uniform(-2, 2)) for r in range(rng.randrange(1, 6)) for c in range(rng.randrange(1, 6))}
+        thin, long = 12.0, 40.0
+        boxes = [
+            (k, 100 - 20 * r + dx, 50 * c + dy, thin, long) if down else (k, 50 * c + dx, 20 * r + dy, long, thin)
+            for (r, c), (k, dx, dy) in cells.items()
+        ]
+        rng.shuffle(boxes)
+        groups[g], grid[g] = boxes, sorted(k for k, _, _ in cells.values())
+    groups[99] = [(f"{i:02d}", *(rng.uniform(0, 300) for _ in range(2)), *(rng.uniform(8, 60) for _ in range(2))) for i in range(40)]
+    got = in_order(spark, groups)
+    assert sorted(got.pop(99)) == [b[0] for b in groups[99]]
+    assert got == grid
 
 
 def test_rasterise(spark):
+    """Each cell on its own: the highest layer of any box that holds it decides."""
     rng = random.Random(4)
+    columns, rows = 28, 24
 
     def boxes(n):
         return [(rng.uniform(-10, 110), rng.uniform(-10, 90), rng.uniform(0, 60), rng.uniform(0, 50)) for _ in range(n)]
 
+    def held(box, inset=0.0):
+        """Cells that share area with a box, in quarter pixels."""
+        x0, x1 = (box[0] + inset) / 4, (box[0] + box[2] - inset) / 4
+        y0, y1 = (box[1] + inset) / 4, (box[1] + box[3] - inset) / 4
+        if min(x1 - x0, y1 - y0) < 1e-3:
+            return set()
+        return {(r, c) for r in range(rows) for c in range(columns) if c + 1 > x0 and c < x1 and r + 1 > y0 and r < y1}
+
     records = {p: (boxes(6), boxes(2), boxes(2), p % 3 == 0) for p in range(9)}
-    rows = []
+    given = []
     for p, (text, ignore, background, all_) in records.items():
         for role, part in (("text", text), ("ignore", ignore), ("background", background), ("page", [(0.0, 0.0, 112.0, 96.0)])):
-            rows += [(p, role, i, *map(float, b), all_, 28, 24) for i, b in enumerate(part)]
-    df = spark.createDataFrame(rows, "p INT, role STRING, ord INT, x DOUBLE, y DOUBLE, w DOUBLE, h DOUBLE, ignore_all BOOLEAN, columns INT, rows INT")
+            given += [(p, role, i, *map(float, b), all_, columns, rows) for i, b in enumerate(part)]
+    df = spark.createDataFrame(given, "p INT, role STRING, ord INT, x DOUBLE, y DOUBLE, w DOUBLE, h DOUBLE, ignore_all BOOLEAN, columns INT, rows INT")
     got = {(r.p, r.row, r.col): (r.target, r.mask) for r in rs.rasterise(df, ["p"], "ord").collect()}
-    for p, parts in records.items():
-        target, mask = brute_targets((28, 24), *parts)
-        for r in range(24):
-            for c in range(28):
-                assert got.get((p, r, c), (0, 1)) == (target[r, c], mask[r, c])
+    for p, (text, ignore, background, all_) in records.items():
+        layers = [((0, 0), {(r, c) for r in range(rows) for c in range(columns)}, (0, int(not all_)))]
+        layers += [((1, 0), held(b), (0, 1)) for b in background] + [((2, 0), held(b), (0, 0)) for b in ignore]
+        for n, b in enumerate(text):
+            core = held(b, 0.42 * b[2] * b[3] / max(b[2] + b[3], 5e-7))
+            sides = [len({cell[k] for cell in core}) for k in (0, 1)]
+            wide = min(sides) >= 2
+            layers.append(((3, n), held(b), (0, int(wide and not all_))))
+            if wide and held(b):
+                layers.append(((4, 0), core, (1, 1)))
+        for r in range(rows):
+            for c in range(columns):
+                want = max((layer, value) for layer, cells, value in layers if (r, c) in cells)[1]
+                assert got.get((p, r, c), (0, 1)) == want, (p, r, c)
 
 
 def width_of(text):
     return sum(280 if c in "iljI.,;:!'| " else 830 if c in "mwMW" else 550 for c in text)
 
 
-def brute_wrap(words, limit, size):
-    lines = []
-    for word in words:
-        if lines and width_of(lines[-1] + " " + word) * size / 1000 <= limit:
-            lines[-1] += " " + word
-        else:
-            lines.append(word)
-    return lines
-
-
-def brute_fit(text, x, y, w, h):
-    words = text.split()
-    if not words:
-        return 10.0, [], (x, y, w, h), False
-    size = min(28.0, max(10.0, h))
-    while size >= 10:
-        lines = brute_wrap(words, w, size)
-        if max(width_of(line) for line in lines) * size / 1000 <= w and len(lines) * size * 1.15 <= h:
-            return size, lines, (x, y, w, h), False
-        size -= 1
-    wide = min(max(w, max(width_of(word) for word in words) * 10 / 1000), w * 2.5)
-    lines = brute_wrap(words, wide, 10)
-    height = len(lines) * 10.0 * 1.15
-    return 10.0, lines, (x + (w - wide) / 2, y + (h - height) / 2, wide, height), True
+def fewest_lines(words, limit, size):
+    """By dynamic programming over where the last line begins; None when a word is too wide."""
+    best = [0]
+    for end in range(1, len(words) + 1):
+        ways = [best[begin] + 1 for begin in range(end) if best[begin] is not None and width_of(" ".join(words[begin:end])) * size / 1000 <= limit]
+        best.append(min(ways, default=None))
+    return best[-1]
+
+
+def fits(words, w, h, size):
+    lines = fewest_lines(words, w, size)
+    return lines is not None and lines * size * 1.15 <= h
 
 
 def test_fit_text(spark):
+    """What a fit promises: all words, full lines, the largest size that fits, and when none does, room around the same centre."""
     rng = random.Random(6)
     texts = ["", "   ", "one", "incomprehensibilities"] + [
         " ".join("".join(rng.choice("aeilmnrstw.") for _ in range(rng.randrange(1, 11))) for _ in range(rng.randrange(1, 30))) for _ in range(60)]
@@ -228,9 +210,22 @@ def test_fit_text(spark):
     df = spark.createDataFrame(rows, "i INT, t STRING, x DOUBLE, y DOUBLE, w DOUBLE, h DOUBLE")
     fit = lo.fit_text(lo.words_of(F.col("t")), *(F.col(c) for c in "xywh"))
     for r in df.select("*", fit.alias("f")).collect():
-        size, lines, bounds, over = brute_fit(r.t, r.x, r.y, r.w, r.h)
-        assert (r.f.size, list(r.f.lines), r.f.overflowed) == (size, lines, over)
-        assert (r.f.x, r.f.y, r.f.w, r.f.h) == pytest.approx(bounds)
+        words, f = r.t.split(), r.f
+        assert " ".join(f.lines).split() == words
+        if not words:
+            assert (f.size, f.overflowed, f.x, f.y, f.w, f.h) == (10.0, False, r.x, r.y, r.w, r.h)
+            continue
+        firsts = [line.split()[0] for line in f.lines[1:]]
+        assert all(width_of(f"{line} {word}") * f.size / 1000 > f.w for line, word in zip(f.lines, firsts))  # full lines
+        sizes = [min(28.0, max(10.0, r.h)) - k for k in range(19)]
+        able = [s for s in sizes if s >= 10 and fits(words, r.w, r.h, s)]
+        assert f.overflowed == (not able) and f.size == max(able, default=10.0)
+        if able:
+            assert (f.x, f.y, f.w, f.h) == (r.x, r.y, r.w, r.h) and max(map(width_of, f.lines)) * f.size / 1000 <= r.w
+        else:
+            assert (f.x + f.w / 2, f.y + f.h / 2) == pytest.approx((r.x + r.w / 2, r.y + r.h / 2)) and f.h == pytest.approx(len(f.lines) * 11.5)
+            needed = max(map(width_of, words)) / 100
+            assert r.w <= f.w <= 2.5 * r.w + 1e-9 and f.w == pytest.approx(sorted((r.w, needed, 2.5 * r.w))[1])
 
 
 def test_balloon_is_filled_and_given_a_lobe(spark):
@@ -258,6 +253,38 @@ def test_post_process_and_loose(spark):
     assert row.l == "abx!"
 
 
+def test_blanks_of_any_script(spark):
+    df = spark.createDataFrame([("\u3000あ\u00a0\u3000い ",), ("\u3000",), ("",)], "source STRING")
+    rows = df.select(tx.post_process(F.col("source")).alias("p"), tx.trimmed(F.col("source")).alias("t")).collect()
+    assert [(r.p, r.t) for r in rows] == [("あい", "あ\u00a0\u3000い"), ("", ""), ("", "")]
+    assert tj.translatable(df).count() == 1
+    replies = spark.createDataFrame([(1, 3, "1.\u3000b\n\u3000\n c\n3：\u3000「d」\n3) e\nmore")], "r LONG, count INT, reply STRING")
+    assert sorted((r.number, r.text) for r in tj.parse_replies(replies, "r").collect() if r.text) == [(1, "b c"), (3, "e more")]
+    assert tj.parse_replies(replies, "r").where("text IS NULL").first().number == 2
+
+
+def test_error_rate_of_nothing_wanted(spark):
+    rows = spark.createDataFrame([("a", "…", ""), ("b", "x", "y")], "slice STRING, want STRING, got STRING")
+    assert {r.slice: r.error_rate for r in tj.loose_character_error(rows, ["slice"]).collect()} == {"a": None, "b": 1.0}
+
+
+def test_region_text_keeps_every_character(spark):
+    regions = spark.createDataFrame([(1, "ja"), (2, "ko")], "r LONG, language STRING")
+    lines = spark.createDataFrame([(r, p, t) for r in (1, 2) for p, t in ((0, "a\u0001"), (1, ""), (2, "b"))], "r LONG, position INT, text STRING")
+    whole = spark.createDataFrame([], "r LONG, text STRING")
+    assert {r.r: r.text for r in tj.region_text(regions, lines, whole, "r").collect()} == {1: "a\u0001b", 2: "a\u0001 b"}
+
+
+def test_stage_schema_and_languages(spark):
+    def factory():
+        return lambda batch: pd.DataFrame({"i": batch["i"], "price": [decimal.Decimal("1.50")] * len(batch), "pair": [{"a": 1, "b": "x"}] * len(batch)})
+
+    schema = "i LONG, price DECIMAL(5,2), pair STRUCT<a: INT, b: STRING>"
+    rows = spark.createDataFrame([(1, "ja"), (2, "xx"), (3, None)], "i LONG, language STRING")
+    got = {r.i: (r.status, r.error) for r in stages.apply_by_language(rows, {"ja": factory}, schema, slices=2).collect()}
+    assert got == {1: ("ok", None), 2: ("error", "no model for xx"), 3: ("error", "no model for null")}
+
+
 def test_leak_guard_names_the_ids(spark):
     train = spark.createDataFrame([(1,), (2,), (3,)], "page_id LONG")
     held = spark.createDataFrame([(3,), (9,)], "page_id LONG")
