@@ -11,8 +11,11 @@ from pyspark.sql.types import StringType
 # Fixed values the results depend on.
 ASCII_VISIBLE = "".join(chr(c) for c in range(0x21, 0x7F))
 FULL_WIDTH = "".join(chr(c + 0xFEE0) for c in range(0x21, 0x7F))
-LOOSE_DROPPED = r"[.．…・♪❤♥♡\s]"
-REPLY_LABEL = r"(?i)^\s*(?:english|translation|translated(?:\s+text)?|answer|output)\s*[:：-]\s*"
+# White space of any script; the engine's own \s is ASCII only.
+BLANKS = r"\t-\r\x1c-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+BLANK = f"[{BLANKS}]"
+LOOSE_DROPPED = f"[.．…・♪❤♥♡{BLANKS}]"
+REPLY_LABEL = f"(?i)^{BLANK}*(?:english|translation|translated(?:{BLANK}+text)?|answer|output){BLANK}*[:：-]{BLANK}*"
 QUOTE_PAIRS = [('"', '"'), ("'", "'"), ("「", "」"), ("『", "』"), ("“", "”"), ("‘", "’")]
 SOURCE_NAMES = {"ja": ("Japanese", "romaji"), "zh": ("Chinese", "pinyin"), "ko": ("Korean", "romanization")}
 TARGET_NAMES = {"en": "English", "id": "Indonesian"}
@@ -31,12 +34,12 @@ BATCH_PROMPT = (
 
 
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.regexp_replace(text, f"^{BLANK}+|{BLANK}+$", "")
 
 
 def post_process(text: Column) -> Column:
     """White space removed, ellipses as dots, dot runs unified, visible ASCII made full width."""
-    dense = F.replace(F.regexp_replace(text, r"\s+", ""), F.lit("…"), F.lit("..."))
+    dense = F.replace(F.regexp_replace(text, f"{BLANK}+", ""), F.lit("…"), F.lit("..."))
     dotted = F.regexp_replace(dense, r"(?<=[・.])・|・(?=[・.])", ".")
     return F.translate(dotted, ASCII_VISIBLE, FULL_WIDTH)
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from inkfield.functions import colour, geometry as g
+from inkfield.functions.text import trimmed
 from inkfield.operators.ordered import ordered_scan
 
 # Fixed values the results depend on.
@@ -42,10 +43,6 @@ def candidate_gate(tiles: DataFrame) -> DataFrame:
     return tiles.where(has_pixels() & clears_gate(F.col("w"), F.col("h")))
 
 
-def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
-
-
 def clean_patch(patches: DataFrame) -> DataFrame:
     """Every field a settings change carries, made valid; fields it lacks stay null."""
     t = F.col("threshold")
@@ -300,9 +297,11 @@ def quota_head(pages: DataFrame, order: str, limit: int) -> DataFrame:
     A negative can come twice when the limit reaches past the pages.
     """
     is_page = F.col("kind") == "page"
-    head = pages.orderBy(~is_page, order).limit(limit)
-    negatives = pages.where(~is_page).orderBy(order).limit(max(1, limit // 10))
-    return head.unionAll(negatives)
+    ranked = global_rank(pages.where(is_page), order, "_rank")
+    negatives = global_rank(pages.where(~is_page), order, "_rank")
+    beyond = max(0, limit - pages.where(is_page).count())
+    head = ranked.where(F.col("_rank") <= limit).unionByName(negatives.where(F.col("_rank") <= beyond))
+    return head.unionByName(negatives.where(F.col("_rank") <= max(1, limit // 10))).drop("_rank")
 
 
 def latest_keys(touches: DataFrame, group: str, key: str, at: Sequence[str], keep: int = RETAINED_KEYS) -> DataFrame:

@@ -341,7 +341,7 @@ def compare(before: DataFrame, after: DataFrame) -> DataFrame:
 def fixed_report(swept: DataFrame, threshold: float, models: Sequence[str]) -> DataFrame:
     """Slices by models side by side at one threshold."""
     return (
-        swept.where(F.col("threshold") == threshold)
+        swept.where(F.round(F.col("threshold") * 1000).cast("long") == round(threshold * 1000))  # by step: a computed input is never equal
         .groupBy("slice")
         .pivot("model", list(models))
         .agg(

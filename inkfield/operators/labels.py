@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from inkfield.functions import geometry as g
+from inkfield.functions.text import BLANK
+from inkfield.operators.decide import global_rank
 
 # Fixed values the results depend on.
 LONG_SIDE = 1536
@@ -31,12 +33,14 @@ def drop_leaked(train: DataFrame, held_out: DataFrame, key: str = "page_id") ->
 
 
 def assert_no_leak(train: DataFrame, held_out: DataFrame, key: str = "page_id", shown: int = 100) -> None:
-    """Fails naming the first leaked ids in order; their number is not limited, only the message."""
+    """Fails naming the first leaked ids in order; the error's ``found`` is the table of all of them."""
     found = leaked(train, held_out, key)
     total = found.count()
     if total:
         first = [row[0] for row in found.orderBy(key).limit(shown).collect()]
-        raise LeakError(f"{total} held-out ids in the training input, first: {first}")
+        error = LeakError(f"{total} held-out ids in the training input, first: {first}")
+        error.found = found
+        raise error
 
 
 def shared_ids(left: DataFrame, right: DataFrame, key: str = "page_id") -> DataFrame:
@@ -44,15 +48,18 @@ def shared_ids(left: DataFrame, right: DataFrame, key: str = "page_id") -> DataF
 
 
 def require_match(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Inner join in which every left row must find its key."""
-    missing = left.join(right.select(key), key, "left_anti").select(key).limit(5).collect()
-    if missing:
-        raise MissingKeyError(f"no match for {[row[0] for row in missing]}")
+    """Inner join in which every left row must find its key; the error's ``found`` is the table of keys that don't."""
+    missing = left.join(right.select(key), key, "left_anti").select(key)
+    first = missing.limit(5).collect()
+    if first:
+        error = MissingKeyError(f"no match for {[row[0] for row in first]} and possibly more")
+        error.found = missing
+        raise error
     return left.join(right, key)
 
 
 def _words(text: str) -> Column:
-    return F.filter(F.split(F.col(text), r"\s+"), lambda w: w != "")
+    return F.filter(F.split(F.col(text), f"{BLANK}+"), lambda w: w != "")
 
 
 def passage_matches(documents: DataFrame, passages: DataFrame) -> DataFrame:
@@ -182,8 +189,10 @@ def split(records: DataFrame, count: int, seed: int) -> DataFrame:
     """``val`` or ``train`` per record: a seeded choice of reviewed pages, the rest for training."""
     chosen = (
         records.where((F.col("kind") == "page") & F.col("reviewed"))
-        .orderBy(F.md5(F.concat_ws("-", "page_id", F.lit(seed))), "page_id")
-        .limit(count)
+        .withColumn("_draw", F.conv(F.substring(F.md5(F.concat_ws("-", "page_id", F.lit(seed))), 1, 15), 16, 10).cast("long"))
+    )
+    chosen = (
+        global_rank(chosen, "_draw", "_rank").where(F.col("_rank") <= count)
         .select("page_id", F.lit("val").alias("part"))
     )
     return records.join(chosen, "page_id", "left").withColumn("part", F.coalesce("part", F.lit("train")))

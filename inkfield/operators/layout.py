@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from inkfield.functions.arrays import bind
-from inkfield.functions.text import trimmed
+from inkfield.functions.text import BLANK, trimmed
 
 # Fixed values the results depend on.
 MIN_SIZE, MAX_SIZE = 10, 28
@@ -42,7 +42,7 @@ SPACE = GLYPH_WIDTHS[" "]
 def words_of(text: Column) -> Column:
     """Words with their widths."""
     return F.transform(
-        F.filter(F.split(text, r"\s+"), lambda w: w != ""), lambda w: F.struct(w.alias("text"), measure(w).alias("m"))
+        F.filter(F.split(text, f"{BLANK}+"), lambda w: w != ""), lambda w: F.struct(w.alias("text"), measure(w).alias("m"))
     )
 
 

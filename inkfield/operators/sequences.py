@@ -116,8 +116,8 @@ def collapse_array(classes: Column, blank: int = 0) -> Column:
     )
 
 
-def repeat_guard(symbols: DataFrame, group: str, order: Sequence[str], bucket: Column) -> DataFrame:
-    """Each sequence up to its end token, its 17th repeat in a row, or its 300th step.
+def repeat_guard(symbols: DataFrame, group: str, order: Sequence[str], bucket: Column, max_repeats: int = MAX_REPEATS, max_length: int = MAX_LENGTH) -> DataFrame:
+    """Each sequence up to its end token, one repeat in a row more than ``max_repeats``, or ``max_length`` steps.
 
     The start token stands before the first step, so a leading run of it is one
     repeat ahead.
@@ -129,11 +129,11 @@ def repeat_guard(symbols: DataFrame, group: str, order: Sequence[str], bucket: C
     starts = runs.groupBy(group, "run").agg(F.min("place").alias("run_start"))
     marked = runs.join(starts, [group, "run"])
     ahead = F.when((F.col("run") == 1) & (F.col("class") == START_TOKEN), 1).otherwise(0)
-    stops = (F.col("class") == END_TOKEN) | (F.col("place") - F.col("run_start") + ahead >= MAX_REPEATS)
+    stops = (F.col("class") == END_TOKEN) | (F.col("place") - F.col("run_start") + ahead >= max_repeats)
     first_stop = marked.where(stops).groupBy(group).agg(F.min("place").alias("stop"))
     return (
         marked.join(first_stop, group, "left")
-        .where((F.col("place") < F.coalesce("stop", F.lit(MAX_LENGTH + 1))) & (F.col("place") <= MAX_LENGTH))
+        .where((F.col("place") < F.coalesce("stop", F.lit(max_length + 1))) & (F.col("place") <= max_length))
         .drop("run", "run_start", "before", "stop")
     )
 

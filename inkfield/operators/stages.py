@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 Model = Callable[[pd.DataFrame], pd.DataFrame]
 
@@ -18,7 +18,7 @@ def apply_stage(df: DataFrame, factory: Callable[[], Model], schema: str, batch_
     row; a row that fails keeps nulls, ``status`` 'error' and the message. If
     the model has ``dispose`` it is called at the end of the task.
     """
-    columns = [field.split()[0] for field in schema.split(",")]
+    columns = T.StructType.fromDDL(schema).names
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = factory()
@@ -59,10 +59,16 @@ def apply_by_language(df: DataFrame, factories: dict[str, Callable[[], Model]],
     """One model per language: rows go to tasks of their language only, each language over many tasks.
 
     A common language would overload one task, so each is spread over ``slices``.
+    Rows of a language without a model come back as errors.
     """
-    out = None
+    other = df.where(~F.coalesce(F.col("language").isin(list(factories)), F.lit(False)))
+    held = {f.name.lower(): f.name for f in df.schema.fields}
+    out = other.select(
+        *((F.col(held[f.name.lower()]) if f.name.lower() in held else F.lit(None)).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(schema).fields),
+        F.lit("error").alias("status"), F.concat(F.lit("no model for "), F.coalesce("language", F.lit("null"))).alias("error"),
+    )
     for language, factory in factories.items():
         rows = df.where(F.col("language") == language).repartition(slices)
         part = apply_stage(rows, factory, schema)
-        out = part if out is None else out.unionByName(part)
+        out = out.unionByName(part)
     return out

@@ -14,7 +14,7 @@ from inkfield.operators.ordered import ordered_scan
 BATCH_LIMIT = 40
 MAX_TOKENS = 512
 FIRST_TEXT_TOKEN = 5
-NUMBERED = r"^\s*(\d{1,3})\s*[.):：]\s*(.*)$"
+NUMBERED = f"^{tx.BLANK}*(\\d{{1,9}}){tx.BLANK}*[.):：]{tx.BLANK}*(.*)$"
 
 
 def character_error(readings: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -25,7 +25,7 @@ def character_error(readings: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.count_if(F.col("got") == F.col("want")).alias("exact"),
         F.sum(errors).cast("long").alias("errors"),
         F.sum(F.length("want")).alias("characters"),
-    ).withColumn("error_rate", F.col("errors") / F.col("characters"))
+    ).withColumn("error_rate", F.try_divide("errors", "characters"))  # null where nothing was wanted
 
 
 def loose_character_error(readings: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -83,7 +83,8 @@ def parse_replies(replies: DataFrame, key: str) -> DataFrame:
 
     A line starting with a number in range opens that entry, replacing an
     earlier one; other lines continue the entry above. A reply is one row, so
-    its lines are worked on inside the row and nothing is shuffled.
+    its lines are worked on inside the row and nothing is shuffled; each line is
+    looked at a fixed number of times.
     """
 
     def tag(line: Column, i: Column) -> Column:
@@ -95,20 +96,21 @@ def parse_replies(replies: DataFrame, key: str) -> DataFrame:
 
     tagged = replies.select(key, "count", F.transform(F.split("reply", "\n"), tag).alias("lines"))
     opened = tagged.withColumn("starts", F.filter("lines", lambda s: s["number"].isNotNull()))
-    asked = opened.where("count > 0").select(
-        key, "lines", "starts", F.explode(F.sequence(F.lit(1), F.col("count"))).alias("number")
-    ).withColumn("start", F.try_element_at(F.filter("starts", lambda s: s["number"] == F.col("number")), F.lit(-1)))
 
-    def entry(start: Column) -> Column:
-        following = F.filter("starts", lambda s: s["i"] > start["i"])
-        end = F.coalesce(F.try_element_at(following, F.lit(1))["i"], F.size("lines"))
-        more = bind(end, lambda stop: F.transform(
-            F.filter("lines", lambda s: (s["i"] > start["i"]) & (s["i"] < stop) & (s["line"] != "")), lambda s: s["line"]
-        ))
-        return F.concat_ws(" ", start["rest"], F.array_join(more, " "))
+    def entry(start: Column, k: Column) -> Column:
+        end = F.coalesce(F.get("starts", k + 1)["i"], F.size("lines"))
+        more = F.filter(F.slice("lines", start["i"] + 2, end - start["i"] - 1), lambda s: s["line"] != "")
+        text = F.concat_ws(" ", start["rest"], F.array_join(F.transform(more, lambda s: s["line"]), " "))
+        return F.struct(start["number"].alias("number"), start["i"].alias("i"), text.alias("text"))
 
-    joined = bind(F.col("start"), entry)
-    return asked.select(key, "number", F.when(F.col("start").isNotNull(), tx.clean_reply(tx.trimmed(joined))).alias("text"))
+    entries = opened.where("count > 0").select(key, "count", F.array_sort(F.transform("starts", entry)).alias("entries"))
+    answered = entries.select(
+        key, "count", F.filter("entries", lambda e, k: ~F.coalesce(F.get("entries", k + 1)["number"] == e["number"], F.lit(False))).alias("answers")
+    )
+    missing = F.array_except(F.sequence(F.lit(1), F.col("count")), F.transform("answers", lambda e: e["number"]))
+    skipped = F.transform(missing, lambda n: F.struct(n.alias("number"), F.lit(-1).alias("i"), F.lit(None).cast("string").alias("text")))
+    rows = answered.select(key, F.explode(F.concat("answers", skipped)).alias("e"))
+    return rows.select(key, F.col("e.number").alias("number"), F.when(F.col("e.text").isNotNull(), tx.clean_reply(tx.trimmed(F.col("e.text")))).alias("text"))
 
 
 def reask(parsed: DataFrame, key: str) -> DataFrame:
@@ -129,21 +131,11 @@ def not_done(regions: DataFrame, done: DataFrame, key: Sequence[str]) -> DataFra
     return regions.join(done, list(key), "left_anti")
 
 
-def label_union(sets: dict[str, DataFrame], width: int = 2) -> DataFrame:
-    """Reference lines of several languages with ids like ``ko07`` from their position."""
-    parts = [
-        df.select(
-            F.lit(language).alias("language"),
-            F.concat(F.lit(language), F.lpad(F.col("position").cast("string"), F.greatest(
-                F.lit(width), F.length(F.col("position").cast("string"))), F.lit("0"))).alias("id"),
-            "source",
-        )
-        for language, df in sets.items()
-    ]
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.unionByName(part)
-    return union
+def label_union(lines: DataFrame, width: int = 2) -> DataFrame:
+    """Reference lines of any languages with ids like ``ko07`` from their language and position."""
+    number = F.col("position").cast("string")
+    padded = F.lpad(number, F.greatest(F.lit(width), F.length(number)), F.lit("0"))
+    return lines.select("language", F.concat("language", padded).alias("id"), "source")
 
 
 def detokenize(sequences: DataFrame, vocabulary: DataFrame, key: str) -> DataFrame:
@@ -171,14 +163,14 @@ def region_text(regions: DataFrame, lines: DataFrame, whole: DataFrame, key: str
         .agg(F.array_sort(F.collect_list(F.struct("position", "text"))).alias("parts"))
     )
     seen = lines.select(key).distinct().withColumn("has_lines", F.lit(True))
-    separator = F.when(F.col("language") == "ko", " ").otherwise("")
-    text = F.array_join(F.transform("parts", lambda p: p["text"]), "\u0001")
+    parts = F.transform("parts", lambda p: p["text"])
+    text = F.when(F.col("language") == "ko", F.array_join(parts, " ")).otherwise(F.array_join(parts, ""))
     return (
         regions.join(joined, key, "left").join(seen, key, "left")
         .join(whole.select(key, F.col("text").alias("whole_text")), key, "left")
         .select(
             key,
-            F.when(F.col("has_lines"), F.coalesce(F.replace(text, F.lit("\u0001"), separator), F.lit("")))
+            F.when(F.col("has_lines"), F.coalesce(text, F.lit("")))
             .otherwise(F.coalesce("whole_text", F.lit(""))).alias("text"),
         )
     )

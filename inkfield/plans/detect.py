@@ -110,14 +110,21 @@ def pareto(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def compare_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     regions, found, pages = (f(spark, sf_dir) for f in (st.regions, st.detections, st.pages))
-    before = ev.slice_tally(regions, found.where("model = 'F'"), pages)
-    after = ev.slice_tally(regions, found.where("model = 'O'"), pages)
+    first, *_, last = _models(found)
+    before = ev.slice_tally(regions, found.where(F.col("model") == first), pages)
+    after = ev.slice_tally(regions, found.where(F.col("model") == last), pages)
     return rounded(ev.compare(before, after))
 
 
+def _models(rows: DataFrame) -> list[str]:
+    """Names of all models in order, a handful."""
+    return sorted(r[0] for r in rows.select("model").distinct().collect())
+
+
 @query
 def fixed_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(ev.fixed_report(_swept(spark, sf_dir), 0.25, ["F", "O"]))
+    swept = _swept(spark, sf_dir)
+    return rounded(ev.fixed_report(swept, 0.25, _models(swept)))
 
 
 @query

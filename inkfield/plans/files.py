@@ -67,8 +67,9 @@ def sweep_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     def compute(models: list[str]) -> DataFrame:
         return ev.sweep_counts(regions, found.where(F.col("model").isin(models)))
 
-    writers.incremental(spark, store, ["O"], compute)
-    return writers.incremental(spark, store, ["O", "F"], compute).select(
+    names = sorted((r[0] for r in found.select("model").distinct().collect()), reverse=True)
+    writers.incremental(spark, store, names[:1], compute)
+    return writers.incremental(spark, store, names, compute).select(
         "model", "threshold", "detections", "spurious", F.col("model_order").cast("long"))
 
 
@@ -122,10 +123,11 @@ def stage_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
         return factory
 
     documents = st.table(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias("language"))
-    factories = {lang: scaled(i + 1) for i, lang in enumerate(("en", "fr", "de", "es"))}
-    return stages.apply_by_language(documents, factories, "doc_id LONG, score LONG", slices=4).select("doc_id", "score", "status")
+    factories = {lang: scaled(i + 1) for i, lang in enumerate(("en", "fr", "de"))}  # one language has none
+    return stages.apply_by_language(documents, factories, "doc_id LONG, score LONG", slices=4).select("doc_id", "score", "status", "error")
 
 
 SQL["stage_by_language"] = """
-SELECT doc_id, length(text) * list_position(['en', 'fr', 'de', 'es'], lang) AS score, 'ok' AS status FROM documents
-WHERE lang IN ('en', 'fr', 'de', 'es')"""
+SELECT doc_id, length(text) * CASE lang WHEN 'en' THEN 1 WHEN 'fr' THEN 2 WHEN 'de' THEN 3 END AS score,
+  CASE WHEN lang IN ('en', 'fr', 'de') THEN 'ok' ELSE 'error' END AS status,
+  CASE WHEN lang NOT IN ('en', 'fr', 'de') THEN 'no model for ' || lang END AS error FROM documents"""

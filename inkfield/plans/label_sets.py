@@ -117,11 +117,15 @@ SELECT *, failed <= 0.02 * (pages + negatives + failed) AS within_budget FROM (
 
 @query
 def split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lb.split(_records(spark, sf_dir), 400, 7).select("page_id", "kind", "part")
+    """A twentieth of the reviewed pages for validation."""
+    records = _records(spark, sf_dir)
+    count = records.where("kind = 'page' AND reviewed").count() // 20
+    return lb.split(records, count, 7).select("page_id", "kind", "part")
 
 
 SQL["split"] = views(v.PAGES, v.LINES, _RECORDS) + """, val_v AS (
-  SELECT page_id FROM records_v WHERE kind = 'page' AND reviewed ORDER BY md5(page_id || '-7'), page_id LIMIT 400)
+  SELECT page_id FROM (SELECT page_id, row_number() OVER (ORDER BY md5(page_id || '-7'), page_id) AS r, count(*) OVER () AS n
+    FROM records_v WHERE kind = 'page' AND reviewed) WHERE r <= n // 20)
 SELECT page_id, kind, CASE WHEN page_id IN (SELECT page_id FROM val_v) THEN 'val' ELSE 'train' END AS part FROM records_v"""
 
 

@@ -56,6 +56,35 @@ SELECT lang, count(*) AS n, count(*) FILTER (got = want) AS exact,
 FROM loose_v GROUP BY lang"""
 
 
+# Halves of a text as a Japanese one is set: full-width blanks, no-break blanks, middle dots and ellipses.
+_WIDE = {" ": "\u3000", ",": "\u00a0", "a": "ａ", "e": "・", "i": "…"}
+
+
+@query
+def wide_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text rules on every document, its letters and blanks made those of East Asian print."""
+    wide = F.concat(F.lit("\u3000"), F.translate("text", "".join(_WIDE), "".join(_WIDE.values())), F.lit("\u00a0\u3000"))
+    rows = st.table(spark, sf_dir, "documents").select("doc_id", wide.alias("source"))
+    blank = rows.select((-1 - F.col("doc_id")).alias("doc_id"), F.lit("\u3000\u00a0 ").alias("source"))
+    return tj.translatable(rows.unionByName(blank)).select(
+        "doc_id", F.md5(tx.post_process(F.col("source"))).alias("dense"), F.md5(tx.trimmed(F.col("source"))).alias("trimmed"),
+        F.size(F.filter(F.split("source", f"{tx.BLANK}+"), lambda w: w != "")).cast("long").alias("words"),
+    )
+
+
+_ANY_BLANK = "[\\t-\\r \u00a0\u3000]"
+SQL["wide_text"] = f"""
+WITH w AS (SELECT doc_id, '\u3000' || translate(text, ' ,aei', '\u3000\u00a0ａ・…') || '\u00a0\u3000' AS source FROM documents),
+d AS (SELECT *, replace(regexp_replace(source, '{_ANY_BLANK}+', '', 'g'), '…', '...') AS dense FROM w),
+r AS (SELECT *, list_aggregate(list_transform(range(1, length(dense) + 1), lambda i: CASE WHEN dense[i] = '・'
+  AND (i > 1 AND dense[i - 1] IN ('・', '.') OR i < length(dense) AND dense[i + 1] IN ('・', '.')) THEN '.' ELSE dense[i] END), 'string_agg', '') AS dotted FROM d)
+SELECT doc_id, md5(array_to_string(list_transform(range(1, length(dotted) + 1), lambda i:
+    CASE WHEN ord(dotted[i]) BETWEEN 33 AND 126 THEN chr(ord(dotted[i]) + 65248) ELSE dotted[i] END), '')) AS dense,
+  md5(regexp_replace(source, '^{_ANY_BLANK}+|{_ANY_BLANK}+$', '', 'g')) AS trimmed,
+  len(list_filter(string_split_regex(source, '{_ANY_BLANK}+'), lambda x: x <> '')) AS words
+FROM r"""
+
+
 @query
 def normalisation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tj.normalisation_report(st.table(spark, sf_dir, "documents"))
@@ -128,15 +157,15 @@ spoiled_v AS (
       WHEN i % 4 = 1 THEN '"' || line || '"' ELSE line END END AS line
   FROM source_v WHERE i % 5 <> 0),
 tagged_v AS (
-  SELECT *, CASE WHEN TRY_CAST(regexp_extract(line, '^\s*(\d{1,3})\s*[.):：]\s*(.*)$', 1) AS INT) BETWEEN 1 AND n
-    THEN TRY_CAST(regexp_extract(line, '^\s*(\d{1,3})\s*[.):：]\s*(.*)$', 1) AS INT) END AS num FROM spoiled_v),
+  SELECT *, CASE WHEN TRY_CAST(regexp_extract(line, '^\s*(\d{1,9})\s*[.):：]\s*(.*)$', 1) AS INT) BETWEEN 1 AND n
+    THEN TRY_CAST(regexp_extract(line, '^\s*(\d{1,9})\s*[.):：]\s*(.*)$', 1) AS INT) END AS num FROM spoiled_v),
 carried_v AS (
   SELECT *, last_value(CASE WHEN num IS NOT NULL THEN i END IGNORE NULLS) OVER (PARTITION BY reply_id ORDER BY i
     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS start FROM tagged_v),
 final_v AS (SELECT reply_id, num, max(i) AS start FROM tagged_v WHERE num IS NOT NULL GROUP BY ALL),
 entry_v AS (
   SELECT f.reply_id, f.num, regexp_replace(string_agg(CASE WHEN c.i = f.start
-      THEN regexp_extract(line, '^\s*(\d{1,3})\s*[.):：]\s*(.*)$', 2) ELSE regexp_replace(line, '^\s+|\s+$', '', 'g') END, ' ' ORDER BY c.i),
+      THEN regexp_extract(line, '^\s*(\d{1,9})\s*[.):：]\s*(.*)$', 2) ELSE regexp_replace(line, '^\s+|\s+$', '', 'g') END, ' ' ORDER BY c.i),
       '^\s+|\s+$', '', 'g') AS raw
   FROM final_v f JOIN carried_v c ON c.reply_id = f.reply_id AND c.start = f.start
   WHERE c.i = f.start OR regexp_replace(line, '^\s+|\s+$', '', 'g') <> '' GROUP BY ALL),
@@ -201,13 +230,12 @@ SELECT lang, count(*) AS lines FROM requests_v r WHERE NOT EXISTS (
 
 @query
 def label_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = st.table(spark, sf_dir, "documents").selectExpr("lang", "doc_id AS position", "md5(text) AS source")
-    return tj.label_union({lang: documents.where(F.col("lang") == lang) for lang in ("en", "fr", "de", "es")})
+    return tj.label_union(st.table(spark, sf_dir, "documents").selectExpr("lang AS language", "doc_id AS position", "md5(text) AS source"))
 
 
 SQL["label_union"] = """
 SELECT lang AS language, lang || lpad(CAST(doc_id AS VARCHAR), CAST(greatest(2, length(CAST(doc_id AS VARCHAR))) AS INT), '0') AS id,
-  md5(text) AS source FROM documents WHERE lang IN ('en', 'fr', 'de', 'es')"""
+  md5(text) AS source FROM documents"""
 
 
 @query

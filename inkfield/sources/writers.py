@@ -21,7 +21,9 @@ def incremental(spark: SparkSession, store: str, requested: Sequence[str], compu
     """
     try:
         have = {row[0] for row in spark.read.parquet(store).select("model").distinct().collect()}  # one per model
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         have = set()
     todo = [m for m in requested if m not in have]
     if todo:
