@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from inkfield.operators import decide as de
 from inkfield.plans import standins as st, views_sql as v
@@ -12,40 +14,51 @@ from inkfield.session import scratch_path
 from inkfield.streaming import jobs
 
 
-def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table as a stream of files."""
-    schema = st.table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+#: Arrivals a table is cut into, how late a row may arrive, and how long the jobs wait for it.
+ARRIVALS, LATE_S, DELAY = 4, 1800, "1 hour"
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stream(spark, sf_dir, "events").selectExpr(
+    return st.table(spark, sf_dir, "events").selectExpr(
         "event_id", "user_id", "event_type", "value", "CAST(get_json_object(props, '$.k') AS INT) AS k",
         "timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts) AS at_us",
     ).withColumn("at", F.timestamp_micros("at_us"))
 
 
-def drain(stream: DataFrame, mode: str) -> DataFrame:
-    """Runs a stream over all its input into files; rows carry the batch that wrote them."""
-    spark = stream.sparkSession
-    out = scratch_path(spark, "stream")
+def late(event: str = "event_id", at_us: str = "at_us") -> Column:
+    """When a row arrives: up to LATE_S after it happened, so rows arrive out of order."""
+    return F.col(at_us) + F.pmod(F.xxhash64(event), F.lit(LATE_S)) * 1_000_000
+
+
+def drain(rows: DataFrame, arrives: Column, job: Callable[[DataFrame], DataFrame], mode: str, arrivals: int = ARRIVALS) -> DataFrame:
+    """Runs a stream over rows that arrive as files, some at a time; results carry the batch that wrote them.
+
+    The stream stops after each arrival and starts again from its checkpoint.
+    """
+    spark = rows.sparkSession
+    inbox, out, state = (scratch_path(spark, name) for name in ("stream-in", "stream", "stream-state"))
+    timed = rows.withColumn("_arrives", arrives)
+    cuts = timed.agg(F.percentile_approx("_arrives", [i / arrivals for i in range(1, arrivals)], 1000)).head()[0] or []
+    part = sum(((F.col("_arrives") > c).cast("int") for c in cuts), F.lit(0))
+    filed = timed.withColumn("_part", part)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         # Overwriting the batch's own folder makes a repeated batch harmless.
         batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
-    job = (
-        stream.writeStream.outputMode(mode).foreachBatch(write)
-        .option("checkpointLocation", scratch_path(spark, "stream-state")).trigger(availableNow=True).start()
-    )
-    job.awaitTermination()
+    for number in range(arrivals):
+        filed.where(F.col("_part") == number).drop("_part", "_arrives").write.mode("append").parquet(inbox)
+        stream = job(spark.readStream.schema(rows.schema).parquet(inbox))
+        running = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start()
+        running.awaitTermination()
     return spark.read.option("basePath", out).parquet(out)
 
 
 @query
 def stream_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _stream(spark, sf_dir, "orders").selectExpr("o_orderkey AS page_id", "o_orderstatus AS status")
-    return drain(jobs.guard_stream(pages, st.held_out(spark, sf_dir)), "append").select("page_id", "status")
+    pages = st.table(spark, sf_dir, "orders").selectExpr("o_orderkey AS page_id", "o_orderstatus AS status")
+    held_out = st.held_out(spark, sf_dir)
+    return drain(pages, F.col("page_id"), lambda s: jobs.guard_stream(s, held_out), "append").select("page_id", "status")
 
 
 SQL["stream_guard"] = "SELECT o_orderkey AS page_id, o_orderstatus AS status FROM orders WHERE o_orderpriority <> '1-URGENT'"
@@ -53,8 +66,8 @@ SQL["stream_guard"] = "SELECT o_orderkey AS page_id, o_orderstatus AS status FRO
 
 @query
 def stream_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    readings = _events(spark, sf_dir).selectExpr("at", "event_type AS slice", "value >= 50 AS hit")
-    rows = drain(jobs.slice_stream(readings), "update").withColumn(
+    readings = _events(spark, sf_dir).selectExpr("event_id", "at_us", "at", "event_type AS slice", "value >= 50 AS hit")
+    rows = drain(readings, late(), jobs.slice_stream, "update").withColumn(
         "day", F.floor(F.unix_micros("span.start") / 86_400_000_000))
     last = rows.groupBy("slice", "day").agg(F.max_by(F.struct("n", "hits"), "batch_id").alias("last"))
     return last.select("slice", "day", "last.n", "last.hits")
@@ -67,7 +80,7 @@ SELECT event_type AS slice, at_us // 86400000000 AS day, count(*) AS n, count(*)
 @query
 def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     touches = _events(spark, sf_dir).select("user_id", "at_us", "event_id", (F.col("k") % 20).cast("long").alias("page"))
-    rows = drain(jobs.latest_keys_stream(touches), "update")
+    rows = drain(touches, late(), jobs.latest_keys_stream, "update")
     newest = rows.groupBy("user_id").agg(F.max("batch_id").alias("batch_id"))
     return rows.join(newest, ["user_id", "batch_id"]).select("user_id", "page", "place")
 
@@ -81,44 +94,51 @@ SELECT user_id, page, CAST(place AS INT) AS place FROM (
 @query
 def stream_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     patches = _events(spark, sf_dir).selectExpr(
-        "event_id", "user_id", "at_us", "value / 100 AS threshold",
+        "event_id", "user_id", "at_us", "at", "value / 100 AS threshold",
         "element_at(array('local', 'cloud', 'other'), k % 3 + 1) AS provider", "concat('key-', k % 5) AS api_key",
         "element_at(array('ja', 'zh', 'ko', 'xx'), k % 4 + 1) AS source", "element_at(array('en', 'id'), k % 2 + 1) AS target")
-    return drain(jobs.rebuild_stream(de.clean_settings(patches)), "append").select("event_id", "user_id", "rebuild")
+    settings = de.clean_settings(patches)
+    return drain(settings, late(), lambda s: jobs.rebuild_stream(s, DELAY), "append").select("event_id", "user_id", "rebuild")
 
 
 SQL["stream_rebuild"] = views(v.EVENTS) + """, s AS (
   SELECT event_id, user_id, at_us, ('x', CASE k % 3 WHEN 1 THEN 'cloud' ELSE 'local' END, k % 5,
     CASE k % 4 WHEN 1 THEN 'zh' WHEN 2 THEN 'ko' ELSE 'ja' END, k % 2) AS now FROM events_v)
-SELECT event_id, user_id, coalesce(now <> lag(now) OVER (PARTITION BY user_id ORDER BY at_us, event_id), false) AS rebuild FROM s"""
+SELECT event_id, user_id, coalesce(now <> lag(now) OVER (PARTITION BY user_id ORDER BY at_us, event_id), false) AS rebuild FROM s
+QUALIFY at_us // 1000 < (SELECT max(at_us) // 1000 - 3600000 FROM s)"""
 
 
 @query
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = drain(jobs.gap_sessions(_events(spark, sf_dir).select("user_id", "at"), "user_id", "2 hours", "1 day"), "complete")
-    newest = rows.agg(F.max("batch_id").alias("batch_id"))
-    last = rows.join(newest, "batch_id")
-    return last.select("user_id", F.unix_micros("span.start").alias("start_us"), "n")
+    """Sessions that the watermark has passed at the end of the input."""
+    rows = drain(_events(spark, sf_dir).select("event_id", "at_us", "user_id", "at"), late(), lambda s: jobs.gap_sessions(s, "user_id", "2 hours", DELAY), "append")
+    return rows.select("user_id", F.unix_micros("span.start").alias("start_us"), "n")
 
 
 SQL["stream_sessions"] = views(v.EVENTS) + """, g AS (
   SELECT *, lag(at_us) OVER w AS before FROM events_v WINDOW w AS (PARTITION BY user_id ORDER BY at_us, event_id)),
 s AS (SELECT *, sum(CASE WHEN before IS NULL OR at_us - before >= 7200000000 THEN 1 ELSE 0 END)
   OVER (PARTITION BY user_id ORDER BY at_us, event_id) AS session FROM g)
-SELECT user_id, min(at_us) AS start_us, count(*) AS n FROM s GROUP BY user_id, session"""
+SELECT user_id, min(at_us) AS start_us, count(*) AS n FROM s GROUP BY user_id, session
+HAVING max(at_us) + 7200000000 <= (SELECT max(at_us) // 1000 * 1000 - 3600000000 FROM s)"""
 
 
 @query
 def stream_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests that ended, or were silent for six hours, before the watermark at the end of the input."""
     messages = _events(spark, sf_dir).selectExpr(
-        "CAST(floor(event_id / 3) AS BIGINT) AS request_id", "at",
+        "event_id", "at_us", "CAST(floor(event_id / 3) AS BIGINT) AS request_id", "at",
         "CASE event_type WHEN 'purchase' THEN 'result' WHEN 'error' THEN 'error' ELSE 'progress' END AS type")
-    ended = drain(jobs.request_lifecycle(messages, "1 hour", 60_000), "append")
-    return ended.where("status <> 'abandoned'").select("request_id", "status", "progress")
+    ended = drain(messages, late(), lambda s: jobs.request_lifecycle(s, DELAY, 6 * 3_600_000), "append")
+    return ended.select("request_id", "opened_ms", "status", "progress")
 
 
 SQL["stream_requests"] = views(v.EVENTS) + """, m AS (
-  SELECT event_id // 3 AS request_id, at_us, event_id,
-    CASE event_type WHEN 'purchase' THEN 'result' WHEN 'error' THEN 'error' ELSE 'progress' END AS type FROM events_v)
-SELECT request_id, arg_min(type, at_us) FILTER (type <> 'progress') AS status, count(*) FILTER (type = 'progress') AS progress
-FROM m GROUP BY request_id HAVING count(*) FILTER (type <> 'progress') > 0"""
+  SELECT event_id // 3 AS request_id, at_us // 1000 AS ms,
+    CASE event_type WHEN 'purchase' THEN 'result' WHEN 'error' THEN 'error' ELSE 'progress' END AS type FROM events_v),
+g AS (SELECT *, ms - lag(ms) OVER (PARTITION BY request_id ORDER BY ms) > 21600000 AS silent FROM m),
+r AS (SELECT *, count(*) FILTER (silent) OVER (PARTITION BY request_id ORDER BY ms) AS run FROM g),
+e AS (SELECT *, min(ms) FILTER (type <> 'progress') OVER (PARTITION BY request_id, run) AS ended FROM r)
+SELECT request_id, min(ms) AS opened_ms, coalesce(min(type) FILTER (type <> 'progress' AND ms = ended), 'abandoned') AS status,
+  count(*) FILTER (type = 'progress' AND (ended IS NULL OR ms <= ended)) AS progress
+FROM e GROUP BY request_id, run HAVING max(ms) + 21600000 < (SELECT max(ms) - 3600000 FROM m)"""

@@ -26,7 +26,7 @@ def slice_stream(readings: DataFrame, delay: str = "1 day", window: str = "1 day
 
 
 def gap_sessions(rows: DataFrame, key: str, gap: str, delay: str) -> DataFrame:
-    """Sessions closed by a gap in event time."""
+    """Sessions closed by a gap in event time; in append mode each comes once, and its state goes."""
     return (
         rows.withWatermark("at", delay)
         .groupBy(key, F.session_window("at", gap).alias("span"))
@@ -57,56 +57,76 @@ def latest_keys_stream(touches: DataFrame) -> DataFrame:
     )
 
 
-def rebuild_stream(states: DataFrame) -> DataFrame:
-    """Whether each settings event rebuilds the translator, against the user's last one."""
+def rebuild_stream(states: DataFrame, delay: str) -> DataFrame:
+    """Whether each settings event rebuilds the translator, against the user's event before it.
+
+    Rows carry ``at, at_us, event_id`` and the settings. They are held until the
+    watermark has passed them, so their order is that of event time however they
+    arrive; the state is one user's rows of the last ``delay``.
+    """
     fields = ["provider", "api_key", "source", "target"]
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        # One user's rows of one micro-batch, which the trigger bounds; order matters across frames.
-        batch = pd.concat(list(frames)).sort_values(["at_us", "event_id"])
-        before = tuple(state.get) if state.exists else None
-        rows = []
-        for row in batch.itertuples(index=False):
-            now = tuple(getattr(row, f) for f in fields)
-            rows.append((row.event_id, key[0], before is not None and now != before))
-            before = now
-        state.update(before)
-        yield pd.DataFrame(rows, columns=["event_id", "user_id", "rebuild"])
-
-    return states.groupBy("user_id").applyInPandasWithState(
+        known, before, *held = state.get if state.exists else (False, [None] * len(fields), [], [], *([] for _ in fields))
+        rows = list(zip(*held))
+        for frame in frames:
+            rows += zip(*(frame[c].tolist() for c in ["at_us", "event_id", *fields]))
+        rows.sort(key=lambda r: r[:2])
+        passed = state.getCurrentWatermarkMs()
+        out, before = [], tuple(before)
+        while rows and rows[0][0] // 1000 <= passed:
+            _, event, *now = rows.pop(0)
+            out.append((event, key[0], known and tuple(now) != before))
+            known, before = True, tuple(now)
+        columns = [list(c) for c in zip(*rows)] or [[] for _ in range(2 + len(fields))]
+        state.update((known, list(before), *columns))
+        if rows:
+            state.setTimeoutTimestamp(max(passed + 1, rows[0][0] // 1000))
+        yield pd.DataFrame(out, columns=["event_id", "user_id", "rebuild"])
+
+    held = "".join(f", {f}_held ARRAY<STRING>" for f in fields)
+    return states.withWatermark("at", delay).groupBy("user_id").applyInPandasWithState(
         step, "event_id LONG, user_id LONG, rebuild BOOLEAN",
-        "provider STRING, api_key STRING, source STRING, target STRING", "append", GroupStateTimeout.NoTimeout,
+        f"known BOOLEAN, before ARRAY<STRING>, at ARRAY<LONG>, event ARRAY<LONG>{held}", "append", GroupStateTimeout.EventTimeTimeout,
     )
 
 
 def request_lifecycle(messages: DataFrame, delay: str, patience_ms: int) -> DataFrame:
     """Each request's end: result or error, or abandoned when nothing came for long enough.
 
-    Messages carry ``request_id, at, type`` (progress, result, error).
+    Messages carry ``request_id, at, type`` (progress, result, error). A silence
+    of more than ``patience_ms`` closes a request, and a later message of its id
+    opens another; what comes after an end within it is ignored. Messages are
+    held until the watermark has passed the silence, so that the row of a
+    request is the same however its messages arrive. Of one instant, progress
+    comes before an end.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            seen = state.get[0]
-            state.remove()
-            yield pd.DataFrame({"request_id": [key[0]], "status": ["abandoned"], "progress": [seen]})
-            return
-        seen, last, end = (state.get[0] if state.exists else 0), 0, None
+        held = list(zip(*state.get)) if state.exists else []
         for frame in frames:
-            seen += int((frame["type"] == "progress").sum())
-            last = max(last, int(frame["at"].max().timestamp() * 1000))
-            ends = frame[frame["type"] != "progress"]
-            if len(ends):
-                first = ends.loc[ends["at"].idxmin()]
-                if end is None or first["at"] < end[0]:
-                    end = (first["at"], first["type"])
-        if end is not None:
+            held += zip((int(at.timestamp() * 1000) for at in frame["at"]), frame["type"].tolist())
+        held.sort(key=lambda m: (m[0], m[1] != "progress", m[1]))
+        runs: list[list[tuple[int, str]]] = []
+        for message in held:
+            if runs and message[0] - runs[-1][-1][0] <= patience_ms:
+                runs[-1].append(message)
+            else:
+                runs.append([message])
+        passed, out = state.getCurrentWatermarkMs(), []
+        while runs and runs[0][-1][0] + patience_ms < passed:
+            run = runs.pop(0)
+            end = next((n for n, m in enumerate(run) if m[1] != "progress"), None)
+            out.append((key[0], run[0][0], "abandoned" if end is None else run[end][1], len(run) if end is None else end))
+        left = [m for run in runs for m in run]
+        if left:
+            state.update(([m[0] for m in left], [m[1] for m in left]))
+            state.setTimeoutTimestamp(max(passed + 1, runs[0][-1][0] + patience_ms))
+        elif state.exists:
             state.remove()
-            yield pd.DataFrame({"request_id": [key[0]], "status": [end[1]], "progress": [seen]})
-        else:
-            state.update((seen,))
-            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + patience_ms)
+        yield pd.DataFrame(out, columns=["request_id", "opened_ms", "status", "progress"])
 
     return messages.withWatermark("at", delay).groupBy("request_id").applyInPandasWithState(
-        step, "request_id LONG, status STRING, progress LONG", "progress LONG", "append", GroupStateTimeout.EventTimeTimeout,
+        step, "request_id LONG, opened_ms LONG, status STRING, progress LONG", "at ARRAY<LONG>, type ARRAY<STRING>",
+        "append", GroupStateTimeout.EventTimeTimeout,
     )

@@ -52,3 +52,19 @@ def test_matches_sql(spark, duck, name):
     wanted = duck.execute(contract.oracle_sql()[name]).df()
     assert sorted(ours.columns) == sorted(wanted.columns)
     assert bag(ours) == bag(wanted)
+
+
+def test_streams_do_not_depend_on_arrivals(spark):
+    """One arrival, and many out of order, give the same rows."""
+    from pyspark.sql import functions as F
+
+    from inkfield.plans.streams import drain
+    from inkfield.streaming import jobs
+
+    said = [(1, 0, "progress"), (1, 5, "result"), (1, 7, "progress"), (2, 3, "progress"), (2, 90, "progress"), (3, 4, "error"), (3, 4, "progress"), (9, 500, "progress")]
+    rows = spark.createDataFrame([(r, 1_000_000 * (1000 + s), t) for r, s, t in said], "request_id LONG, at_us LONG, type STRING")
+    rows = rows.withColumn("at", F.timestamp_micros("at_us"))
+    want = {(1, 1_000_000, "result", 1), (2, 1_003_000, "abandoned", 1), (2, 1_090_000, "abandoned", 1), (3, 1_004_000, "error", 1)}
+    for arrives, arrivals in ((F.lit(0), 1), (F.col("at_us"), 4), (F.col("at_us") - 8_000_000 * F.col("request_id"), 6)):
+        got = drain(rows, arrives, lambda s: jobs.request_lifecycle(s, "100 seconds", 60_000), "append", arrivals)
+        assert {tuple(r) for r in got.select("request_id", "opened_ms", "status", "progress").collect()} == want
