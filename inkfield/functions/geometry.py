@@ -53,7 +53,7 @@ def iou(a: Box, b: Box) -> Column:
 
 
 def containment(a: Box, b: Box) -> Column:
-    """Share of the smaller box inside the larger."""
+    """Common area over the area of whichever box is less; 0 where that one has none."""
     smaller = F.least(a.area, b.area)
     return F.when(smaller > 0, intersection(a, b) / smaller).otherwise(0.0)
 

@@ -220,7 +220,7 @@ def lay_in_balloon(texts: DataFrame, text: str, boxes: str) -> DataFrame:
 
 
 def fit_label(words: Column, x: Column, y: Column, w: Column, h: Column, page_w: Column, page_h: Column, gap: float = LABEL_GAP) -> Column:
-    """A small note for text left on the art: below its region, else above, else over the lower edge."""
+    """Size, lines and place of a note beside a region: under it where the page has room, over it otherwise, and as a last resort across its bottom."""
     width = F.least(F.lit(float(LABEL_MAX_WIDTH)), F.greatest(F.lit(float(LABEL_MIN_WIDTH)), w * 1.2))
     state = "struct<size:double,lines:array<struct<text:string,m:bigint>>>"
 

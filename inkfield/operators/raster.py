@@ -329,7 +329,7 @@ def fill_dense(cells: pd.Series, width: pd.Series) -> pd.Series:
 
 
 def fill_holes(windows: DataFrame, array: str, out: str) -> DataFrame:
-    """Unset cells not 4-connected to the window's edge become set."""
+    """Sets every unset cell from which no walk over unset neighbours leaves the window."""
     return windows.withColumn(out, fill_dense(array, "width"))
 
 
@@ -496,6 +496,40 @@ def otsu(pixels: DataFrame, key: str) -> DataFrame:
     )
 
 
+def around(regions: DataFrame, keys: Sequence[str], region_key: str, reach: int) -> DataFrame:
+    """Cells up to ``reach`` steps from a region's box, with the steps as ``_off``: 0 inside."""
+    wider = regions.withColumns({"x": F.col("x") - reach, "y": F.col("y") - reach, "w": F.col("w") + 2 * reach, "h": F.col("h") + 2 * reach})
+    b = g.box()
+    left, top = F.floor(F.greatest(F.lit(0.0), b.x)), F.floor(F.greatest(F.lit(0.0), b.y))
+    off = F.greatest(left - F.col("col"), F.lit(0), F.col("col") - F.ceil(b.right) + 1) + F.greatest(
+        top - F.col("row"), F.lit(0), F.col("row") - F.ceil(b.bottom) + 1
+    )
+    near = box_mask(wider, [*keys, region_key]).join(regions.select(*keys, region_key, *"xywh"), [*keys, region_key])
+    return near.withColumn("_off", off).where(F.col("_off") <= reach).select(*keys, region_key, "row", "col", "_off")
+
+
+def erase_report(masks: DataFrame, ink: DataFrame, regions: DataFrame, keys: Sequence[str], region_key: str, clearance: int = 3) -> DataFrame:
+    """Per mask variant: light regions it touches, letter ink of those and how much of it is erased, other ink erased.
+
+    Other ink is more than ``clearance`` steps from every region. Masks carry
+    ``variant``, ink its component ``label``, regions a ``light`` flag.
+    """
+    cell = [*keys, "row", "col"]
+    erased = masks.select("variant", *cell).distinct()
+    light = regions.where("light")
+    inside = around(light, keys, region_key, 0)
+    touched = erased.join(inside, cell).select("variant", *keys, region_key).distinct()
+    target = touched.join(letters(ink, light, keys, region_key), [*keys, region_key])
+    hit = target.join(erased.withColumn("_hit", F.lit(1)), ["variant", *cell], "left").groupBy("variant").agg(
+        F.count("*").alias("ink"), F.count("_hit").alias("hit"))
+    near = around(regions, keys, region_key, clearance).select(*cell).distinct()
+    other = erased.join(ink.select(*cell), cell).join(near, cell, "left_anti").groupBy("variant").agg(F.count("*").alias("other"))
+    found = touched.groupBy("variant").agg(F.count("*").alias("regions"))
+    every = masks.select("variant").distinct()
+    return every.join(found, "variant", "left").join(hit, "variant", "left").join(other, "variant", "left").fillna(0).select(
+        "variant", "regions", "ink", "hit", "other")
+
+
 def letters(ink: DataFrame, regions: DataFrame, keys: Sequence[str], region_key: str, grow: int = 4) -> DataFrame:
     """Ink cells inside a region whose shape stays clear of the rim of the region grown by ``grow``.
 
@@ -504,16 +538,7 @@ def letters(ink: DataFrame, regions: DataFrame, keys: Sequence[str], region_key:
     each region looks at the cells of its box and its rim only.
     """
     reach = grow + 1
-    near = box_mask(
-        regions.withColumns({"x": F.col("x") - reach, "y": F.col("y") - reach, "w": F.col("w") + 2 * reach, "h": F.col("h") + 2 * reach}),
-        [*keys, region_key],
-    ).join(regions.select(*keys, region_key, *"xywh"), [*keys, region_key])
-    b = g.box()
-    left, top = F.floor(F.greatest(F.lit(0.0), b.x)), F.floor(F.greatest(F.lit(0.0), b.y))
-    off = F.greatest(left - F.col("col"), F.lit(0), F.col("col") - F.ceil(b.right) + 1) + F.greatest(
-        top - F.col("row"), F.lit(0), F.col("row") - F.ceil(b.bottom) + 1
-    )
-    seen = near.withColumn("_off", off).where(F.col("_off").isin(0, reach)).join(ink, [*keys, "row", "col"])
+    seen = around(regions, keys, region_key, reach).where(F.col("_off").isin(0, reach)).join(ink, [*keys, "row", "col"])
     crossing = seen.where(F.col("_off") == reach).select(*keys, region_key, "label").distinct()
     return (
         seen.where("_off = 0").join(crossing, [*keys, region_key, "label"], "left_anti")

@@ -20,7 +20,7 @@ VERTICAL_SHARE = 0.6
 
 
 def strips(tiles: DataFrame, bucket_height: float = 4096.0) -> DataFrame:
-    """Runs of three or more equally wide, edge-aligned, touching tiles, per tile with its position.
+    """Tiles that make up one long picture: at least three on top of each other without a gap, of one width and left edge; each with its place.
 
     A tile's column holds the tiles within the tolerance of *its* left edge and
     width. Tiles of equal left and width share a column, so columns are built

@@ -134,6 +134,41 @@ WHERE EXISTS (SELECT 1 FROM core_v c WHERE c.map_id = p.map_id AND c.label = p.l
 GROUP BY map_id, label"""
 
 
+@query
+def erase_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two growths of the strong cells against the ink around two regions of every map."""
+    cells = rs.labelled_cells(st.maps(spark, sf_dir), ["map_id"], LEVEL)
+    strong = cells.where("p > 0.9")
+    masks = rs.dilate(strong, ["map_id"], 1.0).withColumn("variant", F.lit("near")).unionByName(
+        rs.dilate(strong, ["map_id"], 2.3).withColumn("variant", F.lit("wide")))
+    boxes = F.array(
+        F.struct(F.lit(0).alias("r"), (F.col("map_id") % 3).cast("double").alias("x"), (F.col("map_id") % 2).cast("double").alias("y"), F.lit(3.0).alias("w"), F.lit(2.5).alias("h")),
+        F.struct(F.lit(1).alias("r"), F.lit(5.5).alias("x"), (F.col("map_id") % 2 + 4).cast("double").alias("y"), F.lit(1.5).alias("w"), F.lit(2.0).alias("h")),
+    )
+    regions = st.maps(spark, sf_dir).select("map_id", F.inline(boxes)).withColumn("light", (F.col("map_id") + F.col("r")) % 5 != 0)
+    return rs.erase_report(masks, cells, regions, ["map_id"], "r")
+
+
+SQL["erase_report"] = views(COMPONENTS) + """, box_v AS (
+  SELECT DISTINCT map_id, r, CASE r WHEN 0 THEN map_id % 3 ELSE 5 END AS l, CASE r WHEN 0 THEN map_id % 2 ELSE map_id % 2 + 4 END AS t,
+    CASE r WHEN 0 THEN map_id % 3 + 2 ELSE 6 END AS rt, CASE r WHEN 0 THEN map_id % 2 + 2 ELSE map_id % 2 + 5 END AS b, (map_id + r) % 5 <> 0 AS light
+  FROM cells_v, (VALUES (0), (1)) v(r)),
+off_v AS (SELECT c.map_id, c.row, c.col, r, light, greatest(l - c.col, 0, c.col - rt) + greatest(t - c.row, 0, c.row - b) AS off
+  FROM cells_v c JOIN box_v USING (map_id)),
+mask_v AS (SELECT name AS variant, map_id, row, col FROM cells_v c, (VALUES ('near', 1.0), ('wide', 2.3)) k(name, radius)
+  WHERE EXISTS (SELECT 1 FROM on_v s WHERE s.map_id = c.map_id AND s.p > CAST(0.9 AS DOUBLE)
+    AND (s.row - c.row) * (s.row - c.row) + (s.col - c.col) * (s.col - c.col) <= radius * radius)),
+letter_v AS (SELECT o.map_id, o.r, o.row, o.col FROM off_v o JOIN labels_v i USING (map_id, row, col) WHERE off = 0 AND light AND NOT EXISTS (
+  SELECT 1 FROM off_v f JOIN labels_v j USING (map_id, row, col) WHERE f.map_id = o.map_id AND f.r = o.r AND f.off = 5 AND j.label = i.label)),
+touch_v AS (SELECT DISTINCT variant, map_id, r FROM mask_v JOIN off_v USING (map_id, row, col) WHERE off = 0 AND light),
+ink_v AS (SELECT variant, count(*) AS ink, count(m.row) AS hit FROM touch_v t JOIN letter_v USING (map_id, r)
+  LEFT JOIN mask_v m USING (variant, map_id, row, col) GROUP BY variant),
+other_v AS (SELECT variant, count(*) AS other FROM mask_v JOIN labels_v USING (map_id, row, col)
+  JOIN (SELECT map_id, row, col FROM off_v GROUP BY ALL HAVING min(off) > 3) USING (map_id, row, col) GROUP BY variant)
+SELECT variant, (SELECT count(*) FROM touch_v t WHERE t.variant = v.variant) AS regions, coalesce(ink, 0) AS ink, coalesce(hit, 0) AS hit, coalesce(other, 0) AS other
+FROM (SELECT DISTINCT variant FROM mask_v) v LEFT JOIN ink_v USING (variant) LEFT JOIN other_v USING (variant)"""
+
+
 @query
 def dilate(spark: SparkSession, sf_dir: str) -> DataFrame:
     strong = _on(spark, sf_dir).where("p > 0.9")
