@@ -212,17 +212,33 @@ def component_grid(cells: DataFrame, stats: DataFrame, keys: Sequence[str]) -> D
 # --- masks -----------------------------------------------------------------
 
 
+def widened(cells: DataFrame, keys: Sequence[str], radius: Column) -> DataFrame:
+    """Runs of cells within a distance of a set cell: keys, row, start and end (included).
+
+    A cell makes one run for each row it reaches, not one row for each cell of
+    its disk; runs of a row that meet are joined.
+    """
+    up = F.floor(radius)
+    reach = cells.select(*keys, "row", "col", radius.alias("_radius"), F.explode(F.sequence(-up, up)).alias("_dy"))
+    rest = F.col("_radius") * F.col("_radius") - F.col("_dy") * F.col("_dy")
+    side = F.floor(F.sqrt(rest))
+    side = side + (F.pow(side + 1, F.lit(2)) <= rest).cast("long") - (F.pow(side, F.lit(2)) > rest).cast("long")  # a root may round over
+    runs = reach.where(rest >= 0).select(
+        *keys, (F.col("row") + F.col("_dy")).alias("row"), (F.col("col") - side).alias("start"), (F.col("col") + side).alias("end")
+    ).groupBy(*keys, "row", "start").agg(F.max("end").alias("end"))
+    line = W.partitionBy(*keys, "row").orderBy("start")
+    before = F.max("end").over(line.rowsBetween(W.unboundedPreceding, -1))
+    opens = F.coalesce(F.col("start") > before + 1, F.lit(True)).cast("int")
+    numbered = runs.withColumn("_opens", opens).withColumn("_run", F.sum("_opens").over(line.rowsBetween(W.unboundedPreceding, 0)))
+    return numbered.groupBy(*keys, "row", "_run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_run")
+
+
 def dilate(cells: DataFrame, keys: Sequence[str], radius: float) -> DataFrame:
     """Cells within a distance of a set cell, compared on squared integers."""
-    reach = int(radius)
-    near = [(dr, dc) for dr in range(-reach, reach + 1) for dc in range(-reach, reach + 1)
-            if dr * dr + dc * dc <= radius * radius]
-    offsets = F.explode(F.array(*(F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in near)))
-    return (
-        cells.select(*keys, "row", "col", offsets.alias("_o"))
-        .select(*keys, (F.col("row") + F.col("_o.r")).alias("row"), (F.col("col") + F.col("_o.c")).alias("col"))
-        .distinct()
-    )
+    runs = widened(cells, keys, F.lit(float(radius)))
+    kind = cells.schema["col"].dataType
+    spread = runs.select(*keys, F.col("row").cast(cells.schema["row"].dataType), F.explode(F.sequence("start", "end")).alias("col"))
+    return spread.withColumn("col", F.col("col").cast(kind))
 
 
 def erase_mask(cells: DataFrame, boxes: DataFrame, keys: Sequence[str], grow: float = ERASE_GROW, stride: int = g.STRIDE) -> DataFrame:
@@ -253,16 +269,12 @@ def erase_mask(cells: DataFrame, boxes: DataFrame, keys: Sequence[str], grow: fl
         .withColumn("px", F.explode(pixels(F.col("col") - F.col("c0"), shape_x, F.col("wl"), F.col("wr"))))
         .withColumn("py", F.explode(pixels(F.col("row") - F.col("r0"), shape_y, F.col("wt"), F.col("wb"))))
     )
-    reach = F.floor(F.col("limit"))
-    span = F.sequence(-reach, reach)
-    return (
-        core.withColumn("_dx", F.explode(span)).withColumn("_dy", F.explode(span))
-        .where("_dx * _dx + _dy * _dy <= limit * limit")
-        .select(*keys, "label", (F.col("px") + F.col("_dx")).alias("col"), (F.col("py") + F.col("_dy")).alias("row"),
-                "wl", "wt", "wr", "wb")
-        .where("col >= wl AND col < wr AND row >= wt AND row < wb")
-        .select(*keys, "label", "row", "col").distinct()
-    )
+    frame = ["limit", "wl", "wt", "wr", "wb"]
+    runs = widened(core.select(*keys, "label", *frame, F.col("py").alias("row"), F.col("px").alias("col")), [*keys, "label", *frame], F.col("limit"))
+    inside = runs.where("row >= wt AND row < wb").withColumns({
+        "start": F.greatest("start", F.ceil("wl")), "end": F.least("end", F.ceil("wr") - 1),
+    })
+    return inside.where("start <= end").select(*keys, "label", "row", F.explode(F.sequence("start", "end")).alias("col"))
 
 
 def box_mask(boxes: DataFrame, keys: Sequence[str], b: g.Box | None = None) -> DataFrame:
