@@ -33,11 +33,16 @@ class Bench:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        """Remove tables that no later step reads."""
+        """Remove tables that no later step reads, and let go of the shuffles that made them.
+
+        Spark removes shuffle files once the driver's garbage collection finds
+        nothing that refers to them, which a quiet driver may not run for long.
+        """
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(conf).delete(path, True)
+        jvm.System.gc()
 
 
 def ascii_lower(text: Column) -> Column:

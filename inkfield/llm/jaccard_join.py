@@ -11,10 +11,10 @@ sets are one class, and only classes are joined.
    set in each fragment.
 3. Pairs come from equal shingles among the first n - o + 1 of that order. A
    pair's overlap is counted in each fragment on its own and summed.
-4. No group's pairs are all made: a round compares each class with one leader of
-   each shingle it shares, and links join components. When a round joins little
-   more, the pairs left between different components are compared, all of them,
-   so no link is lost.
+4. No group's pairs are all made: each shingle has a few leaders, and a round
+   compares each class with the leaders that it shares most shingles with; links
+   join components. When a round joins little more, the pairs left between
+   different components are compared, all of them, so no link is lost.
 
 A null text or one without words has an empty set and is linked with nothing; a
 text of fewer words than a shingle is one shingle. Rows of one id are rows of
@@ -34,7 +34,11 @@ from inkfield.llm.common import NO_ID, Bench, Words, blocks, given_id, ids_and_t
 
 BLOCK = 1 << 20
 #: Fragments of the global order; rounds against leaders go on while they join this share of the classes.
-FRAGMENTS, GOES_ON, ROUNDS = 8, 0.001, 6
+FRAGMENTS, GOES_ON, ROUNDS = 4, 0.005, 4
+#: Leaders of a shingle, and the most of them that a class is compared with in a round.
+LEADERS = 3
+#: A class is done with when its head shares less than one in so many of its shingles.
+EARLY = 10
 SETS = "doc_id long, n long, s1 long, s2 long, hashes array<long>"
 
 
@@ -61,7 +65,7 @@ def sets(batches: Iterator[pa.RecordBatch], size: int, percent: int | None) -> I
             s1.append(own.sum(dtype=np.uint64))
             s2.append(np.bitwise_xor.reduce(mix(own)) if len(own) else np.uint64(0))
             if percent is not None:
-                own = own[: len(own) - -(-percent * len(own) // 100) + -(-len(own) // 20)]
+                own = own[: len(own) - -(-percent * len(own) // 100) + -(-len(own) // EARLY)]
             lists.append(own)
         flat = np.concatenate(lists).view(np.int64)
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
@@ -118,7 +122,7 @@ def join_classes(classes: DataFrame, own: DataFrame, bench: Bench, size: int, pe
     known = rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1").select("h")
     alive = bench.keep(
         rows.join(known, "h").groupBy("node").agg(F.count("*").alias("met"))
-        .join(classes.drop("hashes"), "node").where(F.col("met") >= ceil_div(ceil_div(F.col("n") * percent, 100), 20)),
+        .join(classes.drop("hashes"), "node").where(F.col("met") >= ceil_div(ceil_div(F.col("n") * percent, 100), EARLY)),
         "alive",
     )
     texts = own.join(alive.select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi")
@@ -143,7 +147,7 @@ def join_classes(classes: DataFrame, own: DataFrame, bench: Bench, size: int, pe
     first = (F.col("n") - ceil_div(F.col("n") * percent, 100) + 1 - alone).cast("int")
     heads = bench.keep(
         ordered.where(first > 0).select("node", "n", alone.alias("alone"), F.posexplode(F.slice("o", 1, first)).alias("i", "o"))
-        .select("node", "n", F.col("o.h").alias("h"), (F.col("n") - F.col("alone") - F.col("i")).alias("rest")),
+        .select("node", "n", F.col("o.h").alias("h"), (F.col("n") - F.col("alone") - F.col("i")).alias("rest"), F.floor(F.col("alone") * 100 / F.col("n")).alias("own")),
         "heads",
     )
     bench.drop("shared")
@@ -153,19 +157,26 @@ def join_classes(classes: DataFrame, own: DataFrame, bench: Bench, size: int, pe
         of = heads.withColumn("comp", F.col("node"))
         if comps is not None:
             of = heads.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        lead = F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "n", "comp", "rest")).alias("lead")
-        mixed = of.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), lead).where("low <> high")
-        mates = of.join(mixed.select("h"), "h", "left_semi") if last else mixed.select("h", "lead.*")
-        mates = mates.select("h", *(F.col(c).alias(f"b_{c}") for c in ("node", "n", "comp", "rest")))
+        fields = ("node", "n", "comp", "rest")
+        # The first leader is one with few shingles of its own: a group's plainest text is near to most of its copies.
+        draw = [F.xxhash64("node", F.lit(turn * LEADERS + k)) for k in range(LEADERS)]
+        leads = [F.min(F.struct(*([] if k else ["own"]), draw[k], *fields)).alias(f"lead_{k}") for k in range(LEADERS)]
+        mixed = of.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), *leads).where("low <> high")
+        if last:
+            mates = of.join(mixed.select("h"), "h", "left_semi").select("h", F.lit(0).alias("k"), *(F.col(c).alias(f"b_{c}") for c in fields))
+        else:
+            each = F.array(*(F.struct(F.lit(k).alias("k"), *(F.col(f"lead_{k}.{c}").alias(f"b_{c}") for c in fields)) for k in range(LEADERS)))
+            mates = mixed.select("h", F.inline(each))
         least = needed(F.col("n"), F.col("b_n"), percent)
         # Each pair of components from one side when all are made; a leader is on the other side from the start.
         apart = F.col("comp") < F.col("b_comp") if last else F.col("comp") != F.col("b_comp")
-        pairs = bench.keep(
-            # what follows the first common shingle, it included, must be enough for a link
-            of.join(mates, "h").where(apart & (least <= F.least("rest", "b_rest")))
-            .select(F.least("node", "b_node").alias("a"), F.greatest("node", "b_node").alias("b"), least.alias("least")).distinct(),
-            f"pairs-{turn}",
-        )
+        # What follows the first common shingle, it included, must be enough for a link.
+        met = of.join(mates, "h").where(apart & (least <= F.least("rest", "b_rest"))).select("node", "k", "b_node", least.alias("least"))
+        if not last:
+            shared_most = F.max(F.struct("times", (-F.col("b_node")).alias("other"), "least")).alias("m")
+            met = met.groupBy("node", "k", "b_node", "least").agg(F.count("*").alias("times")).groupBy("node", "k").agg(shared_most)
+            met = met.select("node", (-F.col("m.other")).alias("b_node"), "m.least")
+        pairs = bench.keep(met.select(F.least("node", "b_node").alias("a"), F.greatest("node", "b_node").alias("b"), "least").distinct(), f"pairs-{turn}")
         found = bench.keep(linked_pairs(pairs, segments, percent), f"links-{turn}")
         new = found.count()
         bench.drop(f"pairs-{turn}")
