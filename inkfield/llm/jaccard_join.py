@@ -110,25 +110,27 @@ def linked_pairs(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFra
     left = segments.select(F.col("node").alias("a"), "fragment", F.col("hashes").alias("of_a"))
     right = segments.select(F.col("node").alias("b"), "fragment", F.col("hashes").alias("of_b"))
     partial = (
-        pairs.join(left, "a").join(right, ["b", "fragment"])
+        pairs.hint("merge").join(left, "a").join(right.hint("merge"), ["b", "fragment"])
         .select("a", "b", "least", F.size(F.array_intersect("of_a", "of_b")).cast("long").alias("overlap"))
     )
     return partial.groupBy("a", "b", "least").agg(F.sum("overlap").alias("overlap")).where("overlap >= least").select("a", "b")
 
 
-def join_classes(classes: DataFrame, own: DataFrame, bench: Bench, size: int, percent: int) -> DataFrame | None:
-    """Components of classes by their links: node, comp; None when nothing can be linked."""
-    rows = classes.where("n > 0").select("node", F.explode("hashes").alias("h"))
+def join_classes(classes: DataFrame, heads: DataFrame, own: DataFrame, bench: Bench, size: int, percent: int) -> DataFrame | None:
+    """Components of classes by their links: node, comp; None when nothing can be linked. ``heads`` has their smallest hashes."""
+    rows = heads.where("n > 0").select("node", F.explode("hashes").alias("h"))
     known = rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1").select("h")
     alive = bench.keep(
         rows.join(known, "h").groupBy("node").agg(F.count("*").alias("met"))
-        .join(classes.drop("hashes"), "node").where(F.col("met") >= ceil_div(ceil_div(F.col("n") * percent, 100), EARLY)),
+        .join(classes.hint("merge"), "node").where(F.col("met") >= ceil_div(ceil_div(F.col("n") * percent, 100), EARLY)),
         "alive",
     )
-    texts = own.join(alive.select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    bench.drop("heads-of")
+    # These sides grow with the documents, so they are merged at any size and never sent to every task.
+    texts = own.join(alive.select(F.col("least").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
     full = texts.mapInArrow(lambda b: sets(b, size, None), SETS)
     whole = bench.keep(
-        full.join(alive.select("node", "n", "s1", "s2"), ["n", "s1", "s2"]).groupBy("node", "n").agg(F.first("hashes").alias("hashes")), "whole"
+        full.join(alive.select("node", "n", "s1", "s2").hint("merge"), ["n", "s1", "s2"]).groupBy("node", "n").agg(F.first("hashes").alias("hashes")), "whole"
     )
     rows = whole.select("node", "n", F.explode("hashes").alias("h"))
     often = rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
@@ -194,14 +196,16 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size
     """One row per document: doc_id, n_shingles, component_id, and class_size, the rows of its class."""
     bench = Bench(docs.sparkSession, "jaccard-join")
     own = ids_and_texts(docs, doc_id, text)
-    each = bench.keep(own.mapInArrow(lambda b: sets(b, size, percent), SETS), "sets")
-    classes = bench.keep(
-        each.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("least"), F.count("*").alias("class_size"), F.first("hashes").alias("hashes"))
+    found = bench.keep(own.mapInArrow(lambda b: sets(b, size, percent), SETS), "found")
+    heads = bench.keep(
+        found.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("least"), F.count("*").alias("class_size"), F.first("hashes").alias("hashes"))
         .withColumn("node", F.monotonically_increasing_id()),
-        "classes",
+        "heads-of",
     )
-    comps = join_classes(classes, own, bench, size, percent)
-    named = classes.select("n", "s1", "s2", "node", "least", "class_size")
+    each, classes = bench.keep(found.drop("hashes"), "sets"), bench.keep(heads.drop("hashes"), "classes")
+    bench.drop("found")
+    comps = join_classes(classes, heads.select("node", "n", "hashes"), own, bench, size, percent)
+    named = classes
     if comps is None:
         final = named.withColumn("component", F.col("least"))
     else:
@@ -209,7 +213,7 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size
         linked = comps.join(first, "comp").select("node", "first")
         final = named.join(linked, "node", "left").withColumn("component", F.coalesce("first", "least"))
     final = bench.keep(final.select("n", "s1", "s2", "class_size", "component"), "final")
-    out = each.drop("hashes").join(final, ["n", "s1", "s2"]).select(
+    out = each.join(final, ["n", "s1", "s2"]).select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), "class_size",
     )
     out = bench.keep(out, "components")
