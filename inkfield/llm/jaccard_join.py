@@ -38,7 +38,7 @@ FRAGMENTS, GOES_ON, ROUNDS = 4, 0.005, 4
 #: Leaders of a shingle, and the most of them that a class is compared with in a round.
 LEADERS = 3
 #: A class is done with when its head shares less than one in so many of its shingles.
-EARLY = 10
+EARLY = 20
 SETS = "doc_id long, n long, s1 long, s2 long, hashes array<long>"
 
 
@@ -110,7 +110,7 @@ def linked_pairs(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFra
     left = segments.select(F.col("node").alias("a"), "fragment", F.col("hashes").alias("of_a"))
     right = segments.select(F.col("node").alias("b"), "fragment", F.col("hashes").alias("of_b"))
     partial = (
-        pairs.hint("merge").join(left, "a").join(right.hint("merge"), ["b", "fragment"])
+        pairs.join(left, "a").join(right, ["b", "fragment"])
         .select("a", "b", "least", F.size(F.array_intersect("of_a", "of_b")).cast("long").alias("overlap"))
     )
     return partial.groupBy("a", "b", "least").agg(F.sum("overlap").alias("overlap")).where("overlap >= least").select("a", "b")
@@ -132,6 +132,7 @@ def join_classes(classes: DataFrame, heads: DataFrame, own: DataFrame, bench: Be
     whole = bench.keep(
         full.join(alive.select("node", "n", "s1", "s2").hint("merge"), ["n", "s1", "s2"]).groupBy("node", "n").agg(F.first("hashes").alias("hashes")), "whole"
     )
+    bench.drop()  # the texts' shuffle is large and done with
     rows = whole.select("node", "n", F.explode("hashes").alias("h"))
     often = rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
     shared = bench.keep(
