@@ -62,7 +62,7 @@ def op6_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op7_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
-    return sentencepiece_codec.encode_decode(table(spark, folder, "documents"), tokenizer_file("piece_bpe_32k.model"), with_ids=False)
+    return sentencepiece_codec.encode_decode(table(spark, folder, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
 @query

@@ -91,3 +91,11 @@ def test_sentencepiece_equals_its_library(spark):
     got = sentencepiece_codec.encode_decode(documents(spark, ODD), path).collect()
     assert all(r.decoded == (t or "") and r.round_trip and r.n_tokens == len(r.ids) for r, (_, t) in zip(got, ODD))
     assert sentencepiece_codec.encode_decode(documents(spark, []), path).count() == 0
+
+
+def test_query_gives_ids_and_texts(spark, tmp_path):
+    from inkfield.llm.queries import QUERIES
+
+    documents(spark, ODD).write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["op7_sentencepiece"](spark, str(tmp_path)).collect()
+    assert len(got) == len(ODD) and all(len(r.ids) == r.n_tokens and isinstance(r.decoded, str) for r in got)
