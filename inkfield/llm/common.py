@@ -164,7 +164,7 @@ class Words:
             size = 1 << int(len(data)).bit_length()
             Words._powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, self.BASE)]))
             Words._inverses = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, self.INVERSE)]))
-        in_word = ~((data == 32) | ((data >= 9) & (data <= 13)))
+        in_word = self.in_words(data)
         edge = np.zeros(len(data) + 1, bool)
         edge[self.offsets] = True
         starts, ends = in_word.copy(), in_word.copy()
@@ -178,6 +178,11 @@ class Words:
         self.hashes = mix((sums[self.ends] - sums[self.starts]) * Words._inverses[self.starts])
         self.first = np.searchsorted(self.starts, self.offsets)  # of each text, its first word
 
+    @staticmethod
+    def in_words(data: np.ndarray) -> np.ndarray:
+        """Which bytes belong to words."""
+        return ~((data == 32) | ((data >= 9) & (data <= 13)))
+
     def runs(self, k: int) -> np.ndarray:
         """Hash of the k words from each word on; the last k - 1 of the slice are left out."""
         n = max(0, len(self.hashes) - k + 1)
