@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from inkfield.llm import chat_format, exact_dedup, jaccard_join, packing, quality_cnn, quality_rules, sentencepiece_codec, substring_dedup, token_files, warc
+from inkfield.llm import (
+    chat_format, decontamination, exact_dedup, filter_audit, jaccard_join, packing, quality_cnn, quality_rules, sentencepiece_codec, source_divergence,
+    substring_dedup, token_files, warc,
+)
 from inkfield.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -166,3 +169,109 @@ SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, d AS payload_digest,
   CASE WHEN octet_length(b) >= 1000 AND page_id < max(page_id) OVER w THEN max(page_id) OVER w END AS refers_to
 FROM p WINDOW w AS (PARTITION BY d)
 """
+
+
+@query
+def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+SQL["op11_filter_audit"] = """
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents)
+, s AS (SELECT text, min(doc_id) AS first FROM d GROUP BY text)
+, l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id)
+, w AS (SELECT *, list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM d)
+, f AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    (len(words) < 200)::INT + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::INT
+    + 4 * (100 * length(regexp_replace(w.text, '[^A-Z]', '', 'g')) > 3 * length(w.text))::INT
+    + 8 * regexp_matches(w.text, '[#$%&*|]')::INT + 16 * coalesce(w.doc_id > s.first, false)::INT AS m
+  FROM w LEFT JOIN s ON w.text = s.text LEFT JOIN l ON w.doc_id = l.doc_id
+)
+, c AS (SELECT part, m, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS t FROM f GROUP BY part, m)
+, x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS b)
+, o AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+)
+, q AS (
+  SELECT filter_order, k AS step, y.b AS own, coalesce(sum(z.b) FILTER (instr(filter_order, z.x) < k), 0)::INT AS before
+  FROM o, unnest(range(1, 6)) r(k), x y, x z WHERE y.x = substr(filter_order, k, 1) GROUP BY ALL
+)
+, a AS (
+  SELECT part, filter_order, step, own,
+    sum(CASE WHEN m & (before | own) = 0 THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN m & before = 0 AND m & own <> 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN m & before <> 0 AND m & own <> 0 THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN m = own THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN m & before = 0 AND m & own <> 0 THEN g ELSE 0 END) AS good_lost,
+    sum(CASE WHEN m & before = 0 AND m & own <> 0 THEN t ELSE 0 END) AS toxic_lost
+  FROM c, q GROUP BY part, filter_order, step, own
+)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+  unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM a
+"""
+
+
+@query
+def op12_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("item_ids")
+
+
+SQL["op12_decontamination"] = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+)
+, i AS (
+  SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark
+)
+, m AS (SELECT item, w, least(len(w), 10) AS k, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS p FROM i WHERE len(w) > 0)
+, v AS (SELECT DISTINCT item, k, array_to_string(w[p:p + k - 1], ' ') AS win FROM m)
+, n AS (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM v))
+, o AS (SELECT r, n.k, p, item FROM n JOIN v ON n.k = v.k AND array_to_string(w[p:p + n.k - 1], ' ') = win)
+, h AS (SELECT r, count(DISTINCT p + j) AS n_hit FROM (SELECT r, p, unnest(range(0, k)) AS j FROM o) GROUP BY r)
+, t AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM o) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)
+"""
+
+
+@query
+def op13_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return source_divergence.audit(table(spark, folder, "documents"))
+
+
+SQL["op13_source_divergence"] = """
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents)
+, t AS (
+  SELECT r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d
+)
+, k AS (SELECT lang, term, count(*) AS whole FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 3)
+, c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY lang, source, term)
+, g AS (SELECT lang, source, coalesce(any_value(s.n), 0) AS n FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN (SELECT lang, source, sum(n) AS n FROM c GROUP BY ALL) s USING (lang, source) GROUP BY lang, source)
+, v AS (SELECT lang, count(*) AS v, sum(whole) AS n FROM k GROUP BY lang)
+, p AS (
+  SELECT lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (g.n::HUGEINT + v.v) AS p,
+    1 + (1000000000::HUGEINT * (whole + 1)) // (v.n::HUGEINT + v.v) AS q
+  FROM g JOIN v USING (lang) JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)
+)
+, a AS (
+  SELECT x.lang, x.source, y.source AS item, sum(((x.p - y.p) * (x.p - y.p)) // y.p) AS value
+  FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL
+)
+, b AS (
+  SELECT x.lang, x.source, y.source AS item, coalesce(a.value, 0) AS value FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source
+  LEFT JOIN a ON a.lang = x.lang AND a.source = x.source AND a.item = y.source
+)
+, u AS (
+  SELECT lang, source, 'pair' AS part, item, value::BIGINT AS value FROM b
+  UNION ALL SELECT lang, source, 'term', term, (((p - q) * (p - q)) // q)::BIGINT FROM p WHERE n > 0 AND p > q
+)
+SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM u QUALIFY part = 'pair' OR rank <= 200
+"""
