@@ -10,8 +10,9 @@ bytes; every document is scored whole, inside tasks.
 Null and empty texts have the score of one chunk of padding; a text shorter than
 a window is padded. Repeated rows are scored alike. Of several labels of one
 document the smallest counts; null labels are left out. Where one class has no
-label the score is the share of label 1, and a half without any label. An empty
-table gives an empty one.
+label, or no labelled document that can be learnt from, the score is the share of
+label 1, and a half without any label. An empty table gives an empty one. A text of
+any length is walked in slices, of which only the largest answers are held.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ from inkfield.llm.common import blocks, given_id, ids_and_texts, text_bytes
 WIDTH, DEPTH, FILTERS, HALF = 8, 6, 16, 128
 #: Most labelled documents of a class to learn from, their most bytes, passes over them, documents of a step, rate.
 SAMPLE, LONGEST, PASSES, STEP, RATE = 1000, 1 << 17, 10, 16, 0.01
-#: Text bytes that are scored at a time.
-BLOCK = 1 << 18
+#: Text bytes that are laid out at a time, and halves of chunks whose answers are held at a time.
+BLOCK, WALK = 1 << 18, 256
 PAD = 256
 HOLD_OUT, KEEP_FROM = 2, 0.7
 
@@ -48,7 +49,8 @@ class Layout:
         begins = np.concatenate([[0], np.cumsum(self.halves)]) * HALF
         self.codes = np.full(begins[-1] + WIDTH - 1, PAD, np.uint16)
         lengths = np.diff(offsets)
-        self.codes[np.arange(len(data)) + np.repeat(begins[:-1] - offsets[:-1], lengths)] = data
+        for to, at, size in zip(begins[:-1].tolist(), offsets[:-1].tolist(), lengths.tolist()):
+            self.codes[to : to + size] = data[at : at + size]
         self.first = np.cumsum(self.halves) - self.halves
         self.n = int(begins[-1])
         # Windows that run over a text's last half would see the next text; the bytes they begin with are in the window before.
@@ -71,14 +73,28 @@ class Network:
         self.p |= {"bias": np.zeros(FILTERS, np.float32), "base": np.zeros(1, np.float32)}
         self.prior = 0.0
 
-    def answers(self, x: Layout) -> np.ndarray:
-        """Every filter's answer at every byte."""
-        seen = np.take(self.p["vectors"], x.codes, axis=0)
-        windows = np.lib.stride_tricks.as_strided(seen, (x.n, WIDTH * DEPTH), (seen.strides[0], seen.strides[1]))
+    def answers(self, x: Layout, begin: int, end: int) -> np.ndarray:
+        """Every filter's answer at every byte of halves begin to end."""
+        first, n = begin * HALF, (end - begin) * HALF
+        seen = np.take(self.p["vectors"], x.codes[first : first + n + WIDTH - 1], axis=0)
+        windows = np.lib.stride_tricks.as_strided(seen, (n, WIDTH * DEPTH), (seen.strides[0], seen.strides[1]))
         out = np.ascontiguousarray(windows) @ self.p["filters"]
-        out[x.crossing] = -1e9
+        over = x.crossing[(x.crossing >= first) & (x.crossing < first + n)]
+        out[over - first] = -1e9
         return out.reshape(-1, HALF, FILTERS)
 
+    def halves(self, x: Layout, places: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+        """Every filter's largest answer in every half and, if asked for, the byte of the half that has it."""
+        total = x.n // HALF
+        best = np.empty((total, FILTERS), np.float32)
+        where = np.empty((total, FILTERS), np.int64) if places else None
+        for at in range(0, total, WALK):
+            answers = self.answers(x, at, min(at + WALK, total))
+            best[at : at + WALK] = answers.max(axis=1)
+            if places:
+                where[at : at + WALK] = answers.argmax(axis=1)
+        return best, where
+
     def pooled(self, halves: np.ndarray, x: Layout) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Chunks from the largest answers of their halves, and each text's mean and largest chunk."""
         both = halves.copy()
@@ -89,7 +105,7 @@ class Network:
 
     def logits(self, column: pa.Array) -> np.ndarray:
         x = Layout(column)
-        _, mean, largest = self.pooled(self.answers(x).max(axis=1), x)
+        _, mean, largest = self.pooled(self.halves(x)[0], x)
         return mean @ self.p["mean"] + largest @ self.p["largest"] + self.p["base"][0]
 
     def score(self, column: pa.Array) -> np.ndarray:
@@ -98,9 +114,7 @@ class Network:
 
     def gradients(self, column: pa.Array, label: np.ndarray) -> dict[str, np.ndarray]:
         x = Layout(column)
-        answers = self.answers(x)
-        where = answers.argmax(axis=1)
-        halves = np.take_along_axis(answers, where[:, None, :], axis=1)[:, 0]
+        halves, where = self.halves(x, places=True)
         chunks, mean, largest = self.pooled(halves, x)
         z = mean @ self.p["mean"] + largest @ self.p["largest"] + self.p["base"][0]
         dz = ((1 / (1 + np.exp(-np.clip(z, -30, 30)))) - label).astype(np.float32) / len(label)
@@ -185,7 +199,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         .groupBy("doc_id", "label").agg(F.min("text").alias("text")).toArrow().sort_by("doc_id")
     )
     y = rows.column("label").to_numpy().astype(np.float32)
-    if y.min(initial=1) == y.max(initial=0):
+    if len(np.unique(y)) < 2:
         return Constant(counts[1] / (counts[0] + counts[1]))
     network = Network().fit(rows.column("text").to_pylist(), y)
     network.prior = float(np.log(counts[1] / counts[0]) - np.log(y.sum() / (len(y) - y.sum())))

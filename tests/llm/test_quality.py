@@ -68,6 +68,58 @@ def test_odd_rows_and_labels(spark):
     assert all(0 <= r.score <= 1 for r in cnn.classify(docs, cnn.train(docs, both)).collect())
 
 
+def plain_forward(net, text):
+    """The network byte by byte: each window, each half, each chunk on its own."""
+    data = list(text.encode())
+    n = max(1, -(-max(len(data), 1) // cnn.HALF))
+    codes = data + [cnn.PAD] * (n * cnn.HALF - len(data))
+    best = []
+    for h in range(n):
+        own = []
+        for at in range(h * cnn.HALF, (h + 1) * cnn.HALF):
+            if at + cnn.WIDTH <= len(codes):
+                own.append(np.concatenate([net.p["vectors"][c] for c in codes[at : at + cnn.WIDTH]]) @ net.p["filters"])
+        best.append(np.max(own, axis=0))
+    chunks = [np.maximum(best[h], best[h + 1]) for h in range(n - 1)] or best
+    chunks = [np.maximum(c + net.p["bias"], 0) for c in chunks]
+    z = float(np.mean(chunks, axis=0) @ net.p["mean"] + np.max(chunks, axis=0) @ net.p["largest"] + net.p["base"][0])
+    return 1 / (1 + math.exp(-z - net.prior))
+
+
+def test_against_a_plain_forward_pass(monkeypatch):
+    net = cnn.Network(3)
+    net.p["bias"] += 0.1
+    net.prior = 0.3
+    texts = ["", "a", "x" * 127, "y" * 129, "Some words, é and 日本. " * 40, "".join(map(chr, np.random.default_rng(1).integers(32, 600, 900)))]
+    for walk in (1, 3, 256):
+        monkeypatch.setattr(cnn, "WALK", walk)
+        got = net.score(pa.array(texts, pa.large_string()))
+        assert np.allclose(got, [plain_forward(net, t) for t in texts], atol=1e-5)
+
+
+def test_twenty_megabytes_in_little_memory():
+    import resource
+
+    net, text = cnn.Network(), pa.array(["".join(passage(5, 4000)) * 800], pa.large_string())
+    assert len(text[0].as_py()) > 20 << 20
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    assert 0 <= net.score(text)[0] <= 1
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 300 << 10  # KB
+
+
+def test_labels_without_a_document(spark):
+    """Both classes have labels, but none of a document that is there, or only of documents too long to learn from."""
+    docs = documents(spark, ODD)
+    elsewhere = spark.createDataFrame([(1000 + i, int(i % 4 > 0)) for i in range(40)], "doc_id long, quality int")
+    known = [1000 + i for i in range(40) if zlib.crc32(str(1000 + i).encode()) % 4 != 2]
+    share = sum((i - 1000) % 4 > 0 for i in known) / len(known)
+    model = cnn.train(docs, elsewhere)
+    got = [r.score for r in cnn.classify(docs, model).collect()]
+    assert len(got) == len(ODD) and all(abs(s - share) < 1e-9 for s in got)
+    both = spark.createDataFrame([(i, i % 2) for i in range(1, 14)], "doc_id long, quality int")
+    assert all(0 <= r.score <= 1 for r in cnn.classify(docs, cnn.train(docs, both, longest=-1)).collect())
+
+
 def counts(text):
     w = [x for x in __import__("re").split(r"[\x20\x09-\x0D]+", text or "") if x]
     lines = [x for x in (text or "").split("\n") if x.strip(" \t\n\v\f\r")]
