@@ -14,6 +14,8 @@ from inkfield.session import scratch_path
 
 #: What a null id counts as inside an operator; it leaves as null again.
 NO_ID = -(2**63)
+#: Spark's setting by which the shuffle files of an execution are removed at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -28,21 +30,19 @@ class Bench:
         self.spark, self.root = spark, scratch_path(spark, name)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        """The shuffles that made the table go as soon as it is written."""
+        path, before = f"{self.root}/{name}", self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before) if before is not None else self.spark.conf.unset(CLEANUP)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        """Remove tables that no later step reads, and let go of the shuffles that made them.
-
-        Spark removes shuffle files once the driver's garbage collection finds
-        nothing that refers to them, which a quiet driver may not run for long.
-        """
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        """Give up the rows of tables that no later step reads."""
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(conf).delete(path, True)
-        jvm.System.gc()
+            self.spark.range(0).write.mode("overwrite").parquet(f"{self.root}/{name}")
 
 
 def ascii_lower(text: Column) -> Column:
