@@ -39,13 +39,6 @@ SQL["manifest_audit"] = """
 SELECT page_id, CASE WHEN length(html) < 1500 THEN 'missing' WHEN contains(url, '//m.') THEN 'mismatch' ELSE 'cached' END AS status FROM pages"""
 
 
-@query
-def binary_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The given files themselves, read as bytes."""
-    files = readers.read_binary(spark, f"{sf_dir}/*.parquet")
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", "sha256")
-
-
 @query
 def labels_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "labels")
@@ -75,18 +68,18 @@ def sweep_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL["sweep_store"] = SQL["sweep_cumulative"].replace(
     "SELECT model, threshold, detections, spurious, round(1e-9 + spurious / greatest(1, detections), 6) AS spurious_rate\n",
-    "SELECT model, threshold, detections, spurious, CASE model WHEN 'O' THEN 1 ELSE 2 END::BIGINT AS model_order\n",
+    "SELECT model, threshold, detections, spurious, dense_rank() OVER (ORDER BY model DESC) AS model_order\n",
 )
 
 
 @query
 def metric_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily event means appended day by type, read back."""
+    """Event figures appended type by type, each type a run; one run is repeated and adds nothing."""
     path = scratch_path(spark, "metrics")
     rows = st.events(spark, sf_dir).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("best"))
-    writers.append_metrics(rows.where("event_type <> 'error'"), path)
-    writers.append_metrics(rows.where("event_type = 'error'"), path)
-    return spark.read.schema("event_type STRING, n BIGINT, best DOUBLE").option("header", True).csv(path)
+    for run, which in (("others", "event_type <> 'error'"), ("error", "event_type = 'error'"), ("others", "event_type <> 'error'")):
+        writers.append_metrics(rows.where(which), path, run)
+    return writers.read_metrics(spark, path, "event_type: STRING, n: BIGINT, best: DOUBLE")
 
 
 SQL["metric_log"] = "SELECT event_type, count(*) AS n, max(value) AS best FROM events GROUP BY event_type"

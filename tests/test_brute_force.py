@@ -316,7 +316,7 @@ def test_sources(spark, tmp_path):
     pages = put("pages.json", json.dumps([{"post": 7, "language": "ko", "regions": [{"box": [1, 2, 3, 4], "kind": "sfx"}]}, {"post": 8, "regions": []}]))
     assert [(r.page_id, r.kind, r.h) for r in readers.page_regions(readers.read_pages(spark, pages)).collect()] == [(7, "sfx", 4.0)]
     assert [r[0] for r in readers.read_id_list(spark, put("ids.json", "[5, 6]")).collect()] == [5, 6]
-    assert [tuple(r) for r in readers.read_box_map(spark, put("map.json", '{"3": [[1, 2, 3, 4]], "4": []}')).collect()] == [(3, 1, 2, 3, 4)]
+    assert [tuple(r) for r in readers.read_box_map(spark, put("map.json", '{"3": [[1, 2, 3, 4]], "4": []}')).collect()] == [(3, 0, 1, 2, 3, 4)]
     vocab = readers.read_vocab(spark, put("vocab.txt", "a\nb\n"), ctc=True).collect()
     assert [tuple(r) for r in vocab] == [(0, ""), (1, "a"), (2, "b"), (3, " ")]
     log = put("log.txt", "slice   found recall\nsfx     3/4    0.750    0.5    0.25     1\n\n10 detections, 2 spurious (0.200)\n")
