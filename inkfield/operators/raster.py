@@ -212,20 +212,36 @@ def component_grid(cells: DataFrame, stats: DataFrame, keys: Sequence[str]) -> D
 # --- masks -----------------------------------------------------------------
 
 
+def column_distances(cells: DataFrame, keys: Sequence[str], radius: Column) -> DataFrame:
+    """For each place of a column within a distance of one of its set cells, the steps to the nearest: keys, row, col, steps.
+
+    Neighbours in a column share the rows between them at the middle, so a place
+    is one row however many cells reach it, whatever the radius.
+    """
+    line = W.partitionBy(*keys, "col").orderBy("row")
+    up = F.floor(radius).cast("long")
+    before, after = F.lag("row").over(line), F.lead("row").over(line)
+    # Halfway rows go to the cell above; of a cell that is there twice the second one starts below it.
+    first = F.greatest(F.col("row") - up, before + F.floor((F.col("row") - before) / 2) + 1)
+    last = F.least(F.col("row") + up, F.col("row") + F.floor((after - F.col("row")) / 2))
+    spans = cells.select(*keys, "row", "col", first.alias("_first"), last.alias("_last")).where("_first <= _last")
+    return spans.select(*keys, "col", F.col("row").alias("_from"), F.explode(F.sequence("_first", "_last")).alias("row")).select(
+        *keys, "row", "col", F.abs(F.col("row") - F.col("_from")).alias("steps"))
+
+
 def widened(cells: DataFrame, keys: Sequence[str], radius: Column) -> DataFrame:
     """Runs of cells within a distance of a set cell: keys, row, start and end (included).
 
-    A cell makes one run for each row it reaches, not one row for each cell of
-    its disk; runs of a row that meet are joined.
+    The distance is taken apart by direction: the nearest set cell of each
+    column first, then, in each row, how far that one reaches to both sides.
+    Compared on squared integers, so it is exact. ``radius`` is one number for
+    each combination of keys.
     """
-    up = F.floor(radius)
-    reach = cells.select(*keys, "row", "col", radius.alias("_radius"), F.explode(F.sequence(-up, up)).alias("_dy"))
-    rest = F.col("_radius") * F.col("_radius") - F.col("_dy") * F.col("_dy")
+    near = column_distances(cells, keys, radius)
+    rest = radius * radius - F.col("steps") * F.col("steps")
     side = F.floor(F.sqrt(rest))
     side = side + (F.pow(side + 1, F.lit(2)) <= rest).cast("long") - (F.pow(side, F.lit(2)) > rest).cast("long")  # a root may round over
-    runs = reach.where(rest >= 0).select(
-        *keys, (F.col("row") + F.col("_dy")).alias("row"), (F.col("col") - side).alias("start"), (F.col("col") + side).alias("end")
-    ).groupBy(*keys, "row", "start").agg(F.max("end").alias("end"))
+    runs = near.where(rest >= 0).select(*keys, "row", (F.col("col") - side).alias("start"), (F.col("col") + side).alias("end"))
     line = W.partitionBy(*keys, "row").orderBy("start")
     before = F.max("end").over(line.rowsBetween(W.unboundedPreceding, -1))
     opens = F.coalesce(F.col("start") > before + 1, F.lit(True)).cast("int")
@@ -289,6 +305,28 @@ def box_mask(boxes: DataFrame, keys: Sequence[str], b: g.Box | None = None) -> D
     )
 
 
+def bare_masks(regions: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Masks of regions without a shape, as one span of rows and columns each: the whole box (``erase``) and its middle half (``seed``).
+
+    Regions carry x, y, w, h and their page's ``page_width, page_height``. Edges go
+    outwards to whole pixels and stop at the page; a box with nothing on the page has no mask.
+    """
+    middle = [F.col("x") + F.col("w") / 4, F.col("y") + F.col("h") / 4, F.col("w") / 2, F.col("h") / 2]
+    spans = []
+    for part, (x, y, w, h) in (("erase", [F.col(c) for c in "xywh"]), ("seed", middle)):
+        spans.append(F.struct(
+            F.lit(part).alias("part"), F.greatest(F.lit(0), F.floor(x)).alias("left"), F.greatest(F.lit(0), F.floor(y)).alias("top"),
+            F.least(F.col("page_width"), F.ceil(x + w)).alias("right"), F.least(F.col("page_height"), F.ceil(y + h)).alias("bottom"),
+        ))
+    return regions.select(*keys, F.inline(F.array(*spans))).where("right > left AND bottom > top")
+
+
+def span_cells(spans: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The cells of masks that are spans."""
+    return spans.select(*keys, "left", "right", F.explode(F.sequence("top", F.col("bottom") - 1)).alias("row")).select(
+        *keys, "row", F.explode(F.sequence("left", F.col("right") - 1)).alias("col"))
+
+
 def mask_union(masks: Iterable[DataFrame], keys: Sequence[str]) -> DataFrame:
     masks = [m.select(*keys, "row", "col") for m in masks]
     union = masks[0]
@@ -527,7 +565,9 @@ def erase_report(masks: DataFrame, ink: DataFrame, regions: DataFrame, keys: Seq
     ``variant``, ink its component ``label``, regions a ``light`` flag.
     """
     cell = [*keys, "row", "col"]
-    erased = masks.select("variant", *cell).distinct()
+    # Both are read several times; what made them (labels, above all) runs once.
+    ink = cut_lineage(ink.select(*cell, "label"))
+    erased = cut_lineage(masks.select("variant", *cell).distinct())
     light = regions.where("light")
     inside = around(light, keys, region_key, 0)
     touched = erased.join(inside, cell).select("variant", *keys, region_key).distinct()
@@ -537,7 +577,7 @@ def erase_report(masks: DataFrame, ink: DataFrame, regions: DataFrame, keys: Seq
     near = around(regions, keys, region_key, clearance).select(*cell).distinct()
     other = erased.join(ink.select(*cell), cell).join(near, cell, "left_anti").groupBy("variant").agg(F.count("*").alias("other"))
     found = touched.groupBy("variant").agg(F.count("*").alias("regions"))
-    every = masks.select("variant").distinct()
+    every = erased.select("variant").distinct()
     return every.join(found, "variant", "left").join(hit, "variant", "left").join(other, "variant", "left").fillna(0).select(
         "variant", "regions", "ink", "hit", "other")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from inkfield.functions import geometry as g
-from inkfield.operators import balloon as bl, labels as lb, raster as rs
+from inkfield.operators import balloon as bl, labels as lb, raster as rs, tiles as tl
 from inkfield.plans import standins as st, views_sql as v
 from inkfield.plans.label_sets import _boxes, _records
 from inkfield.plans.registry import SQL, query, rounded
@@ -53,6 +53,16 @@ def components_by_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["components_by_join"] = SQL["components"]
 
 
+@query
+def components_by_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same components from tiles of three by three cells, merged over their borders."""
+    cells = tl.components(_on(spark, sf_dir), ["map_id"], 3)
+    return cells.select("map_id", "row", "col", (F.col("label_row") * 8 + F.col("label_col")).alias("label"))
+
+
+SQL["components_by_tiles"] = SQL["components"]
+
+
 def _paged_stats(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     cells = rs.labelled_cells(st.maps(spark, sf_dir), ["map_id"], LEVEL)
     scale, pad_x, pad_y = g.letterbox(F.lit(48.0), F.lit(60.0), 32)
@@ -197,6 +207,32 @@ SELECT map_id, CAST(row AS INT) AS row, CAST(col AS INT) AS col FROM cells_v c
 WHERE NOT EXISTS (SELECT 1 FROM open_v o WHERE o.map_id = c.map_id AND o.row = c.row AND o.col = c.col)"""
 
 
+@query
+def holes_by_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same holes from tiles of three by three cells."""
+    maps = st.maps(spark, sf_dir)
+    cells = rs.explode_map(maps, ["map_id"], "p", F.col("width")).where("p > 0.45")
+    return tl.fill_holes(cells, maps.select("map_id", F.lit(8).alias("rows"), F.lit(8).alias("columns")), ["map_id"], 3)
+
+
+SQL["holes_by_tiles"] = SQL["fill_holes"]
+
+
+@query
+def bare_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Erase mask and seed of every line as a region without a shape, on a page smaller than its lines reach."""
+    regions = st.lines(spark, sf_dir).withColumns({"page_width": F.lit(40), "page_height": F.lit(50), "x": F.col("x") / 8 - 1.5, "y": F.col("y") / 8, "w": F.col("w") / 8, "h": F.col("h") / 8})
+    cells = rs.span_cells(rs.bare_masks(regions, ["box_id"]), ["box_id", "part"])
+    return cells.groupBy("box_id", "part").agg(F.count("*").alias("pixels"), F.sum(F.col("row") * 40 + F.col("col")).alias("index_sum"))
+
+
+SQL["bare_masks"] = views(v.LINES) + """, b AS (
+  SELECT box_id, x / 8 - 1.5 AS x, y / 8 AS y, w / 8 AS w, h / 8 AS h FROM lines_v),
+f AS (SELECT box_id, 'erase' AS part, x, y, x + w AS r, y + h AS b FROM b UNION ALL SELECT box_id, 'seed', x + w / 4, y + h / 4, x + w / 4 + w / 2, y + h / 4 + h / 2 FROM b)
+SELECT box_id, part, count(*) AS pixels, CAST(sum(gy * 40 + gx) AS BIGINT) AS index_sum
+FROM f, range(0, 40) a(gx), range(0, 50) c(gy) WHERE gx >= floor(x) AND gx < ceil(r) AND gy >= floor(y) AND gy < ceil(f.b) GROUP BY ALL"""
+
+
 @query
 def max_rect(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = rs.explode_map(st.maps(spark, sf_dir), ["map_id"], "p", F.col("width")).where("p > 0.4")
