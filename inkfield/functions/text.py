@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import StringType
 
+from inkfield.functions.arrays import bind
+
 # Fixed values the results depend on.
 ASCII_VISIBLE = "".join(chr(c) for c in range(0x21, 0x7F))
 FULL_WIDTH = "".join(chr(c + 0xFEE0) for c in range(0x21, 0x7F))
 # White space of any script; the engine's own \s is ASCII only.
 BLANKS = r"\t-\r\x1c-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 BLANK = f"[{BLANKS}]"
+BLANK_SIGNS = "".join(map(chr, [
+    *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
 LOOSE_DROPPED = f"[.．…・♪❤♥♡{BLANKS}]"
 REPLY_LABEL = f"(?i)^{BLANK}*(?:english|translation|translated(?:{BLANK}+text)?|answer|output){BLANK}*[:：-]{BLANK}*"
 QUOTE_PAIRS = [('"', '"'), ("'", "'"), ("「", "」"), ("『", "』"), ("“", "”"), ("‘", "’")]
@@ -34,7 +39,7 @@ BATCH_PROMPT = (
 
 
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{BLANK}+|{BLANK}+$", "")
+    return F.trim(text, F.lit(BLANK_SIGNS))
 
 
 def post_process(text: Column) -> Column:
@@ -56,14 +61,15 @@ def loose(text: Column) -> Column:
 
 def clean_reply(text: Column) -> Column:
     """First non-empty line without one leading label and one pair of wrapping quotes."""
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda line: trimmed(line)), lambda line: line != "")
-    bare = trimmed(F.regexp_replace(F.coalesce(F.try_element_at(lines, F.lit(1)), F.lit("")), REPLY_LABEL, ""))
-    result = None
-    for opening, closing in QUOTE_PAIRS:
-        wrapped = (F.length(bare) > 2) & bare.startswith(opening) & bare.endswith(closing)
-        inner = trimmed(F.substring(bare, F.lit(2), F.length(bare) - 2))
-        result = F.when(wrapped, inner) if result is None else result.when(wrapped, inner)
-    return trimmed(result.otherwise(bare))
+
+    def unquoted(bare: Column) -> Column:
+        pairs = [bare.startswith(opening) & bare.endswith(closing) for opening, closing in QUOTE_PAIRS]
+        wrapped = (F.length(bare) > 2) & reduce(lambda a, b: a | b, pairs)
+        return F.when(wrapped, trimmed(F.substring(bare, F.lit(2), F.length(bare) - 2))).otherwise(bare)
+
+    lines = F.filter(F.transform(F.split(text, "\n"), trimmed), lambda line: line != "")
+    first = F.coalesce(F.try_element_at(lines, F.lit(1)), F.lit(""))
+    return trimmed(bind(trimmed(F.regexp_replace(first, REPLY_LABEL, "")), unquoted))
 
 
 def system_prompt(source: Column, target: Column, batch: Column) -> Column:
