@@ -16,6 +16,8 @@ from inkfield.session import scratch_path
 NO_ID = -(2**63)
 #: Spark's setting by which the shuffle files of an execution are removed at its end.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Powers that a worker keeps from slice to slice, and by how many they grow.
+KEPT_POWERS, KEPT_STEP = 5 << 19, 1 << 18
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -87,6 +89,7 @@ def blocks(batches: Iterable[pa.RecordBatch], size: int, text: str = "text") ->
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+        pa.default_memory_pool().release_unused()
 
 
 def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -160,10 +163,12 @@ class Words:
 
     def __init__(self, column: pa.Array):
         data, self.offsets = text_bytes(column)
-        if len(Words._powers) <= len(data):
-            size = 1 << int(len(data)).bit_length()
-            Words._powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, self.BASE)]))
-            Words._inverses = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, self.INVERSE)]))
+        powers, inverses = Words._powers, Words._inverses
+        if len(powers) <= len(data):
+            size = (len(data) // KEPT_STEP + 1) * KEPT_STEP
+            powers, inverses = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, x)])) for x in (self.BASE, self.INVERSE))
+            if size <= KEPT_POWERS:  # a worker that has met a very long text doesn't hold on to it
+                Words._powers, Words._inverses = powers, inverses
         in_word = self.in_words(data)
         edge = np.zeros(len(data) + 1, bool)
         edge[self.offsets] = True
@@ -174,8 +179,8 @@ class Words:
         self.starts, self.ends = np.flatnonzero(starts), np.flatnonzero(ends) + 1
         upper = (data >= 65) & (data <= 90)
         code = (data + (upper * np.uint8(32))).astype(np.uint64) + np.uint64(1)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(code * Words._powers[: len(data)])])
-        self.hashes = mix((sums[self.ends] - sums[self.starts]) * Words._inverses[self.starts])
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(code * powers[: len(data)])])
+        self.hashes = mix((sums[self.ends] - sums[self.starts]) * inverses[self.starts])
         self.first = np.searchsorted(self.starts, self.offsets)  # of each text, its first word
 
     @staticmethod
