@@ -198,22 +198,25 @@ def split(records: DataFrame, count: int, seed: int) -> DataFrame:
     return records.join(chosen, "page_id", "left").withColumn("part", F.coalesce("part", F.lit("train")))
 
 
-def crop_plan(records: DataFrame, boxes: DataFrame, epoch: int, seed: int, crop: int = 768, train: bool = True) -> DataFrame:
+def crop_plan(
+    records: DataFrame, boxes: DataFrame, epoch: int, seed: int, crop: int = 768, train: bool = True, input_size: int = g.INPUT_SIZE,
+) -> DataFrame:
     """Where each record is cropped in an epoch: origin, scale and the part the page covers.
 
     Training crops centre on a random text box half the time, with jitter, else
-    start anywhere; validation crops are centred. The random box is the one of
-    smallest keyed digest, so choosing it is an aggregate, not a list.
+    start anywhere; validation crops are squares of ``input_size``, the page centred
+    in them. The random box is the one of smallest keyed digest, so choosing it is
+    an aggregate, not a list.
     """
     lit = F.lit
 
     def draw(step: str) -> Column:
         return uniform(F.col("page_id"), lit(epoch), lit(seed), lit(step))
 
-    base = g.INPUT_SIZE / F.greatest(F.col("width"), F.col("height"))
+    base = input_size / F.greatest(F.col("width"), F.col("height"))
     low, high = SCALE_RANGE
     s = base * (low + (high - low) * draw("scale")) if train else base
-    side = crop if train else g.INPUT_SIZE
+    side = crop if train else input_size
     sized = records.withColumns({
         "sw": F.greatest(lit(1), g.half_even(F.col("width") * s).cast("int")),
         "sh": F.greatest(lit(1), g.half_even(F.col("height") * s).cast("int")),
@@ -244,7 +247,7 @@ def crop_plan(records: DataFrame, boxes: DataFrame, epoch: int, seed: int, crop:
     else:
 
         def centred(size: Column) -> Column:
-            return F.when(size < side, -F.floor((side - size) / 2)).otherwise(0).cast("int")
+            return F.when(size < side, F.floor((size - side) / 2)).otherwise(0).cast("int")
 
         planned = sized.withColumns({"on_text": lit(False), "x0": centred(F.col("sw")), "y0": centred(F.col("sh"))})
     return planned.select(
@@ -260,3 +263,20 @@ def move_boxes(boxes: DataFrame, plan: DataFrame) -> DataFrame:
         "x": F.col("x") * F.col("sx") - F.col("x0"), "y": F.col("y") * F.col("sy") - F.col("y0"),
         "w": F.col("w") * F.col("sx"), "h": F.col("h") * F.col("sy"),
     })
+
+
+def crop_layers(records: DataFrame, boxes: DataFrame, plan: DataFrame, order: Column) -> DataFrame:
+    """What is painted on each record's crop: its boxes, moved, over the part that the page covers.
+
+    ``order`` tells which of two text boxes is on top, from the boxes as stored. A
+    record without boxes still has its page, so every record gives rows.
+    """
+    moved = move_boxes(boxes.withColumn("ord", order), plan).select("page_id", "role", "x", "y", "w", "h", "ord", "crop")
+    page = plan.select(
+        "page_id", F.lit("page").alias("role"), F.col("vx0").cast("double").alias("x"), F.col("vy0").cast("double").alias("y"),
+        (F.col("vx1") - F.col("vx0")).cast("double").alias("w"), (F.col("vy1") - F.col("vy0")).cast("double").alias("h"),
+        F.lit(0).cast("long").alias("ord"), "crop",
+    )
+    cells = F.floor(F.col("crop") / g.STRIDE).cast("int")
+    return moved.unionByName(page).withColumns({"columns": cells, "rows": cells}).drop("crop").join(
+        records.select("page_id", "ignore_all"), "page_id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from inkfield.operators import labels as lb
+from inkfield.operators import labels as lb, raster as rs
 from inkfield.plans import standins as st, views_sql as v
 from inkfield.plans.registry import SQL, query, rounded
 from inkfield.plans.views_sql import views
@@ -129,8 +129,108 @@ SQL["split"] = views(v.PAGES, v.LINES, _RECORDS) + """, val_v AS (
 SELECT page_id, kind, CASE WHEN page_id IN (SELECT page_id FROM val_v) THEN 'val' ELSE 'train' END AS part FROM records_v"""
 
 
+EPOCH, SEED = 3, 11
+
+
 @query
 def crop_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = lb.crop_plan(_records(spark, sf_dir), _boxes(spark, sf_dir), 3, 11)
+    plan = lb.crop_plan(_records(spark, sf_dir), _boxes(spark, sf_dir), EPOCH, SEED)
     return rounded(plan.select("page_id", "on_text", "sx", "sy", "vx0", "vy0", "vx1", "vy1",
                                F.col("x0").cast("long"), F.col("y0").cast("long")))
+
+
+def _draw(step: str) -> str:
+    return f"(CAST('0x' || substr(md5(concat_ws('-', page_id, {EPOCH}, {SEED}, '{step}')), 1, 8) AS BIGINT) / CAST(4294967296 AS DOUBLE))"
+
+
+def _anywhere(size: str, step: str, crop: int) -> str:
+    return (f"least(0, {size} - {crop}) + floor({_draw(step)} * (greatest(0, {size} - {crop}) - least(0, {size} - {crop}) + 1))")
+
+
+def _around(centre: str, step: str, crop: int) -> str:
+    return f"trunc({centre} + (2 * {_draw(step)} - 1) * ({crop} / CAST(3 AS DOUBLE)) - {crop / 2})"
+
+
+def _crop_views(name: str, crop: int, train: bool, input_size: int) -> str:
+    """A view ``name`` of crops, over ``records_v`` and ``boxes_v``."""
+    base = f"{input_size} / CAST(greatest(width, height) AS DOUBLE)"
+    scale = f"{base} * (CAST(0.6 AS DOUBLE) + CAST(0.65 AS DOUBLE) * {_draw('scale')})" if train else base
+    side = crop if train else input_size
+    centre = "trunc(CASE WHEN {0} < " + str(side) + " THEN floor(({0} - " + str(side) + ") / 2) ELSE 0 END)"
+    x0, y0, on_text = centre.format("sw"), centre.format("sh"), "FALSE"
+    if train:
+        on_text = f"(bx IS NOT NULL AND {_draw('text')} < 0.5)"
+        x0 = f"CASE WHEN {on_text} THEN {_around('(bx + bw / 2) * sx', 'jx', crop)} ELSE {_anywhere('sw', 'ox', crop)} END"
+        y0 = f"CASE WHEN {on_text} THEN {_around('(b_y + bh / 2) * sy', 'jy', crop)} ELSE {_anywhere('sh', 'oy', crop)} END"
+    return f"""{name}_pick_v AS (
+  SELECT page_id, x AS bx, y AS b_y, w AS bw, h AS bh FROM (
+    SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY md5(concat_ws('-', page_id, {EPOCH}, {SEED}, x, y, w, h))) AS place
+    FROM boxes_v WHERE role = 'text') WHERE place = 1),
+{name}_sized_v AS (
+  SELECT *, sw / CAST(width AS DOUBLE) AS sx, sh / CAST(height AS DOUBLE) AS sy FROM (
+    SELECT page_id, width, height, ignore_all, greatest(1, CAST(round_even(width * ({scale}), 0) AS INT)) AS sw,
+      greatest(1, CAST(round_even(height * ({scale}), 0) AS INT)) AS sh FROM records_v)),
+{name} AS (
+  SELECT *, greatest(0, -x0) AS vx0, greatest(0, -y0) AS vy0, least({side}, sw - x0) AS vx1, least({side}, sh - y0) AS vy1 FROM (
+    SELECT page_id, ignore_all, {side} AS crop, sw, sh, sx, sy, {on_text} AS on_text,
+      CAST({x0} AS BIGINT) AS x0, CAST({y0} AS BIGINT) AS y0
+    FROM {name}_sized_v LEFT JOIN {name}_pick_v USING (page_id)))"""
+
+
+SQL["crop_plan"] = views(v.PAGES, v.LINES, _RECORDS, _crop_views("crop_v", 768, True, 1280)) + """
+SELECT page_id, on_text, round(1e-9 + sx, 6) AS sx, round(1e-9 + sy, 6) AS sy, CAST(vx0 AS INT) AS vx0, CAST(vy0 AS INT) AS vy0,
+  CAST(vx1 AS INT) AS vx1, CAST(vy1 AS INT) AS vy1, x0, y0 FROM crop_v"""
+
+
+def painted(layers: str) -> str:
+    """View ``painted_v`` of the cells that boxes of a view reach, with target and mask."""
+    reach = ("CASE WHEN (x + w - {0}) / 4 - (x + {0}) / 4 >= 1e-3 AND (y + h - {0}) / 4 - (y + {0}) / 4 >= 1e-3 THEN"
+             " [greatest(0, floor((x + {0}) / 4)), greatest(0, floor((y + {0}) / 4)),"
+             " least(columns, ceil((x + w - {0}) / 4)), least(rows, ceil((y + h - {0}) / 4))] END")
+    return f"""reach_v AS (
+  SELECT *, {reach.format("0")} AS o, {reach.format("((w * h) * CAST(0.84 AS DOUBLE) / greatest(1e-6, 2 * (w + h)))")} AS c
+  FROM {layers} WHERE role <> 'page' OR ignore_all),
+sided_v AS (SELECT *, role = 'text' AND coalesce(least(c[3] - c[1], c[4] - c[2]) >= 2, FALSE) AS core FROM reach_v
+  WHERE o IS NOT NULL AND o[3] > o[1] AND o[4] > o[2]),
+layer_v AS (
+  SELECT page_id, o AS r, ord, 0 AS target, CASE role WHEN 'page' THEN 0 WHEN 'background' THEN 1 WHEN 'ignore' THEN 2 ELSE 3 END AS layer,
+    CASE WHEN role = 'background' OR (core AND NOT ignore_all) THEN 1 ELSE 0 END AS mask FROM sided_v
+  UNION ALL SELECT page_id, c, ord, 1, 4, 1 FROM sided_v WHERE core),
+rows_v AS (SELECT *, unnest(range(CAST(r[2] AS BIGINT), CAST(r[4] AS BIGINT))) AS gy FROM layer_v),
+spot_v AS (SELECT *, unnest(range(CAST(r[1] AS BIGINT), CAST(r[3] AS BIGINT))) AS gx FROM rows_v),
+painted_v AS (SELECT page_id, gx, gy, max((layer, ord, target, mask)) AS top FROM spot_v GROUP BY page_id, gx, gy)"""
+
+
+@query
+def crop_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label targets of every record's crop, for training and for validation, counted; the stored pages are the input's size."""
+    records, boxes = _records(spark, sf_dir), _boxes(spark, sf_dir)
+    order = F.col("x").cast("long") * 4096 + F.col("y").cast("long")
+
+    def counted(train: bool) -> DataFrame:
+        plan = lb.crop_plan(records, boxes, EPOCH, SEED, crop=CROP, train=train, input_size=STORED_SIDE)
+        cells = rs.rasterise(lb.crop_layers(records, boxes, plan, order), ["page_id"], "ord")
+        place = F.col("row") * 80 + F.col("col")
+        return cells.groupBy("page_id").agg(
+            F.sum("target").alias("core_cells"), F.count_if(F.col("mask") == 0).alias("masked_cells"), F.count(F.lit(1)).alias("cells"),
+            F.sum(place * F.col("target")).alias("core_sum"), F.sum(place * (1 - F.col("mask"))).alias("masked_sum"),
+        ).withColumn("train", F.lit(train))
+
+    return counted(True).unionByName(counted(False))
+
+
+CROP = 192
+
+
+def _crop_counts(train: bool) -> str:
+    return "(" + views(_crop_views("crop_v", CROP, train, STORED_SIDE), """all_v AS (
+  SELECT c.page_id, role, x * sx - x0 AS x, y * sy - y0 AS y, w * sx AS w, h * sy AS h, ignore_all,
+    CAST(trunc(x) AS BIGINT) * 4096 + CAST(trunc(y) AS BIGINT) AS ord, crop // 4 AS columns, crop // 4 AS rows
+  FROM boxes_v b JOIN crop_v c ON c.page_id = b.page_id
+  UNION ALL SELECT page_id, 'page', vx0, vy0, vx1 - vx0, vy1 - vy0, ignore_all, 0, crop // 4, crop // 4 FROM crop_v)""", painted("all_v")) + f"""
+SELECT page_id, {train} AS train, CAST(sum(top[3]) AS BIGINT) AS core_cells, count(*) FILTER (top[4] = 0) AS masked_cells, count(*) AS cells,
+  CAST(sum((gy * 80 + gx) * top[3]) AS BIGINT) AS core_sum, CAST(sum((gy * 80 + gx) * (1 - top[4])) AS BIGINT) AS masked_sum
+FROM painted_v GROUP BY page_id)"""
+
+
+SQL["crop_targets"] = views(v.PAGES, v.LINES, _RECORDS) + f"SELECT * FROM {_crop_counts(True)} UNION ALL SELECT * FROM {_crop_counts(False)}"

@@ -126,6 +126,26 @@ def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.select("page_id", "box_id", "vertical", F.col("position").cast("long"))
 
 
+# Boxes of a page one after the other by centre; the rows opened so far are the state.
+SQL["reading_order"] = views(v.LINES, """item_v AS (
+  SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY centre, box_id) AS i FROM (
+    SELECT page_id, box_id, vertical, CASE WHEN vertical THEN x + w / 2 ELSE y + h / 2 END AS centre,
+      CASE WHEN vertical THEN w ELSE h END AS thick, CASE WHEN vertical THEN y ELSE x END AS along FROM (
+      SELECT *, 2 * count(*) FILTER (h > CAST(1.5 AS DOUBLE) * w) OVER (PARTITION BY page_id) >= count(*) OVER (PARTITION BY page_id) AS vertical
+      FROM lines_v))),
+fold_v AS (
+  SELECT page_id, i, [{'c': centre, 't': thick}] AS held, CAST(1 AS BIGINT) AS slot FROM item_v WHERE i = 1
+  UNION ALL
+  SELECT page_id, i, CASE WHEN hit = 0 THEN list_append(held, {'c': centre, 't': thick})
+      ELSE list_transform(held, lambda r, k: CASE WHEN k = hit THEN {'c': r.c, 't': least(r.t, thick)} ELSE r END) END,
+    CAST(CASE WHEN hit = 0 THEN len(held) + 1 ELSE hit END AS BIGINT)
+  FROM (SELECT f.page_id, n.i, f.held, n.centre, n.thick, coalesce(list_position(list_transform(f.held,
+      lambda r: abs(n.centre - r.c) < CAST(0.5 AS DOUBLE) * least(n.thick, r.t)), TRUE), 0) AS hit
+    FROM fold_v f JOIN item_v n ON n.page_id = f.page_id AND n.i = f.i + 1))""") + """
+SELECT page_id, box_id, vertical, row_number() OVER (PARTITION BY page_id ORDER BY CASE WHEN vertical THEN -slot ELSE slot END, along, box_id) - 1 AS position
+FROM item_v JOIN fold_v USING (page_id, i)"""
+
+
 def _columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.lines(spark, sf_dir).selectExpr("page_id", "box_id", "x", "y", "w / 6 AS w", "2 * h AS h")
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from inkfield.functions import geometry as g
 from inkfield.operators import balloon as bl, labels as lb, raster as rs, tiles as tl
 from inkfield.plans import standins as st, views_sql as v
-from inkfield.plans.label_sets import _boxes, _records
+from inkfield.plans.label_sets import _RECORDS, _boxes, _records, painted
 from inkfield.plans.registry import SQL, query, rounded
 from inkfield.plans.views_sql import views
 
@@ -316,6 +316,15 @@ def rasterise(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+SQL["rasterise"] = views(v.PAGES, v.LINES, _RECORDS, """all_v AS (
+  SELECT page_id, role, x, y, w, h, kind = 'negative' AS ignore_all, CAST(trunc(x) AS BIGINT) * 4096 + CAST(trunc(y) AS BIGINT) AS ord,
+    64 AS columns, 80 AS rows FROM boxes_v
+  UNION ALL SELECT page_id, 'page', 0, 0, width, height, ignore_all, 0, 64, 80 FROM records_v)""", painted("all_v")) + """
+SELECT page_id, CAST(sum(top[3]) AS BIGINT) AS core_cells, count(*) FILTER (top[4] = 0) AS masked_cells,
+  CAST(sum((gy * 64 + gx) * top[3]) AS BIGINT) AS core_sum, CAST(sum((gy * 64 + gx) * (1 - top[4])) AS BIGINT) AS masked_sum
+FROM painted_v GROUP BY page_id"""
+
+
 @query
 def dominant_tones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rs.dominant_tones(st.pixels(spark, sf_dir), "image_id"))
@@ -382,13 +391,102 @@ WHERE col >= image_id % 4 AND col < image_id % 4 + 2 + image_id % 7 AND row >= i
 GROUP BY image_id"""
 
 
+def _runs(name: str, cells: str) -> str:
+    """View of the runs of set cells along the rows of each window ``k``."""
+    return f"""{name} AS (SELECT k, row, min(col) AS c0, max(col) AS c1 FROM (
+  SELECT *, col - row_number() OVER (PARTITION BY k, row ORDER BY col) AS g FROM {cells}) GROUP BY k, row, g)"""
+
+
+def _meets(next_run: str, reached: str) -> str:
+    return (f"JOIN (VALUES (-1), (1)) d(s) ON TRUE JOIN {next_run} o ON o.k = {reached}.k AND o.row = {reached}.row + s"
+            f" AND o.c0 <= {reached}.c1 AND o.c1 >= {reached}.c0")
+
+
+def _parts(name: str, cells: str) -> str:
+    """View ``name`` of set cells with their component, named by its least index; runs reach one another."""
+    return f"""{_runs(name + "_run_v", cells)},
+{name}_reach_v AS (
+  SELECT k, row, c0, c1, row * 32 + c0 AS root FROM {name}_run_v
+  UNION SELECT o.k, o.row, o.c0, o.c1, r.root FROM {name}_reach_v r {_meets(name + "_run_v", "r")} WHERE r.root < o.row * 32 + o.c0),
+{name} AS (SELECT k, row, unnest(range(c0, c1 + 1)) AS col, label FROM (
+  SELECT k, row, c0, c1, min(root) AS label FROM {name}_reach_v GROUP BY ALL))"""
+
+
+def _filled(name: str, cells: str) -> str:
+    """View ``name`` of set cells and of those from which no walk over unset cells leaves the window."""
+    return f"""{name}_off_v AS (SELECT k, row, col FROM (SELECT DISTINCT k FROM {cells}), range(0, 32) a(row), range(0, 32) b(col)
+  EXCEPT SELECT k, row, col FROM {cells}),
+{_runs(name + "_run_v", name + "_off_v")},
+{name}_open_v AS (
+  SELECT * FROM {name}_run_v WHERE row IN (0, 31) OR c0 = 0 OR c1 = 31
+  UNION SELECT o.k, o.row, o.c0, o.c1 FROM {name}_open_v r {_meets(name + "_run_v", "r")}),
+{name} AS (SELECT k, row, col FROM (SELECT DISTINCT k FROM {cells}), range(0, 32) a(row), range(0, 32) b(col)
+  EXCEPT SELECT k, row, unnest(range(c0, c1 + 1)) FROM {name}_open_v)"""
+
+
+def _widest(name: str, cells: str) -> str:
+    """View ``name`` of the largest rectangle of set cells of each ``k``."""
+    return f"""{name}_bar_v AS (SELECT k, row, col, row - max(CASE WHEN s.k IS NULL THEN row ELSE -1 END) OVER (PARTITION BY k, col ORDER BY row) AS high
+  FROM (SELECT DISTINCT k FROM {cells}) JOIN range(0, 32) a(row) ON TRUE JOIN range(0, 32) b(col) ON TRUE LEFT JOIN (SELECT k, row, col FROM {cells}) s USING (k, row, col)),
+{name} AS (SELECT k, x0 AS x, row - h + 1 AS y, x1 - x0 + 1 AS w, h FROM (
+  SELECT *, row_number() OVER (PARTITION BY k ORDER BY (x1 - x0 + 1) * h DESC, row, x1, h DESC) AS place FROM (
+    SELECT s.k, s.row, s.col AS x0, e.col AS x1, min(e.high) OVER (PARTITION BY s.k, s.row, s.col ORDER BY e.col) AS h
+    FROM {name}_bar_v s JOIN {name}_bar_v e ON e.k = s.k AND e.row = s.row AND e.col >= s.col WHERE s.high > 0) WHERE h > 0) WHERE place = 1)"""
+
+
+WINDOWS = """spot_v AS (
+  SELECT vec_id AS k, row, col, row >= 6 AND row < 26 AND col >= 4 AND col < 28 AS base, row >= 12 AND row < 20 AND col >= 12 AND col < 20 AS seed,
+    CASE WHEN row < 3 OR row >= 29 OR col < 3 OR col >= 29 OR e < CAST(-0.22 AS DOUBLE) THEN 30 WHEN e > CAST(0.3 AS DOUBLE) THEN 225 ELSE 240 END AS grey
+  FROM (SELECT vec_id, row, col, CAST(embedding[row // 4 * 8 + col // 4 + 1] AS DOUBLE) AS e FROM embeddings, range(0, 32) a(row), range(0, 32) b(col))),
+one_v AS (SELECT k, (arg_max(bin, n * 100 - bin) + 0.5) * 4 AS peak FROM (
+  SELECT k, grey // 4 AS bin, count(*) AS n FROM spot_v WHERE seed GROUP BY ALL) GROUP BY k),
+first_v AS (SELECT s.k, grey, abs(grey - peak) <= 24 AS taken FROM spot_v s JOIN one_v USING (k) WHERE seed),
+two_v AS (SELECT k, (arg_max(bin, n * 100 - bin) + 0.5) * 4 AS peak FROM (
+  SELECT k, grey // 4 AS bin, count(*) AS n FROM first_v WHERE NOT taken GROUP BY ALL) GROUP BY k),
+tone_v AS (SELECT k, tone, avg(grey) AS g, count(*) / 64 AS share FROM (
+  SELECT k, grey, CASE WHEN taken THEN 1 WHEN abs(grey - peak) <= 24 THEN 2 END AS tone FROM first_v LEFT JOIN two_v USING (k)) WHERE tone IS NOT NULL GROUP BY ALL),
+ground_v AS (SELECT k, sum(share) AS coverage, arg_max(g, share * 100 - tone) AS g FROM tone_v GROUP BY k),
+flat_v AS (SELECT s.*, abs(grey - g) <= 40 AS near, grey < 128 AS ink, g FROM spot_v s JOIN ground_v USING (k) WHERE coverage >= CAST(0.73 AS DOUBLE)),
+near_v AS (SELECT k, row, col FROM flat_v WHERE near), ink_v AS (SELECT k, row, col FROM flat_v WHERE ink)"""
+BALLOONS = ",\n".join((WINDOWS, _parts("field_v", "near_v"), _parts("shape_v", "ink_v"), """reached_v AS (
+  SELECT DISTINCT k, label FROM field_v JOIN flat_v USING (k, row, col) WHERE seed),
+held_v AS (SELECT k, row, col FROM field_v JOIN reached_v USING (k, label))""", _filled("balloon_v", "held_v"), """leaving_v AS (
+  SELECT DISTINCT k, label FROM shape_v JOIN flat_v USING (k, row, col) WHERE NOT base),
+lost_v AS (SELECT k, count(*) AS lost FROM shape_v JOIN flat_v USING (k, row, col) LEFT JOIN balloon_v b USING (k, row, col) LEFT JOIN leaving_v l USING (k, label)
+  WHERE base AND b.k IS NULL AND l.k IS NULL GROUP BY k),
+kept_v AS (SELECT k, g, n FROM (SELECT k, any_value(g) AS g, count(*) FILTER (ink AND base) AS inked, count(*) FILTER (base) AS n FROM flat_v GROUP BY k)
+  LEFT JOIN lost_v USING (k) WHERE k IN (SELECT k FROM reached_v) AND (inked = 0 OR coalesce(lost, 0) / inked <= CAST(0.05 AS DOUBLE))),
+own_v AS (SELECT f.k * 1024 + label AS k, row, col FROM field_v f JOIN reached_v USING (k, label) JOIN kept_v USING (k))""", _filled("part_v", "own_v"), """closed_v AS (
+  SELECT p.*, p.k // 1024 AS region, area FROM part_v p JOIN (
+    SELECT k, count(*) AS area FROM part_v GROUP BY k HAVING NOT bool_or(row IN (0, 31) OR col IN (0, 31))) USING (k)
+  JOIN kept_v r ON r.k = p.k // 1024 WHERE area <= 3 * r.n)"""))
+
+
 @query
 def balloons(spark: SparkSession, sf_dir: str) -> DataFrame:
     fills, _, _ = bl.clip_to_balloon(st.windows(spark, sf_dir), "region_id")
     return fills.select("region_id", "red", "green", "blue", "pixels")
 
 
+SQL["balloons"] = views(BALLOONS) + """
+SELECT r.k AS region_id, CAST(floor(g + 0.5) AS INT) AS red, CAST(floor(g + 0.5) AS INT) AS green, CAST(floor(g + 0.5) AS INT) AS blue, coalesce(pixels, 0) AS pixels
+FROM kept_v r LEFT JOIN (SELECT k, count(*) AS pixels FROM (
+  SELECT k, row, col FROM balloon_v JOIN flat_v USING (k, row, col) WHERE base AND k IN (SELECT k FROM kept_v)
+  UNION SELECT region, row, col FROM closed_v) GROUP BY k) p USING (k)"""
+
+
 @query
 def balloon_lobes(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, lobes, _ = bl.clip_to_balloon(st.windows(spark, sf_dir), "region_id")
     return rounded(lobes)
+
+
+SQL["balloon_lobes"] = views(BALLOONS, """large_v AS (
+  SELECT c.k, row, col FROM closed_v c JOIN (SELECT region, sum(area) AS total FROM (SELECT DISTINCT k, region, area FROM closed_v) GROUP BY region) USING (region)
+  WHERE area >= CAST(0.15 AS DOUBLE) * total)""", _widest("lobe_v", "large_v"), """rest_v AS (
+  SELECT c.k, row, col FROM large_v c JOIN lobe_v f USING (k) WHERE NOT (col >= x AND col < x + w AND row >= y AND row < y + h))""", _widest("next_v", "rest_v"), """both_v AS (
+  SELECT *, 0 AS place FROM lobe_v UNION ALL
+  SELECT n.*, 1 FROM next_v n JOIN lobe_v f USING (k) WHERE n.w * n.h >= CAST(0.35 AS DOUBLE) * f.w * f.h),
+inset_v AS (SELECT *, least(w, h) AS short, greatest(2, CAST(0.06 AS DOUBLE) * least(w, h)) AS d FROM both_v)""") + """
+SELECT k // 1024 AS region_id, CAST(k % 1024 AS INT) AS label, place, round(1e-9 + x + d, 6) AS x, round(1e-9 + y + d, 6) AS y,
+  round(1e-9 + w - 2 * d, 6) AS w, round(1e-9 + h - 2 * d, 6) AS h FROM inset_v WHERE short - 2 * d >= 8"""
