@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from inkfield.functions import geometry as g
-from inkfield.operators import balloon as bl, labels as lb, raster as rs, tiles as tl
+from inkfield.operators import balloon as bl, evaluate as ev, labels as lb, raster as rs, tiles as tl
 from inkfield.plans import standins as st, views_sql as v
 from inkfield.plans.label_sets import _RECORDS, _boxes, _records, painted
 from inkfield.plans.registry import SQL, query, rounded
@@ -391,6 +391,21 @@ WHERE col >= image_id % 4 AND col < image_id % 4 + 2 + image_id % 7 AND row >= i
 GROUP BY image_id"""
 
 
+@query
+def dark_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a region is dark: by its recorded share, by the measured one where none was recorded."""
+    shares = dark_share(spark, sf_dir)
+    recorded = F.when(F.col("box_id") % 3 == 0, (F.col("box_id") % 7) / 10)
+    return shares.select("box_id", ev.dark_flag(recorded, F.col("dark_share")).alias("dark"))
+
+
+SQL["dark_flags"] = views(PIXELS) + """
+SELECT image_id AS box_id, CASE WHEN image_id % 3 = 0 THEN image_id % 7 / 10 >= 0.25
+  ELSE avg(CASE WHEN luma < 80 THEN 1.0 ELSE 0.0 END) >= 0.25 END AS dark FROM pixels_v
+WHERE col >= image_id % 4 AND col < image_id % 4 + 2 + image_id % 7 AND row >= image_id % 3 AND row < image_id % 3 + 3 + image_id % 5
+GROUP BY image_id"""
+
+
 def _runs(name: str, cells: str) -> str:
     """View of the runs of set cells along the rows of each window ``k``."""
     return f"""{name} AS (SELECT k, row, min(col) AS c0, max(col) AS c1 FROM (
