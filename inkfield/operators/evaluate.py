@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from inkfield.functions import geometry as g
 from inkfield.operators import spatial as sp
+from inkfield.operators.ordered import ordered_scan
 
 # Fixed values the results depend on.
 DARK_SHARE = 0.25
@@ -39,7 +40,7 @@ def slice_tally(regions: DataFrame, detections: DataFrame, pages: DataFrame) ->
     n = F.col("n")
     hit = F.coalesce("coverage", F.lit(0.0)) >= sp.COVER_HIT
     cells = (
-        labelled.join(measures, sp.REGION_KEY, "left")
+        sp.join_boxes(labelled, measures)
         .join(pages.select("page_id", "language"), "page_id")
         .groupBy("kind", "dark", "language")
         .agg(
@@ -83,9 +84,7 @@ def detection_totals(regions: DataFrame, detections: DataFrame) -> DataFrame:
 
 def page_report(pages: DataFrame, regions: DataFrame, detections: DataFrame) -> DataFrame:
     """Regions, detections and missed regions of every page, empty pages included."""
-    labelled = sp.collapse(regions, sp.REGION_KEY, "n").join(
-        sp.region_measures(regions, detections), sp.REGION_KEY, "left"
-    )
+    labelled = sp.join_boxes(sp.collapse(regions, sp.REGION_KEY, "n"), sp.region_measures(regions, detections))
     missed = F.coalesce("coverage", F.lit(0.0)) < sp.COVER_HIT
     per_page = labelled.groupBy("page_id").agg(
         F.sum("n").alias("regions"), F.sum(F.when(missed, F.col("n")).otherwise(0)).alias("missed")
@@ -140,35 +139,38 @@ def _region_steps(regions: DataFrame, detections: DataFrame) -> DataFrame:
     """Changes of each region's state as the threshold falls, per (region box, model, step).
 
     A detection with step s counts at thresholds 1..s, so going down from the
-    highest step each region gains detections. The windows below run over at
-    most one row per threshold.
+    highest step each region gains detections. Pairs are dealt by region box
+    once; the windows below run over at most one row per threshold.
     """
-    keys = [*sp.REGION_KEY, "model"]
-    pairs = sp.measured_pairs(regions, detections, ["model", "step"]).where("step > 0")
-    flags = pairs.groupBy(*keys, "step").agg(
-        F.max((F.col("iou") >= sp.IOU_HIT).cast("int")).alias("iou_hit"),
-        F.max((F.col("region_inside") >= sp.WHOLE_SHARE).cast("int")).alias("whole"),
-        F.sum(F.when(F.col("piece") > sp.FRAGMENT_SHARE, F.col("copies")).otherwise(0)).alias("pieces"),
-    )
-    falling = W.partitionBy(*keys, "col").orderBy(F.desc("step")).rowsBetween(W.unboundedPreceding, 0)
+    keys = ["_box", *sp.REGION_KEY, "model"]
+    pairs = sp.laid_out(sp.measured_pairs(regions, detections, ["model", "step"]).where("step > 0"))
+    per_column = W.partitionBy(*keys, "col").orderBy(F.desc("step"))
+    falling = per_column.rowsBetween(W.unboundedPreceding, 0)
     words = [f"m{i}" for i in range(g.MASK_WORDS)]
-    gained = (
-        sp._column_masks(pairs, [*keys, "step"])
-        .select(*keys, "col", "step", *(F.bit_or(w).over(falling).alias(w) for w in words))
-        .withColumn("size", sp._mask_size())
-        .withColumn(
-            "gain",
-            F.col("size")
-            - F.coalesce(F.lag("size").over(W.partitionBy(*keys, "col").orderBy(F.desc("step"))), F.lit(0)),
+    measure = F.col("col").isNull()
+    flags = (
+        sp.with_columns_of(pairs, F.lit(True))
+        .groupBy(*keys, "col", "step")
+        .agg(
+            F.max((F.col("iou") >= sp.IOU_HIT).cast("int")).alias("iou_hit"),
+            F.max((F.col("region_inside") >= sp.WHOLE_SHARE).cast("int")).alias("whole"),
+            F.sum(F.when(F.col("piece") > sp.FRAGMENT_SHARE, F.col("copies")).otherwise(0)).alias("pieces"),
+            *sp.column_unions(),
         )
+        .select(*keys, "col", "step", "iou_hit", "whole", "pieces", *(F.bit_or(w).over(falling).alias(w) for w in words))
+        .withColumn("size", sp.mask_size())
+        .withColumn("gain", F.col("size") - F.coalesce(F.lag("size").over(per_column), F.lit(0)))
         .groupBy(*keys, "step")
-        .agg(F.sum("gain").alias("gain"))
+        .agg(
+            *(F.max(F.when(measure, F.col(c))).alias(c) for c in ("iou_hit", "whole", "pieces")),
+            F.sum(F.when(measure, 0).otherwise(F.col("gain"))).alias("gain"),
+        )
     )
     so_far = W.partitionBy(*keys).orderBy(F.desc("step")).rowsBetween(W.unboundedPreceding, 0)
     before = W.partitionBy(*keys).orderBy(F.desc("step"))
-    covered = F.sum(F.coalesce("gain", F.lit(0))).over(so_far) / sp.grid_cells()
+    covered = F.sum("gain").over(so_far) / sp.grid_cells()
     pieces = F.sum("pieces").over(so_far)
-    states = flags.join(gained, [*keys, "step"], "left").select(
+    states = flags.select(
         *keys, "step",
         covered.alias("coverage"),
         (covered >= sp.COVER_HIT).cast("int").alias("hits"),
@@ -195,8 +197,7 @@ def sweep(regions: DataFrame, detections: DataFrame, thresholds: Sequence[float]
     values = ["coverage", "hits", "iou_hits", "fragmented", "true_split"]
     n = F.col("n")
     changes = (
-        _region_steps(regions, scored)
-        .join(labelled, sp.REGION_KEY)
+        sp.join_boxes(labelled, _region_steps(regions, scored), "inner")
         .groupBy("model", "kind", "dark", "step")
         .agg(*(F.sum(F.col(v) * n).alias(v) for v in values))
     )
@@ -357,11 +358,12 @@ def fixed_report(swept: DataFrame, threshold: float, models: Sequence[str]) -> D
 
 
 def parity(left: DataFrame, right: DataFrame, key: Sequence[str], order: Sequence[str],
-           tolerances: dict[str, float]) -> DataFrame:
+           tolerances: dict[str, float], extent: float = 64.0) -> DataFrame:
     """Rows of two result sets that differ by more than their tolerance, paired by position.
 
-    Within a key both sides are put in ``order``; keys whose row counts differ
-    are reported once with both counts and no pairing.
+    Within a key both sides are put in ``order``, whose first column is a
+    number: a key's rows are ranked in stretches of ``extent`` of it. Keys whose
+    row counts differ are reported once with both counts and no pairing.
     """
     values = list(tolerances)
     counts = (
@@ -369,9 +371,11 @@ def parity(left: DataFrame, right: DataFrame, key: Sequence[str], order: Sequenc
         .join(right.groupBy(*key).agg(F.count(F.lit(1)).alias("right_rows")), list(key), "full_outer")
         .fillna(0, ["left_rows", "right_rows"])
     )
-    place = W.partitionBy(*key).orderBy(*order)
-    a = left.select(*key, F.row_number().over(place).alias("position"), *(F.col(v).alias(f"a_{v}") for v in values))
-    b = right.select(*key, F.row_number().over(place).alias("position"), *(F.col(v).alias(f"b_{v}") for v in values))
+    def placed(side: DataFrame, name: str) -> DataFrame:
+        ranked = ordered_scan(side, list(key), list(order), F.floor(F.col(order[0]) / extent), rank="position")
+        return ranked.select(*key, F.col("position").cast("int").alias("position"), *(F.col(v).alias(f"{name}_{v}") for v in values))
+
+    a, b = placed(left, "a"), placed(right, "b")
     off = F.lit(False)
     for v, tolerance in tolerances.items():
         off = off | (F.abs(F.col(f"a_{v}") - F.col(f"b_{v}")) > tolerance)

@@ -605,5 +605,24 @@ def field_window(width: Column, height: Column, b: g.Box, margin: int = FIELD_MA
     return g.Box(x, y, F.least(width - x, F.ceil(b.w) + 2 * margin), F.least(height - y, F.ceil(b.h) + 2 * margin))
 
 
+def fields_around(
+    pixels: DataFrame, regions: DataFrame, keys: Sequence[str], region_key: str, width: Column, height: Column, margin: int = FIELD_MARGIN,
+) -> DataFrame:
+    """Field of every region's window on its page; a window without pixels is all ground, and white.
+
+    ``width`` and ``height`` are the page's, as columns of ``regions``. A window
+    is dealt by its rows, so a join key is one row of one page's pixels.
+    """
+    window = field_window(width, height, g.box(), margin)
+    rows = (
+        regions.select(*keys, region_key, window.x.alias("_x"), window.y.alias("_y"), window.right.alias("_r"), window.bottom.alias("_b"))
+        .where("_r > _x AND _b > _y")
+        .withColumn("row", F.explode(F.sequence(F.col("_y").cast("int"), F.col("_b").cast("int") - 1)))
+    )
+    inside = pixels.join(rows, [*keys, "row"]).where("col >= _x AND col < _r").select(region_key, "luma", "r", "g", "b")
+    found = fields(dominant_tones(inside, region_key), region_key)
+    return regions.select(region_key).join(found, region_key, "left").fillna({"coverage": 1.0, "r": 255.0, "g": 255.0, "b": 255.0})
+
+
 def luma_of(df: DataFrame) -> DataFrame:
     return df.withColumn("luma", colour.luma(F.col("r"), F.col("g"), F.col("b")))

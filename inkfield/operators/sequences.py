@@ -280,9 +280,12 @@ def chunk_boxes(lines: DataFrame, chunks: DataFrame, group: str, key: str) -> Da
     )
 
 
-def lobe_order(lobes: DataFrame, group: str, key: str) -> DataFrame:
-    """Lobes of a balloon in reading order; at most two rectangles per closed part."""
+def lobe_order(lobes: DataFrame, group: str, key: str, extent: float = 64.0) -> DataFrame:
+    """Lobes of a balloon in reading order; at most two rectangles per closed part.
+
+    Ranked by ``ordered_scan`` in stretches of ``extent`` along the reading direction.
+    """
     b = g.box()
     centre = F.when(F.col("vertical"), -(b.x + b.w / 2)).otherwise(b.y + b.h / 2)
-    place = F.row_number().over(W.partitionBy(group).orderBy(centre, key))
-    return lobes.withColumn("position", place - 1)
+    ranked = ordered_scan(lobes.withColumn("_centre", centre), [group], ["_centre", key], F.floor(F.col("_centre") / extent), rank="position")
+    return ranked.drop("_centre").withColumn("position", F.col("position") - 1)

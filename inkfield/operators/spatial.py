@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from inkfield.functions import geometry as g
 from inkfield.session import spread
@@ -85,8 +85,8 @@ def measured_pairs(regions: DataFrame, detections: DataFrame, extra: Sequence[st
     )
 
 
-def _rect_cells() -> Column:
-    c0, c1, r0, r1 = (F.col(n) for n in ("c0", "c1", "r0", "r1"))
+def _rect_cells(prefix: str = "") -> Column:
+    c0, c1, r0, r1 = (F.col(prefix + n) for n in ("c0", "c1", "r0", "r1"))
     return F.when((c1 >= c0) & (r1 >= r0), (c1 - c0 + 1).cast("long") * (r1 - r0 + 1)).otherwise(F.lit(0).cast("long"))
 
 
@@ -95,24 +95,49 @@ def grid_cells() -> Column:
     return (g.sample_count(F.col("w")).cast("long") * g.sample_count(F.col("h")))
 
 
-def _column_masks(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Union of row masks per (keys, sample column): a fixed-size state that combines map-side.
+def box_number() -> Column:
+    """A long made from a region's box.
 
-    Empty ranges are dropped by the explode, not by a filter: a filter would be
-    pushed into the join with the whole range arithmetic copied into it.
+    Spark normalises floating-point keys anew in every grouping, window and
+    join, so a layout by them is not seen again; a layout by this number is.
     """
-    words = [f"m{i}" for i in range(g.MASK_WORDS)]
+    return F.xxhash64("page_id", *(F.col(c) + 0.0 for c in REGION_KEY[1:]))  # + 0.0: the two zeros are one
+
+
+def laid_out(pairs: DataFrame) -> DataFrame:
+    """Pairs dealt by ``_box`` once: whatever is grouped by it and more columns stays where it is."""
+    return spread(pairs.withColumn("_box", box_number()), "_box")
+
+
+def join_boxes(rows: DataFrame, measures: DataFrame, how: str = "left") -> DataFrame:
+    """Region rows with what was measured of their box, by ``_box`` alone so that the measures are not dealt again.
+
+    The box itself is compared by order, as equality would make it a key of the join.
+    """
+    theirs = measures.withColumnsRenamed({c: f"_of_{c}" for c in ["_box", *REGION_KEY]})
+    same = F.col("_box") == F.col("_of__box")
+    for c in REGION_KEY:
+        same = same & (F.col(c) <= F.col(f"_of_{c}")) & (F.col(c) >= F.col(f"_of_{c}"))
+    return rows.withColumn("_box", box_number()).join(theirs, same, how).drop("_box", *(f"_of_{c}" for c in ["_box", *REGION_KEY]))
+
+
+def with_columns_of(pairs: DataFrame, wanted: Column) -> DataFrame:
+    """Every pair once with a null ``col``, and where ``wanted`` once per sample column it covers, with its row masks.
+
+    So one grouping by (region, col) makes both the measures of a region (the
+    group of the null) and the unions of its columns.
+    """
+    covered = F.when(wanted & (F.col("c1") >= F.col("c0")), F.sequence("c0", "c1")).otherwise(F.array().cast("array<int>"))
     masks = g.row_masks(F.col("r0"), F.col("r1"))
-    return (
-        spread(pairs, *keys, "c0", "c1", "r0", "r1")
-        .select(*keys, "c0", "c1", *(m.alias(w) for m, w in zip(masks, words)))
-        .withColumn("col", F.explode(F.when(F.col("c1") >= F.col("c0"), F.sequence("c0", "c1"))))
-        .groupBy(*keys, "col")
-        .agg(*(F.bit_or(w).alias(w) for w in words))
-    )
+    return pairs.withColumns({f"m{i}": m for i, m in enumerate(masks)}).withColumn(
+        "col", F.explode(F.concat(F.array(F.lit(None).cast("int")), covered)))
+
+
+def column_unions() -> list[Column]:
+    return [F.bit_or(f"m{i}").alias(f"m{i}") for i in range(g.MASK_WORDS)]
 
 
-def _mask_size(prefix: str = "m") -> Column:
+def mask_size(prefix: str = "m") -> Column:
     total = F.bit_count(F.col(f"{prefix}0"))
     for word in range(1, g.MASK_WORDS):
         total = total + F.bit_count(F.col(f"{prefix}{word}"))
@@ -120,35 +145,39 @@ def _mask_size(prefix: str = "m") -> Column:
 
 
 def region_measures(regions: DataFrame, detections: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Per region box (and ``by``): coverage, best_iou, pieces, single, detections touching.
+    """Per region box (and ``by``): coverage, best_iou, pieces, single, detections touching, and its ``_box``.
 
-    Boxes no detection overlaps give no row; see ``with_measures``. The common
-    case, one detection holding all others' part of the region, needs only a
-    hash aggregate; only the rest has its sample columns enumerated.
+    Boxes no detection overlaps give no row; see ``with_measures``. Pairs are
+    dealt by region box once and all steps keep that layout, ``join_boxes`` of
+    the result too. The common case, one detection holding all
+    others' part of the region, has none of its sample columns enumerated.
     """
-    keys = [*REGION_KEY, *by]
-    pairs = measured_pairs(regions, detections, by)
+    keys = ["_box", *REGION_KEY, *by]
+    of_region = W.partitionBy(*keys)
     real = _rect_cells() > 0
-    first = pairs.groupBy(*keys).agg(
-        F.max("iou").alias("best_iou"),
-        F.sum(F.when(F.col("piece") > FRAGMENT_SHARE, F.col("copies")).otherwise(0)).alias("pieces"),
-        F.max("region_inside").alias("single"),
-        F.sum("copies").alias("touching"),
-        F.max(_rect_cells()).alias("largest"),
-        F.min(F.when(real, F.col("c0"))).alias("c0"), F.max(F.when(real, F.col("c1"))).alias("c1"),
-        F.min(F.when(real, F.col("r0"))).alias("r0"), F.max(F.when(real, F.col("r1"))).alias("r1"),
-    )
-    one_holds_all = F.coalesce(_rect_cells(), F.lit(0)) == F.col("largest")
-    several = first.where(~one_holds_all).select(*keys)
-    union = (
-        _column_masks(pairs.join(several, keys, "left_semi"), keys)
-        .groupBy(*keys)
-        .agg(F.sum(_mask_size()).alias("union_cells"))
+    pairs = laid_out(measured_pairs(regions, detections, by)).select(
+        "*", F.max(_rect_cells()).over(of_region).alias("largest"),
+        *(f(F.when(real, F.col(c))).over(of_region).alias(f"hull_{c}") for f, c in ((F.min, "c0"), (F.max, "c1"), (F.min, "r0"), (F.max, "r1"))),
     )
+    several = F.coalesce(_rect_cells("hull_"), F.lit(0)) != F.col("largest")
+    measure, column = F.col("col").isNull(), F.col("col").isNotNull()
     return (
-        first.join(union, keys, "left")
-        .withColumn("coverage", F.coalesce("union_cells", "largest") / grid_cells())
-        .select(*keys, "coverage", "best_iou", "pieces", "single", "touching")
+        with_columns_of(pairs, several)
+        .groupBy(*keys, "col")
+        .agg(
+            F.max("iou").alias("best_iou"),
+            F.sum(F.when(F.col("piece") > FRAGMENT_SHARE, F.col("copies")).otherwise(0)).alias("pieces"),
+            F.max("region_inside").alias("single"),
+            F.sum("copies").alias("touching"),
+            F.max("largest").alias("largest"),
+            *column_unions(),
+        )
+        .groupBy(*keys)
+        .agg(
+            F.coalesce(F.sum(F.when(column, mask_size())), F.max("largest")).alias("covered"),
+            *(F.max(F.when(measure, F.col(c))).alias(c) for c in ("best_iou", "pieces", "single", "touching")),
+        )
+        .select(*keys, (F.col("covered") / grid_cells()).alias("coverage"), "best_iou", "pieces", "single", "touching")
     )
 
 
@@ -156,7 +185,7 @@ def with_measures(regions: DataFrame, detections: DataFrame) -> DataFrame:
     """Every region row with its measures; zeros where no detection overlaps."""
     measures = region_measures(regions, detections)
     zeros = {"coverage": 0.0, "best_iou": 0.0, "pieces": 0, "single": 0.0, "touching": 0}
-    return regions.join(measures, REGION_KEY, "left").fillna(zeros)
+    return join_boxes(regions, measures).fillna(zeros)
 
 
 def best_match(regions: DataFrame, detections: DataFrame) -> DataFrame:

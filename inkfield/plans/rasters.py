@@ -362,6 +362,29 @@ SELECT image_id, round(1e-9 + sum(share), 6) AS coverage, round(1e-9 + arg_max(r
 FROM tones_v GROUP BY image_id"""
 
 
+@query
+def fields_around(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two regions of every image, some at its edge and some beside it, with one cell of margin."""
+    pixels = st.pixels(spark, sf_dir)
+    regions = st.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("k")).selectExpr(
+        "image_id", "2 * image_id + k AS region_id", "CAST(image_id % 12 AS DOUBLE) + CAST(0.5 AS DOUBLE) * k AS x", "CAST(image_id % 7 AS DOUBLE) - 2 * k AS y",
+        "CAST(2.5 AS DOUBLE) AS w", "CAST(1 + k AS DOUBLE) AS h")
+    return rounded(rs.fields_around(pixels, regions, ["image_id"], "region_id", F.lit(8), F.lit(8), margin=1))
+
+
+SQL["fields_around"] = views(PIXELS, """around_v AS (
+  SELECT image_id, 2 * image_id + k AS region_id, greatest(0, image_id % 12 - 1) AS x0, greatest(0, image_id % 7 - 2 * k - 1) AS y0, 4 + k AS wide_h
+  FROM (SELECT vec_id AS image_id, unnest([0, 1]) AS k FROM embeddings)),
+near_v AS (
+  SELECT region_id AS image_id, r, g, bl, luma, count(*) OVER (PARTITION BY region_id) AS size FROM around_v JOIN pixels_v USING (image_id)
+  WHERE col >= x0 AND col < least(8, x0 + 5) AND row >= y0 AND row < least(8, y0 + wide_h - 1))""" + TONES.removeprefix(PIXELS).replace("pixels_v", "near_v").replace(
+    "count(*) / 64", "count(*) / any_value(size)")) + """,
+all_v AS (SELECT image_id, sum(share) AS coverage, arg_max(r, share * 100000 - tone) AS r, arg_max(g, share * 100000 - tone) AS g, arg_max(b, share * 100000 - tone) AS b
+  FROM tones_v GROUP BY image_id)
+SELECT region_id, round(1e-9 + coalesce(coverage, 1), 6) AS coverage, round(1e-9 + coalesce(r, 255), 6) AS r, round(1e-9 + coalesce(g, 255), 6) AS g,
+  round(1e-9 + coalesce(b, 255), 6) AS b FROM around_v LEFT JOIN all_v ON all_v.image_id = region_id"""
+
+
 @query
 def otsu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rs.otsu(st.pixels(spark, sf_dir), "image_id")

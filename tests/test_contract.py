@@ -14,6 +14,7 @@ CHECKED = [
     "slice_tally", "region_measures", "spurious", "settings_state", "strips", "reply_parse", "request_plan", "label_build",
     "wide_text", "label_union", "quota_head", "split", "stage_by_language", "stage_stub", "components_by_join", "component_boxes", "max_rect", "otsu", "line_pack", "repeat_guard", "gap_segments", "stream_rebuild",
     "crop_plan", "crop_targets", "reading_order", "fit_layout", "fit_labels", "render_plan", "balloons", "balloon_lobes",
+    "fields_around", "parity", "lobe_order", "sweep", "page_report", "misses", "fragments",
 ]
 
 
