@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from inkfield.functions import geometry as g
@@ -265,15 +267,16 @@ def move_boxes(boxes: DataFrame, plan: DataFrame) -> DataFrame:
     })
 
 
-def crop_layers(records: DataFrame, boxes: DataFrame, plan: DataFrame, order: Column) -> DataFrame:
+def crop_layers(records: DataFrame, boxes: DataFrame, plan: DataFrame, order: Column, keys: Sequence[str] = ("page_id",)) -> DataFrame:
     """What is painted on each record's crop: its boxes, moved, over the part that the page covers.
 
     ``order`` tells which of two text boxes is on top, from the boxes as stored. A
-    record without boxes still has its page, so every record gives rows.
+    record without boxes still has its page, so every record gives rows. ``keys``
+    tell the crops of a plan apart.
     """
-    moved = move_boxes(boxes.withColumn("ord", order), plan).select("page_id", "role", "x", "y", "w", "h", "ord", "crop")
+    moved = move_boxes(boxes.withColumn("ord", order), plan).select(*keys, "role", "x", "y", "w", "h", "ord", "crop")
     page = plan.select(
-        "page_id", F.lit("page").alias("role"), F.col("vx0").cast("double").alias("x"), F.col("vy0").cast("double").alias("y"),
+        *keys, F.lit("page").alias("role"), F.col("vx0").cast("double").alias("x"), F.col("vy0").cast("double").alias("y"),
         (F.col("vx1") - F.col("vx0")).cast("double").alias("w"), (F.col("vy1") - F.col("vy0")).cast("double").alias("h"),
         F.lit(0).cast("long").alias("ord"), "crop",
     )

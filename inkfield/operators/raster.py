@@ -8,15 +8,16 @@ A *cell table* has one row per set cell and may hold rasters of any size;
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from inkfield.functions import colour, geometry as g
-from inkfield.session import cut_lineage
+from inkfield.session import cut_lineage, spread
 
 # Fixed values the results depend on.
 BINARIZE = 0.3
@@ -28,6 +29,10 @@ DARK_LUMA = 80
 TONE_BINS, TONE_TOLERANCE = 64, 24
 FIELD_MARGIN = 6
 
+ROW_BAND = 64  # rows of a mask that are one task's
+PLACE_BITS = [sum(1 << i for i in range(64) if i >> k & 1) - (1 << 64) for k in range(6)]  # bits of a long whose place has bit k, as signed
+GRID_CELLS = 1 << 23  # cells of painted rasters that are held together
+
 NODE_SHIFT = 31  # a node id is row * 2^31 + column
 
 
@@ -305,6 +310,34 @@ def box_mask(boxes: DataFrame, keys: Sequence[str], b: g.Box | None = None) -> D
     )
 
 
+def box_mask_digest(boxes: DataFrame, keys: Sequence[str], width: int, b: g.Box | None = None) -> DataFrame:
+    """Cells inside any box, as ``box_mask`` takes them, and the sum of their indexes in a raster of ``width`` columns.
+
+    No row a cell is made: boxes are dealt by key and band of rows once, and the
+    cells of a row are bits of longs, united where they are.
+    """
+    b = b or g.box()
+    spans = boxes.select(
+        *keys, F.floor(F.greatest(F.lit(0.0), b.y)).alias("_r0"), (F.ceil(b.bottom) - 1).alias("_r1"),
+        F.floor(F.greatest(F.lit(0.0), b.x)).alias("_c0"), (F.ceil(b.right) - 1).alias("_c1"),
+    ).where("_r1 >= _r0 AND _c1 >= _c0")
+    dealt = spread(spans.withColumn("_band", F.explode(F.sequence(F.floor(F.col("_r0") / ROW_BAND), F.floor(F.col("_r1") / ROW_BAND)))), *keys, "_band")
+    first, last = F.greatest("_r0", F.col("_band") * ROW_BAND), F.least("_r1", F.col("_band") * ROW_BAND + ROW_BAND - 1)
+    rows = dealt.withColumn("_row", F.explode(F.sequence(first, last))).withColumn(
+        "_word", F.explode(F.sequence(F.shiftright("_c0", 6), F.shiftright("_c1", 6))))
+    lo, hi = F.greatest(F.col("_c0") - 64 * F.col("_word"), F.lit(0)), F.least(F.col("_c1") - 64 * F.col("_word"), F.lit(63))
+    bits = F.call_function("shiftleft", F.lit(-1).cast("long"), lo.cast("int")).bitwiseAND(
+        F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), (63 - hi).cast("int")))
+    words = rows.groupBy(*keys, "_band", "_row", "_word").agg(F.bit_or(bits).alias("_bits"))
+    n = F.bit_count("_bits").cast("long")
+    # The places of a long's set bits add up by the bits of the places.
+    places = sum(((1 << k) * F.bit_count(F.col("_bits").bitwiseAND(F.lit(m))).cast("long") for k, m in enumerate(PLACE_BITS)), F.lit(0))
+    return (
+        words.groupBy(*keys, "_band").agg(F.sum(n).alias("_n"), F.sum((F.col("_row") * width + 64 * F.col("_word")) * n + places).alias("_sum"))
+        .groupBy(*keys).agg(F.sum("_n").alias("pixels"), F.sum("_sum").alias("index_sum"))
+    )
+
+
 def bare_masks(regions: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Masks of regions without a shape, as one span of rows and columns each: the whole box (``erase``) and its middle half (``seed``).
 
@@ -428,14 +461,8 @@ def _cell_range(b: g.Box, inset: Column, columns: Column, rows: Column) -> Colum
     return F.when(real, F.struct(a.alias("c0"), t.alias("r0"), c.alias("c1"), d.alias("r1")))
 
 
-def rasterise(boxes: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """Target and mask of every cell a label box reaches; cells not listed are target 0, mask 1.
-
-    Boxes carry ``role`` (page, background, ignore, text), ``ignore_all`` and the
-    crop's ``columns, rows`` in cells. Layers, later ones winning: the page of an
-    ignored record 0, background windows 1, ignore boxes 0, text boxes in order
-    (1, or 0 when ignored everywhere or too small to keep a core), cores 1.
-    """
+def _layers(boxes: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """What is painted, in order within each raster: keys, r0, r1, c0, c1 (ends excluded) and the state 1 + mask + 2 * target."""
     b = g.box()
     role, columns, rows = F.col("role"), F.col("columns"), F.col("rows")
     core = _cell_range(b, g.shrink_offset(b.w, b.h), columns, rows)
@@ -445,24 +472,117 @@ def rasterise(boxes: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     ) & (role == "text")
     layer = F.when(role == "page", 0).when(role == "background", 1).when(role == "ignore", 2).otherwise(3)
     value = F.when(role == "background", 1).when((role == "text") & has_core & ~F.col("ignore_all"), 1).otherwise(0)
-    painted = F.array(
-        F.struct(layer.alias("layer"), value.alias("mask"), F.lit(0).alias("target"), F.col("_outer").alias("r")),
-        F.when(has_core, F.struct(F.lit(4).alias("layer"), F.lit(1).alias("mask"), F.lit(1).alias("target"), F.col("_core").alias("r"))),
-    )
     shown = (role != "page") | F.col("ignore_all")
-    cells = (
-        ranged.where(shown)
-        .select(*keys, F.col(order).alias("_order"), F.explode(F.array_compact(painted)).alias("_p"))
-        .withColumn("row", F.explode(F.sequence(F.col("_p.r.r0"), F.col("_p.r.r1") - 1)))
-        .withColumn("col", F.explode(F.sequence(F.col("_p.r.c0"), F.col("_p.r.c1") - 1)))
+    # By a number made of the keys: a layout by the keys themselves may be taken as given when the rows are a union of joins by them, and then change.
+    dealt = spread(ranged.where(shown).select(
+        *keys, F.xxhash64(*keys).alias("_deal"), F.col(order).cast("long").alias("_order"), layer.alias("layer"), value.alias("mask"), "_outer", F.when(has_core, F.col("_core")).alias("_core")), "_deal")
+    painted = F.array(
+        F.struct(F.col("layer"), F.col("mask"), F.lit(0).alias("target"), F.col("_outer").alias("r")),
+        F.when(F.col("_core").isNotNull(), F.struct(F.lit(4).alias("layer"), F.lit(1).alias("mask"), F.lit(1).alias("target"), F.col("_core").alias("r"))),
     )
-    # A cell's state is one number, greatest wins: layer, then order, then the painted bits.
-    rank = F.col("_p.layer") * 2**40 + F.col("_order").cast("long") * 4 + F.col("_p.target") * 2 + F.col("_p.mask")
-    return cells.groupBy(*keys, "row", "col").agg(F.max(rank.cast("long")).alias("_s")).select(
-        *keys, "row", "col", (F.shiftright("_s", 1) % 2).cast("int").alias("target"), (F.col("_s") % 2).cast("int").alias("mask")
+    return (
+        dealt.select(*keys, "_order", F.explode(F.array_compact(painted)).alias("_p"))
+        .sortWithinPartitions(*keys, "_p.layer", "_order", "_p.mask")
+        .select(*keys, *(F.col(f"_p.r.{c}").cast("int").alias(f"_{c}") for c in ("r0", "r1", "c0", "c1")),
+                (1 + F.col("_p.mask") + 2 * F.col("_p.target")).cast("int").alias("_state"))
     )
 
 
+def painted(batches: Iterable[pa.RecordBatch], keys: Sequence[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rasters of ``_layers`` with their keys, some at a time: [raster, row, column], 0 where nothing was painted.
+
+    Later layers paint over earlier ones. Of a raster whose rows go on in the
+    next batch only the raster is kept, so its size bounds what is held.
+    """
+    keys, held = list(keys), None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        named = table.select(keys)
+        new = np.zeros(batch.num_rows, bool)
+        new[0] = True
+        for key in keys:
+            code = batch.column(key).dictionary_encode(null_encoding="encode").indices.to_numpy()
+            new[1:] |= code[1:] != code[:-1]
+        begins = np.flatnonzero(new)
+        edges = np.append(begins, batch.num_rows)
+        goes_on = held is not None and held[0].equals(named.slice(0, 1))
+        if held is not None and not goes_on:
+            yield held[0], held[1][None]
+            held = None
+        r0, r1, c0, c1, state = (batch.column(c).to_numpy() for c in ("_r0", "_r1", "_c0", "_c1", "_state"))
+        high, wide = int(r1.max()), int(c1.max())
+        if goes_on:
+            high, wide = max(high, held[1].shape[0]), max(wide, held[1].shape[1])
+        most = max(1, GRID_CELLS // (high * wide))
+        for s in range(0, len(begins), most):
+            e = min(s + most, len(begins))
+            grid = np.zeros((e - s, high, wide), np.uint8)
+            if goes_on and s == 0:
+                grid[0, : held[1].shape[0], : held[1].shape[1]] = held[1]
+            rows = slice(edges[s], edges[e])
+            of = np.repeat(np.arange(e - s), np.diff(edges[s : e + 1]))
+            for n, t, d, l, r, v in zip(of.tolist(), *(a[rows].tolist() for a in (r0, r1, c0, c1, state))):
+                grid[n, t:d, l:r] = v
+            done = table.select(keys).take(pa.array(begins[s:e]))
+            if e == len(begins):
+                held, grid = (done.slice(e - s - 1, 1), grid[-1].copy()), grid[:-1]
+                done = done.slice(0, e - s - 1)
+            if len(grid):
+                yield done, grid
+    if held is not None:
+        yield held[0], held[1][None]
+
+
+def _from_rasters(boxes: DataFrame, keys: Sequence[str], order: str, fields: dict, made: Callable[[np.ndarray], tuple]) -> DataFrame:
+    schema = StructType([boxes.schema[k] for k in keys] + [StructField(n, kind) for n, kind in fields.items()])
+    kinds = {n: pa.int32() if kind == IntegerType() else pa.int64() for n, kind in fields.items()}
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for named, grid in painted(batches, keys):
+            rows, columns = made(grid)
+            out = (named if rows is None else named.take(pa.array(rows))).combine_chunks()
+            for n, values in columns.items():
+                out = out.append_column(n, pa.array(values).cast(kinds[n]))
+            yield from out.to_batches()
+
+    return _layers(boxes, keys, order).mapInArrow(each, schema)
+
+
+def rasterise(boxes: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """Target and mask of every cell a label box reaches; cells not listed are target 0, mask 1.
+
+    Boxes carry ``role`` (page, background, ignore, text), ``ignore_all`` and the
+    crop's ``columns, rows`` in cells. Layers, later ones winning: the page of an
+    ignored record 0, background windows 1, ignore boxes 0, text boxes in order
+    (1, or 0 when ignored everywhere or too small to keep a core), cores 1.
+    Boxes are dealt by raster once and painted in that order; cells are never shuffled.
+    """
+    def made(grid: np.ndarray) -> tuple[np.ndarray, dict]:
+        at, row, col = np.nonzero(grid)
+        state = grid[at, row, col].astype(np.int32) - 1
+        return at, {"row": row, "col": col, "target": state // 2, "mask": state % 2}
+
+    return _from_rasters(boxes, keys, order, dict.fromkeys(("row", "col", "target", "mask"), IntegerType()), made)
+
+
+def raster_digest(boxes: DataFrame, keys: Sequence[str], order: str, width: int) -> DataFrame:
+    """Of the cells that ``rasterise`` gives of each raster: how many, cores and masked ones, and the sums of their indexes in rows of ``width``."""
+    def made(grid: np.ndarray) -> tuple[None, dict]:
+        place = (np.arange(grid.shape[1])[:, None] * width + np.arange(grid.shape[2])).ravel()
+        weights = np.stack([np.ones(len(place)), place], 1)
+
+        def counted(cells: np.ndarray) -> np.ndarray:
+            """Numbers and sums of indexes of set cells; whole numbers, far below what doubles hold exactly."""
+            return (cells.reshape(len(cells), -1).astype(np.float64) @ weights).astype(np.int64).T
+
+        core, masked = counted(grid >= 3), counted(grid % 2 == 1)
+        return None, {"cells": np.count_nonzero(grid, (1, 2)), "core_cells": core[0], "masked_cells": masked[0], "core_sum": core[1], "masked_sum": masked[1]}
+
+    return _from_rasters(boxes, keys, order, dict.fromkeys(("cells", "core_cells", "masked_cells", "core_sum", "masked_sum"), LongType()), made)
+
+
 # --- tones -----------------------------------------------------------------
 
 

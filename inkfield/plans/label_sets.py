@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from inkfield.operators import labels as lb, raster as rs
 from inkfield.plans import standins as st, views_sql as v
 from inkfield.plans.registry import SQL, query, rounded
 from inkfield.plans.views_sql import views
+from inkfield.session import cut_lineage
 
 STORED_SIDE = 320  # the stand-in pages are small; a long side that really shrinks them
 
@@ -206,17 +209,10 @@ def crop_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Label targets of every record's crop, for training and for validation, counted; the stored pages are the input's size."""
     records, boxes = _records(spark, sf_dir), _boxes(spark, sf_dir)
     order = F.col("x").cast("long") * 4096 + F.col("y").cast("long")
-
-    def counted(train: bool) -> DataFrame:
-        plan = lb.crop_plan(records, boxes, EPOCH, SEED, crop=CROP, train=train, input_size=STORED_SIDE)
-        cells = rs.rasterise(lb.crop_layers(records, boxes, plan, order), ["page_id"], "ord")
-        place = F.col("row") * 80 + F.col("col")
-        return cells.groupBy("page_id").agg(
-            F.sum("target").alias("core_cells"), F.count_if(F.col("mask") == 0).alias("masked_cells"), F.count(F.lit(1)).alias("cells"),
-            F.sum(place * F.col("target")).alias("core_sum"), F.sum(place * (1 - F.col("mask"))).alias("masked_sum"),
-        ).withColumn("train", F.lit(train))
-
-    return counted(True).unionByName(counted(False))
+    # A row a page and mode, made once: the draws in it are digests, which a filter on cells would make again for each of its terms.
+    plan = cut_lineage(functools.reduce(DataFrame.unionByName, (
+        lb.crop_plan(records, boxes, EPOCH, SEED, crop=CROP, train=train, input_size=STORED_SIDE).withColumn("train", F.lit(train)) for train in (True, False))))
+    return rs.raster_digest(lb.crop_layers(records, boxes, plan, order, ["page_id", "train"]), ["page_id", "train"], "ord", 80)
 
 
 CROP = 192

@@ -86,3 +86,39 @@ def test_no_records_give_no_crops(spark):
     records, boxes = tables(spark)
     plan = lb.crop_plan(records.limit(0), boxes, 1, 1, crop=128, input_size=320)
     assert rs.rasterise(lb.crop_layers(records, boxes, plan, F.lit(0).cast("long")), ["page_id"], "ord").count() == 0
+
+
+def test_digests_equal_their_cells(spark):
+    """Rasters that go on over several batches, rows and columns past one word or band, and layers dealt after a union of joins."""
+    keys = ["page_id"]
+    n = 3000
+    rows = spark.range(n).selectExpr(
+        "id % 7 AS page_id", "element_at(array('text', 'ignore', 'background', 'text', 'page'), CAST(id % 5 AS INT) + 1) AS role", "CAST(id * 37 % 500 - 20 AS DOUBLE) AS x",
+        "CAST(id * 53 % 470 - 15 AS DOUBLE) / 2 AS y", "CAST(id * 11 % 90 AS DOUBLE) AS w", "CAST(id * 29 % 130 AS DOUBLE) AS h", "id % 7 = 3 AS ignore_all", "id * 101 % 997 AS ord",
+        "120 AS columns", "70 AS rows")
+    small = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        page = rows.select("page_id").distinct()
+        joined = rows.where("ord % 2 = 0").join(page, "page_id").unionByName(rows.where("ord % 2 = 1").join(page, "page_id"))
+        cells = {(r.page_id, r.row, r.col): (r.target, r["mask"]) for r in rs.rasterise(rows, keys, "ord").collect()}
+        got = {r.page_id: tuple(r)[1:] for r in rs.raster_digest(joined, keys, "ord", 77).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", small)
+    want = {}
+    for (page_id, row, col), (target, mask) in cells.items():
+        old, at = want.get(page_id, (0,) * 5), row * 77 + col
+        want[page_id] = tuple(a + b for a, b in zip(old, (1, target, 1 - mask, at * target, at * (1 - mask))))
+    assert got == want and len(got) == 7
+    masks = {}
+    for r in rs.box_mask(rows, keys).collect():
+        old = masks.get(r.page_id, (0, 0))
+        masks[r.page_id] = old[0] + 1, old[1] + r.row * 901 + r.col
+    assert {r.page_id: tuple(r)[1:] for r in rs.box_mask_digest(rows, keys, 901).collect()} == masks
+
+
+def test_box_masks_make_no_row_a_cell(spark):
+    """Two boxes of nine million cells each, on one page."""
+    boxes = spark.createDataFrame([(1, 0.0, 0.0, 3000.0, 3000.0), (1, 1000.0, 0.0, 3000.0, 3000.0)], "p int, x double, y double, w double, h double")
+    plan = rs.box_mask_digest(boxes, ["p"], 4000)
+    assert [tuple(r) for r in plan.collect()] == [(1, 12_000_000, 12_000_000 * 11_999_999 // 2)]
