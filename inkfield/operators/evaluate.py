@@ -143,27 +143,34 @@ def _region_steps(regions: DataFrame, detections: DataFrame) -> DataFrame:
     once; the windows below run over at most one row per threshold.
     """
     keys = ["_box", *sp.REGION_KEY, "model"]
-    pairs = sp.laid_out(sp.measured_pairs(regions, detections, ["model", "step"]).where("step > 0"))
+    # Rectangles reached so far: where at every step one of them is the hull of all, its cells are their union and no column is enumerated.
+    until = W.partitionBy(*keys).orderBy(F.desc("step")).rangeBetween(W.unboundedPreceding, W.currentRow)
+    cells, real = sp.rect_cells(), sp.rect_cells() > 0
+    pairs = sp.laid_out(sp.measured_pairs(regions, detections, ["model", "step"]).where("step > 0")).select(
+        "*", F.max(cells).over(until).alias("largest"),
+        *(f(F.when(real, F.col(c))).over(until).alias(f"hull_{c}") for f, c in ((F.min, "c0"), (F.max, "c1"), (F.min, "r0"), (F.max, "r1"))),
+    ).withColumn("several", F.max(F.coalesce(sp.rect_cells("hull_"), F.lit(0)) != F.col("largest")).over(W.partitionBy(*keys)))
     per_column = W.partitionBy(*keys, "col").orderBy(F.desc("step"))
     falling = per_column.rowsBetween(W.unboundedPreceding, 0)
     words = [f"m{i}" for i in range(g.MASK_WORDS)]
     measure = F.col("col").isNull()
     flags = (
-        sp.with_columns_of(pairs, F.lit(True))
+        sp.with_columns_of(pairs, F.col("several"))
         .groupBy(*keys, "col", "step")
         .agg(
             F.max((F.col("iou") >= sp.IOU_HIT).cast("int")).alias("iou_hit"),
             F.max((F.col("region_inside") >= sp.WHOLE_SHARE).cast("int")).alias("whole"),
             F.sum(F.when(F.col("piece") > sp.FRAGMENT_SHARE, F.col("copies")).otherwise(0)).alias("pieces"),
+            F.max("largest").alias("largest"), F.max("several").alias("several"),
             *sp.column_unions(),
         )
-        .select(*keys, "col", "step", "iou_hit", "whole", "pieces", *(F.bit_or(w).over(falling).alias(w) for w in words))
-        .withColumn("size", sp.mask_size())
+        .select(*keys, "col", "step", "iou_hit", "whole", "pieces", "largest", "several", *(F.bit_or(w).over(falling).alias(w) for w in words))
+        .withColumn("size", F.when(measure, F.when(F.col("several"), 0).otherwise(F.col("largest"))).otherwise(sp.mask_size()))
         .withColumn("gain", F.col("size") - F.coalesce(F.lag("size").over(per_column), F.lit(0)))
         .groupBy(*keys, "step")
         .agg(
             *(F.max(F.when(measure, F.col(c))).alias(c) for c in ("iou_hit", "whole", "pieces")),
-            F.sum(F.when(measure, 0).otherwise(F.col("gain"))).alias("gain"),
+            F.sum("gain").alias("gain"),
         )
     )
     so_far = W.partitionBy(*keys).orderBy(F.desc("step")).rowsBetween(W.unboundedPreceding, 0)

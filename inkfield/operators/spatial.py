@@ -85,7 +85,7 @@ def measured_pairs(regions: DataFrame, detections: DataFrame, extra: Sequence[st
     )
 
 
-def _rect_cells(prefix: str = "") -> Column:
+def rect_cells(prefix: str = "") -> Column:
     c0, c1, r0, r1 = (F.col(prefix + n) for n in ("c0", "c1", "r0", "r1"))
     return F.when((c1 >= c0) & (r1 >= r0), (c1 - c0 + 1).cast("long") * (r1 - r0 + 1)).otherwise(F.lit(0).cast("long"))
 
@@ -154,12 +154,12 @@ def region_measures(regions: DataFrame, detections: DataFrame, by: Sequence[str]
     """
     keys = ["_box", *REGION_KEY, *by]
     of_region = W.partitionBy(*keys)
-    real = _rect_cells() > 0
+    real = rect_cells() > 0
     pairs = laid_out(measured_pairs(regions, detections, by)).select(
-        "*", F.max(_rect_cells()).over(of_region).alias("largest"),
+        "*", F.max(rect_cells()).over(of_region).alias("largest"),
         *(f(F.when(real, F.col(c))).over(of_region).alias(f"hull_{c}") for f, c in ((F.min, "c0"), (F.max, "c1"), (F.min, "r0"), (F.max, "r1"))),
     )
-    several = F.coalesce(_rect_cells("hull_"), F.lit(0)) != F.col("largest")
+    several = F.coalesce(rect_cells("hull_"), F.lit(0)) != F.col("largest")
     measure, column = F.col("col").isNull(), F.col("col").isNotNull()
     return (
         with_columns_of(pairs, several)

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from inkfield.operators import spatial as sp
+from inkfield.operators import evaluate as ev, spatial as sp
 from inkfield.plans.catalog import QUERIES
 
 BOX = "page_id LONG, x DOUBLE, y DOUBLE, w DOUBLE, h DOUBLE"
@@ -33,3 +33,17 @@ def test_no_detections_and_no_regions(spark):
     none = spark.createDataFrame([], BOX)
     assert [r.coverage for r in sp.with_measures(regions, none.toDF("page_id", "dx", "dy", "dw", "dh")).collect()] == [0.0]
     assert sp.with_measures(none, regions.toDF("page_id", "dx", "dy", "dw", "dh")).count() == 0
+
+
+def test_sweep_columns_only_where_needed(spark, monkeypatch):
+    """Detections that grow as the threshold falls are one another's hull: no sample column is made; crossing ones still are."""
+    seen = []
+    whole = sp.with_columns_of
+    monkeypatch.setattr(sp, "with_columns_of", lambda pairs, wanted: seen.append(whole(pairs, wanted)) or seen[-1])
+    regions = spark.createDataFrame([(1, 0.0, 0.0, 20.0, 20.0)], "page_id int, x double, y double, w double, h double")
+    schema = "page_id int, dx double, dy double, dw double, dh double, model string, step int"
+    growing = spark.createDataFrame([(1, 5.0, 5.0, 5.0, 5.0, "a", 9), (1, 5.0, 5.0, 10.0, 5.0, "a", 9), (1, 5.0, 0.0, 10.0, 10.0, "a", 4), (1, 0.0, 0.0, 20.0, 20.0, "a", 2)], schema)
+    crossing = spark.createDataFrame([(1, 0.0, 5.0, 20.0, 5.0, "b", 9), (1, 5.0, 0.0, 5.0, 20.0, "b", 3)], schema)
+    got = [(r.model, r.step, round(r.coverage * 400)) for r in ev._region_steps(regions, growing.unionByName(crossing)).collect()]
+    assert sorted(got) == [("a", 2, 300), ("a", 4, 50), ("a", 9, 50), ("b", 3, 75), ("b", 9, 100)]
+    assert {r["model"] for r in seen[0].where("col IS NOT NULL").select("model").distinct().collect()} == {"b"}
