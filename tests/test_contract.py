@@ -70,3 +70,24 @@ def test_streams_do_not_depend_on_arrivals(spark):
     for arrives, arrivals in ((F.lit(0), 1), (F.col("at_us"), 4), (F.col("at_us") - 8_000_000 * F.col("request_id"), 6)):
         got = drain(rows, arrives, lambda s: jobs.request_lifecycle(s, "100 seconds", 60_000), "append", arrivals)
         assert {tuple(r) for r in got.select("request_id", "opened_ms", "status", "progress").collect()} == want
+
+
+def test_requests_call_no_python_and_part_after_the_silence(spark, tmp_path):
+    """A silence of exactly the patience, in milliseconds, joins; one millisecond more parts."""
+    from pyspark.sql import functions as F
+
+    from inkfield.plans.streams import drain
+    from inkfield.streaming import jobs
+
+    said = [(1, 0, "progress"), (1, 60_000_999, "progress"), (1, 120_001_000, "error"), (9, 500_000_000, "progress")]
+    rows = spark.createDataFrame([(r, 1_000_000_000 + us, t) for r, us, t in said], "request_id LONG, at_us LONG, type STRING").withColumn("at", F.timestamp_micros("at_us"))
+    plans = []
+
+    def job(stream):
+        ended = jobs.request_lifecycle(stream, "100 seconds", 60_000)
+        plans.append(ended._jdf.queryExecution().analyzed().toString())
+        return ended
+
+    got = drain(rows, F.col("at_us"), job, "append", 2).select("request_id", "opened_ms", "status", "progress").collect()
+    assert {tuple(r) for r in got} == {(1, 1_000_000, "abandoned", 2), (1, 1_120_001, "error", 0)}
+    assert "InPandas" not in plans[0]
