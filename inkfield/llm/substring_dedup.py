@@ -47,7 +47,7 @@ BUCKET_BYTES, BUCKET_BITS = 1 << 19, (6, 18)
 SEED_BYTES, SHORT_SEED, SENT = 5, 4, 1 << 19
 PACKED = "bucket int, ids binary, ths binary, held binary, pos binary, seeds binary"
 SHARED = "part int, ids binary, ths binary, held binary, pos binary, seeds binary, owners binary, owner_ths binary, owner_pos binary"
-MATCH = "doc_id long, th int, owner_id long, owner_th int, pos int, owner_pos int"
+RUN = "doc_id long, th int, owners binary, owner_ths binary, pos binary, owner_pos binary, seed long, at int"
 MATCH_KEYS = ["doc_id", "th", "owner_id", "owner_th"]
 
 
@@ -163,6 +163,15 @@ def shared(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordB
         yield sent()
 
 
+def firsts(*keys: np.ndarray) -> np.ndarray:
+    """Which rows begin a group of equal sorted keys."""
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return new
+
+
 def steady(same: np.ndarray) -> np.ndarray:
     """How many rows in a row, up to each, go on from the one before."""
     n = np.arange(len(same))
@@ -174,8 +183,11 @@ def runs_of_texts(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator
 
     All seeds of such a window are shared. Which owner a seed has depends on
     the seed alone, so equal windows are given in all texts or in none. Matches
-    inside a run of steady ones are left out but for each STEP-th.
+    inside a run of steady ones are left out but for each STEP-th. A text's
+    matches are one row, a window is one.
     """
+    kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 4, pa.int64(), pa.int32()]
+    names = [f.split()[0] for f in RUN.split(", ")]
     numbered = [("pos", np.int32, None), ("seeds", np.int64, SHORT_SEED), ("owners", np.int64, None), ("owner_ths", np.int32, None), ("owner_pos", np.int32, None)]
     for table in whole_groups(batches, ["part"]):
         ids, ths, pos, *more = unpacked(table, numbered)
@@ -187,17 +199,20 @@ def runs_of_texts(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator
         alike = near & np.append(False, (owner[1:] == owner[:-1]) & (owner_th[1:] == owner_th[:-1]) & (owner_pos[1:] == owner_pos[:-1] + 1))
         inner = alike & np.append(alike[1:], False) & (pos % STEP != 0)
         keep = ~inner & ((ids != owner) | (ths != owner_th))
-        columns = [pa.array(v[keep]) for v in (ids, ths, owner, owner_th, pos, owner_pos)]
-        names = [*MATCH_KEYS, "pos", "owner_pos", "seed"]
-        yield pa.RecordBatch.from_arrays([*columns, pa.nulls(int(keep.sum()), pa.int64())], names)
+        kept = [v[keep] for v in (ids, ths, owner, owner_th, pos, owner_pos)]
+        begins = np.append(np.flatnonzero(firsts(*kept[:2])), len(kept[0]))
+        rows = [(int(kept[0][x]), int(kept[1][x]), *(planes(v[x:y]) for v in kept[2:]), None, None) for x, y in zip(begins.tolist(), begins[1:].tolist())]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), kinds)], names)
         span = max(min_words - K, 0)  # from a window's first seed to its last
         end = np.flatnonzero((steady(near) >= span) & (steady(alike) < span))
         if len(end):
             whole = np.zeros(len(end), np.uint64)
             for step in range(span + 1):
                 whole = whole * Words.BASE + seed[end - span + step].view(np.uint64)
-            columns = [pa.array(v[end - span]) for v in (ids, ths, owner, owner_th, pos, owner_pos)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(mix(whole).view(np.int64))], names)
+            empty = pa.nulls(len(end), pa.binary())
+            begin = end - span
+            yield pa.RecordBatch.from_arrays([pa.array(ids[begin]), pa.array(ths[begin]), *[empty] * 4, pa.array(mix(whole).view(np.int64)), pa.array(pos[begin])], names)
 
 
 class Fenwick:
@@ -224,7 +239,14 @@ class Fenwick:
 
 
 def chains(x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
-    """Chains of matches (x, y), ascending in both, best first; no match is in two.
+    """Chains of matches (x, y), as ``chained`` has them, from matches in any order."""
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
+    return [np.stack([x[c], y[c]], 1) for c in chained(x, y)]
+
+
+def chained(x: np.ndarray, y: np.ndarray) -> list[np.ndarray | list[int]]:
+    """Chains of sorted matches (x, y), ascending in both, best first, as places in x; no match is in two.
 
     Matches are first parted where neighbours in x are more than MAX_GAP words
     apart. The score of a chain is K for each match less GAP_COST for each word
@@ -233,16 +255,15 @@ def chains(x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
     where that one is too far off, those within MAX_GAP words of x are tried, of
     which a seed's one owner leaves about one for each word.
     """
-    order = np.lexsort((y, x))
-    x, y = x[order], y[order]
     found = []
     for part in np.split(np.arange(len(x)), np.flatnonzero(np.diff(x) > MAX_GAP) + 1):
         if len(part) < 2:
             continue
         dx, dy = np.diff(x[part]), np.diff(y[part])
         if ((dx > 0) & (dy > 0) & (dy <= MAX_GAP) & (GAP_COST * (dx + dy) < K)).all():  # each match adds to the one before: all are the chain
-            found.append(np.stack([x[part], y[part]], 1))
+            found.append(part)
             continue
+        start = int(part[0])
         places, rank = np.unique(y[part], return_inverse=True)
         rank, xs, ys = rank.tolist(), x[part].tolist(), y[part].tolist()
         tree = Fenwick(len(places))
@@ -283,8 +304,7 @@ def chains(x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
                 chain.append(at)
                 at = back[at]
             if len(chain) > 1:
-                chain = part[chain[::-1]]
-                found.append(np.stack([x[chain], y[chain]], 1))
+                found.append([m + start for m in reversed(chain)])
     return found
 
 
@@ -302,57 +322,88 @@ def weight(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def within_heavier(low: np.ndarray, high: np.ndarray, worth: np.ndarray) -> np.ndarray:
     """Which of a document's chains lie wholly inside the stretch of a heavier one that doesn't itself; of equal ones the earlier counts as heavier."""
-    inside, n_kept = np.zeros(len(low), bool), 0
-    lows, highs = np.empty_like(low), np.empty_like(high)
-    for n in np.argsort(-worth, kind="stable"):
-        inside[n] = ((lows[:n_kept] <= low[n]) & (high[n] <= highs[:n_kept])).any()
+    inside, kept = np.zeros(len(low), bool), Stretches()
+    lows, highs = low.tolist(), high.tolist()
+    for n in np.argsort(-worth, kind="stable").tolist():
+        inside[n] = kept.hold(lows[n], highs[n])
         if not inside[n]:
-            lows[n_kept], highs[n_kept] = low[n], high[n]
-            n_kept += 1
+            kept.put(lows[n], highs[n], ())
     return inside
 
 
-CHAIN = "doc_id long, th int, owner_id long, owner_th int, xs array<int>, ys array<int>, low int, high int, second boolean"
+CHAINS = "doc_id long, th int, owner_id long, owner_th int, xs array<array<int>>, ys array<array<int>>, second boolean"
+
+
+def nested(values: np.ndarray, inner: np.ndarray, outer: np.ndarray) -> pa.Array:
+    """Lists of lists of numbers, by where each begins and the last ends."""
+    lists = pa.ListArray.from_arrays(pa.array(inner, pa.int32()), pa.array(values, pa.int32()))
+    return pa.ListArray.from_arrays(pa.array(outer, pa.int32()), lists)
+
+
+def matches_of(table: pa.Table) -> list[np.ndarray]:
+    """doc_id, th, owner_id, owner_th, pos and owner_pos of every match, sorted, none twice."""
+    lone = table.filter(table.column("owners").is_null())
+    packed_rows = table.filter(table.column("owners").is_valid())
+    out = []
+    for name, kind in (("owners", np.int64), ("owner_ths", np.int32), ("pos", np.int32), ("owner_pos", np.int32)):
+        given = [numbers(raw.as_buffer(), kind) for raw in packed_rows.column(name)]
+        held = np.array([len(v) for v in given], np.int64)
+        out.append(np.concatenate([np.zeros(0, kind), *given]))
+    keys = [np.repeat(packed_rows.column(k).to_numpy(), held) for k in MATCH_KEYS[:2]]
+    ids, ths, owner, owner_th, x, y = (np.concatenate([v, lone.column(k).to_numpy()]) for v, k in zip(
+        [*keys, *out], [*MATCH_KEYS, "at", "owner_at"]))
+    # A window's match, n words on to its last seed, is one of each STEP-th of its seeds and of its last.
+    n = np.concatenate([np.zeros(len(out[0]), np.int64), lone.column("n").to_numpy().astype(np.int64)])
+    times = np.where(n > 0, -(-n // STEP) + 1, 1)
+    row = np.repeat(np.arange(len(n)), times)
+    on = np.minimum((np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)) * STEP, n[row])
+    x, y = x[row].astype(np.int64) + on, y[row].astype(np.int64) + on
+    keys = [v[row] for v in (ids, ths, owner, owner_th)]
+    order = np.lexsort((y, x, *keys[::-1]))
+    every = [v[order] for v in (*keys, x, y)]
+    once = firsts(*every)  # a window's matches repeat those of its seeds
+    return [v[once] for v in every]
 
 
 def chain_matches(batches: Iterator[pa.RecordBatch], min_words: int, identity: float) -> Iterator[pa.RecordBatch]:
     """Per document and owner the chains that may become passages; ``second`` are those inside a heavier chain of the document."""
     least = fewest(min_words, identity)
     for table in whole_groups(batches, MATCH_KEYS[:2]):
-        keys = [table.column(k).to_numpy() for k in MATCH_KEYS]
-        new = np.zeros(table.num_rows, bool)
-        new[0] = True
-        for k in keys:
-            new[1:] |= k[1:] != k[:-1]
-        x, y = table.column("pos").to_numpy().astype(np.int64), table.column("owner_pos").to_numpy().astype(np.int64)
-        # A window's match, n words on to its last seed, is one of each STEP-th of its seeds and of its last.
-        n, group = table.column("n").to_numpy(), np.cumsum(new)
-        times = np.where(n > 0, -(-n // STEP) + 1, 1)
-        row = np.repeat(np.arange(len(n)), times)
-        on = np.minimum((np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)) * STEP, n[row])
-        x, y, group = x[row] + on, y[row] + on, group[row]
-        order = np.lexsort((y, x, group))
-        x, y, group, keys = x[order], y[order], group[order], [k[row][order] for k in keys]
-        new = np.append(True, group[1:] != group[:-1])
-        once = new.copy()  # a window's matches repeat those of its seeds
-        once[1:] |= (x[1:] != x[:-1]) | (y[1:] != y[:-1])
-        x, y, new, keys = x[once], y[once], new[once], [k[once] for k in keys]
+        *keys, x, y = matches_of(table)
+        dx, dy = np.diff(x), np.diff(y)
+        new = firsts(*keys)
+        new[1:] |= dx > MAX_GAP
         begins = np.append(np.flatnonzero(new), len(x))
-        worth = np.add.reduceat(np.append(weight(x, y), 1), begins[:-1])
-        found: dict[tuple[int, int], list[tuple]] = {}
-        for g in np.flatnonzero((np.diff(begins) >= 2) & (worth >= least)):
-            a, b = begins[g], begins[g + 1]
-            for chain in chains(x[a:b], y[a:b]):
-                if (total := int(weight(chain[:, 0], chain[:, 1]).sum()) + 1) >= least:
-                    mine = tuple(int(k[a]) for k in keys)
-                    found.setdefault(mine[:2], []).append((*mine, chain[:, 0].tolist(), chain[:, 1].tolist(), int(chain[0, 0]), int(chain[-1, 0]) + K, total))
-        out: list[tuple] = []
-        for own in found.values():
-            low, high, total = (np.array([c[n] for c in own]) for n in (6, 7, 8))
-            out += [(*c[:8], bool(s)) for c, s in zip(own, within_heavier(low, high, total))]
-        if out:
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), kinds)], [f.split()[0] for f in CHAIN.split(", ")])
+        size = np.diff(begins)
+        # Where each match adds to the one before, all are the chain.
+        odd = np.append(0, np.cumsum((dx <= 0) | (dy <= 0) | (dy > MAX_GAP) | (GAP_COST * (dx + dy) >= K)))
+        so_far = np.append(0, np.cumsum(weight(x, y)))
+        whole = odd[begins[1:] - 1] == odd[begins[:-1]]
+        # A step stands for STEP matches at most, and for no more than its words.
+        most = np.where(whole, so_far[begins[1:] - 1] - so_far[begins[:-1]], np.minimum(x[begins[1:] - 1] - x[begins[:-1]], STEP * (size - 1))) + 1
+        found = []
+        for g in np.flatnonzero((size >= 2) & (most >= least)).tolist():
+            a, b = int(begins[g]), int(begins[g + 1])
+            found += [np.arange(a, b)] if whole[g] else [np.asarray(c) + a for c in chained(x[a:b], y[a:b])]
+        if not found:
+            continue
+        place, ends = np.concatenate(found), np.cumsum([len(c) for c in found])
+        begins = np.append(0, ends[:-1])
+        so_far = np.append(0, np.cumsum(weight(x[place], y[place])))
+        total = so_far[ends - 1] - so_far[begins] + 1
+        fit = np.flatnonzero(total >= least)
+        if not len(fit):
+            continue
+        head, tail = place[begins[fit]], place[ends[fit] - 1]
+        of, worth, low, high = [k[head] for k in keys], total[fit], x[head], x[tail] + K
+        each = np.append(np.flatnonzero(firsts(*of[:2])), len(fit))
+        second = np.concatenate([within_heavier(low[s:e], high[s:e], worth[s:e]) for s, e in zip(each.tolist(), each[1:].tolist())])
+        order = np.lexsort((np.arange(len(fit)), second, *of[::-1]))
+        of, second = [k[order] for k in of], second[order]
+        place = np.concatenate([found[n] for n in fit[order].tolist()])
+        outer, inner = np.append(np.flatnonzero(firsts(*of, second)), len(fit)), np.append(0, np.cumsum((ends - begins)[fit[order]]))
+        columns = [*(pa.array(k[outer[:-1]]) for k in of), nested(x[place], inner, outer), nested(y[place], inner, outer), pa.array(second[outer[:-1]])]
+        yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in CHAINS.split(", ")])
 
 
 def edits(a: np.ndarray, b: np.ndarray) -> int:
@@ -368,7 +419,11 @@ def edits(a: np.ndarray, b: np.ndarray) -> int:
     return int(row[-1])
 
 
-def extend(a: np.ndarray, b: np.ndarray, drop: int = 8) -> tuple[int, int]:
+#: By how much an extension's score may fall.
+DROP = 8
+
+
+def extend(a: np.ndarray, b: np.ndarray, drop: int = DROP) -> tuple[int, int]:
     """How far two stretches go on together: words to the best score before it falls by ``drop``, and equal ones of them."""
     whole = min(len(a), len(b))
     if not whole:
@@ -414,6 +469,21 @@ def passage(a: np.ndarray, b: np.ndarray, xs: np.ndarray, ys: np.ndarray) -> tup
     return int(xs[0] - back), int(xs[-1] + K + on), int(ys[0] - back), int(ys[-1] + K + on), same + back_same + on_same
 
 
+def hopeless(a: np.ndarray, b: np.ndarray, xs: list[int], ys: list[int], min_words: int, identity: float) -> bool:
+    """Whether a chain with all the words that it could have equal, and those equal beside it, can't make or hold a passage.
+
+    Words are looked at as far as ``equal_words`` gets them. An extension goes
+    further only if its first min_words words score above -8, which takes more
+    equal ones than ``far``; with fewer on either side all that ``passage``
+    counts is looked at.
+    """
+    x0, y0, x1, y1 = xs[0], ys[0], xs[-1] + K, ys[-1] + K
+    head, tail = min(x0, y0, min_words), min(len(a) - x1, len(b) - y1, min_words)
+    before, after = np.count_nonzero(a[x0 - head : x0] == b[y0 - head : y0]), np.count_nonzero(a[x1 : x1 + tail] == b[y1 : y1 + tail])
+    far = (2 * min_words - DROP) / 3
+    return max(before, after) <= far and before + after + min(x1 - x0, y1 - y0) < identity * min_words - 1e-9
+
+
 def common(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of the equal words of two short stretches under the alignment that ``edits`` counts."""
     if len(a) == len(b):
@@ -532,7 +602,7 @@ def align(batches: Iterator[pa.RecordBatch], min_words: int, identity: float) ->
                 b = theirs.hashes[theirs.first[t] : theirs.first[t + 1]]
                 found = Stretches()
                 for xs, ys in sorted(zip(row["xs"], row["ys"]), key=lambda c: (c[0][0] - c[0][-1], c[0][0], c[1][0])):
-                    if found.hold(xs[0], xs[-1] + K):
+                    if found.hold(xs[0], xs[-1] + K) or hopeless(a, b, xs, ys, min_words, identity):
                         continue
                     *bounds, same = passage(a, b, xs, ys)
                     hits = [(*bounds, same)]
@@ -576,10 +646,10 @@ def find(docs: DataFrame, bench: Bench, doc_id: str, text: str, min_words: int,
     runs = bench.keep(
         own.mapInArrow(lambda b: seeds(b, bits), PACKED).repartition(tasks, "bucket").sortWithinPartitions("bucket")
         .mapInArrow(lambda b: shared(b, 4 * tasks), SHARED).repartition(tasks, "part").sortWithinPartitions("part")
-        .mapInArrow(lambda b: runs_of_texts(b, min_words), MATCH + ", seed long"),
+        .mapInArrow(lambda b: runs_of_texts(b, min_words), RUN),
         "runs",
     )
-    windows = runs.where("seed IS NOT NULL").select("seed", "doc_id", "th", "pos")
+    windows = runs.where("seed IS NOT NULL").select("seed", "doc_id", "th", F.col("at").alias("pos"))
     owners = (
         windows.groupBy("seed")
         .agg(F.min(F.struct("doc_id", "th", "pos")).alias("o"), F.max(F.struct("doc_id", "th")).alias("last"))
@@ -588,12 +658,12 @@ def find(docs: DataFrame, bench: Bench, doc_id: str, text: str, min_words: int,
     )
     whole = (
         windows.join(owners, "seed").where((F.col("doc_id") != F.col("owner_id")) | (F.col("th") != F.col("owner_th")))
-        .select(*MATCH_KEYS, "pos", "owner_pos", F.lit(max(min_words - K, 0)).alias("n"))
+        .select(*MATCH_KEYS, F.col("pos").alias("at"), F.col("owner_pos").alias("owner_at"), F.lit(max(min_words - K, 0)).alias("n"))
     )
-    matches = runs.where("seed IS NULL").select(*MATCH_KEYS, "pos", "owner_pos", F.lit(0).alias("n")).unionByName(whole)
+    matches = runs.where("seed IS NULL").drop("seed", "at").unionByName(whole, allowMissingColumns=True)
     chained = bench.keep(
-        matches.repartition(tasks, "doc_id", "th").sortWithinPartitions(*MATCH_KEYS, "pos", "owner_pos")
-        .mapInArrow(lambda b: chain_matches(b, min_words, identity), CHAIN),
+        matches.repartition(tasks, "doc_id", "th").sortWithinPartitions("doc_id", "th")
+        .mapInArrow(lambda b: chain_matches(b, min_words, identity), CHAINS),
         "chained",
     )
     bench.drop("runs")
@@ -602,15 +672,17 @@ def find(docs: DataFrame, bench: Bench, doc_id: str, text: str, min_words: int,
     theirs = texts.select(F.col("doc_id").alias("owner_id"), F.col("th").alias("owner_th"), F.col("text").alias("owner_text"))
 
     def aligned(rows: DataFrame, name: str) -> DataFrame:
-        grouped = rows.groupBy(*MATCH_KEYS).agg(F.collect_list("xs").alias("xs"), F.collect_list("ys").alias("ys"))
-        both = grouped.join(texts, ["doc_id", "th"]).join(theirs, ["owner_id", "owner_th"])
+        both = rows.select(*MATCH_KEYS, "xs", "ys").join(texts, ["doc_id", "th"]).join(theirs, ["owner_id", "owner_th"])
         return bench.keep(both.mapInArrow(lambda b: align(b, min_words, identity), PASSAGE), name)
 
     first = aligned(chained.where("NOT second"), "passages")
     # A chain inside a heavier one says nothing new if a passage was found there; else it has its turn.
-    covered = first.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "begin_word", "end_word")
-    rest = chained.where("second").join(
-        covered, (F.col("doc_id") == F.col("_id")) & (F.col("th") == F.col("_th")) & (F.col("begin_word") <= F.col("low")) & (F.col("end_word") >= F.col("high")), "left_anti"
+    covered = first.groupBy("doc_id", "th").agg(F.collect_list(F.struct("begin_word", "end_word")).alias("covered"))
+    free = F.filter(F.arrays_zip("xs", "ys"), lambda c: ~F.exists(F.coalesce("covered", F.array()), lambda p: (
+        p["begin_word"] <= F.element_at(c["xs"], 1)) & (p["end_word"] >= F.element_at(c["xs"], -1) + K)))
+    rest = (
+        chained.where("second").join(covered, ["doc_id", "th"], "left").withColumn("free", free).where(F.size("free") > 0)
+        .withColumns({"xs": F.col("free.xs"), "ys": F.col("free.ys")})
     )
     found = first.unionByName(aligned(rest, "more-passages"))
     bench.drop("chained", "texts")

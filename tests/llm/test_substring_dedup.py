@@ -237,3 +237,37 @@ def test_words_of_a_short_period_give_one_passage(spark):
     assert len(found) <= 6
     for doc, copied in ((2, 240), (3, 800)):
         assert len({w for r in found if r.doc_id == doc for w in range(r.begin_word, r.end_word)}) >= 0.9 * copied
+
+
+def test_one_row_for_the_chains_of_two_documents():
+    """A line that one document repeats makes a chain at each place, but no row for each."""
+    import pyarrow as pa
+
+    places = np.concatenate([np.arange(9) + 100 * n for n in range(40)]).astype(np.int32)
+    numbers = [np.full(len(places), 1, np.int64), np.zeros(len(places), np.int32), places, np.tile(np.arange(9, dtype=np.int32), 40)]
+    packed = {k: [sd.planes(v)] for k, v in zip(("owners", "owner_ths", "pos", "owner_pos"), numbers)}
+    none = {"owner_id": pa.nulls(1, pa.int64()), **{k: pa.nulls(1, pa.int32()) for k in ("owner_th", "at", "owner_at", "n")}}
+    row = pa.RecordBatch.from_pydict({"doc_id": pa.array([2]), "th": pa.array([0], pa.int32()), **packed, **none})
+    rows = [r for b in sd.chain_matches(iter([row]), 50, 0.8) for r in b.to_pylist()]
+    assert len(rows) == 1 and (rows[0]["doc_id"], rows[0]["owner_id"], rows[0]["second"]) == (2, 1, False)
+    assert rows[0]["xs"] == [list(range(100 * n, 100 * n + 9)) for n in range(40)] and rows[0]["ys"] == [list(range(9))] * 40
+
+
+def test_only_chains_without_hope_are_left_out():
+    """What is not aligned would have given no passage and no part of one."""
+    rng, left_out = np.random.default_rng(3), 0
+    for trial in range(400):
+        a = rng.integers(0, 40, 160).astype(np.uint64)
+        b = np.where(rng.random(160) < rng.choice([0.1, 0.25, 0.4, 0.6, 0.8]), a, 99).astype(np.uint64)
+        x = int(rng.integers(40, 110))
+        b[x : x + 9] = a[x : x + 9]
+        xs = list(range(x, x + 6))
+        if not sd.hopeless(a, b, xs, xs, 50, 0.8):
+            continue
+        left_out += 1
+        x0, x1, y0, y1, same = sd.passage(a, b, xs, xs)
+        assert min(x1 - x0, y1 - y0) < 50 or same < 0.8 * max(x1 - x0, y1 - y0)
+        bounds = max(x - 50, 0), min(x + 5 + 54, 160)
+        i, j = sd.equal_words(a, b, np.array(xs), np.array(xs), (*bounds, *bounds))
+        assert not sd.parts(i, j, 50, 0.8)
+    assert left_out > 50
