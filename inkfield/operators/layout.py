@@ -2,16 +2,20 @@
 
 A text is one row. Its words are folded inside the row, so layout needs no
 shuffle at all. Widths come from a table of glyph widths in thousandths of the
-font size, summed exactly as integers.
+font size, summed exactly as integers. Lines, sizes and cuts are looked up in
+running sums of a slice's words, a step for each line and not for each word.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from bisect import bisect_right
+from collections.abc import Iterator, Mapping
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from inkfield.functions.arrays import bind
 from inkfield.functions.text import BLANK, trimmed
 
 # Fixed values the results depend on.
@@ -46,31 +50,171 @@ def words_of(text: Column) -> Column:
     )
 
 
+TEXTS = T.ArrayType(T.StringType())
+LINES = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("m", T.LongType())]))
+SIZED = T.StructType([T.StructField("size", T.DoubleType()), T.StructField("lines", TEXTS), T.StructField("wide", T.DoubleType()), T.StructField("widest", T.LongType())])
+FIT = T.StructType([
+    T.StructField("size", T.DoubleType()), T.StructField("lines", TEXTS), *(T.StructField(c, T.DoubleType()) for c in "xywh"), T.StructField("overflowed", T.BooleanType())])
+
+
+class Cut:
+    """Words of a slice of rows, of which each row's are a range, with running sums of their widths."""
+
+    def __init__(self, words: pa.Array):
+        held = words.values
+        self.bounds, self.valid = words.offsets.to_numpy().tolist(), words.is_valid().to_pylist()
+        self.words, self.texts, self.m = held, None, held.field("m").to_numpy()
+        self.sums = np.append(0, np.cumsum(self.m + SPACE)).tolist()
+
+    def __iter__(self) -> Iterator[tuple[int, int] | None]:
+        """Of each row, where its words begin and end."""
+        for valid, a, b in zip(self.valid, self.bounds, self.bounds[1:]):
+            yield (a, b) if valid else None
+
+    def width(self, a: int, b: int) -> int:
+        """Of the words from a to b in one line."""
+        return self.sums[b] - self.sums[a] - SPACE
+
+    def wrap(self, a: int, b: int, max_width: float, size: float, most: float = float("inf")) -> list[int] | None:
+        """Where the greedy lines of at most ``max_width`` pixels begin, and the end; none if more than ``most``. An overlong word stands alone."""
+        room = int(max_width * 1000 / size)
+        while (room + 1) * size / 1000 <= max_width:
+            room += 1
+        while room * size / 1000 > max_width:
+            room -= 1
+        lines = [a]
+        while a < b:
+            if len(lines) > most:
+                return None
+            a = max(a + 1, bisect_right(self.sums, self.sums[a] + room + SPACE, a + 1, b + 1) - 1)
+            lines.append(a)
+        return lines
+
+    def widest(self, lines: list[int]) -> int:
+        return max((self.width(a, b) for a, b in zip(lines, lines[1:])), default=0)
+
+    def shown(self, lines: list[int]) -> list[str]:
+        if self.texts is None:
+            self.texts = self.words.field("text").to_pylist()
+        return [" ".join(self.texts[a:b]) for a, b in zip(lines, lines[1:])]
+
+    def fit(self, a: int, b: int, w: float | None, h: float | None) -> tuple[float, list[int], float | None]:
+        """Size, lines, and the width that the least size is given where none fits."""
+        if a == b:
+            return float(MIN_SIZE), [a], None
+        longest = int(self.m[a:b].max())
+        size = min(float(MAX_SIZE), max(float(MIN_SIZE), MIN_SIZE if h is None else h))
+        while w is not None and h is not None and size >= MIN_SIZE:
+            if longest * size / 1000 <= w:
+                lines = self.wrap(a, b, w, size, h / (size * LINE_HEIGHT) + 1)
+                if lines is not None and (len(lines) - 1) * size * LINE_HEIGHT <= h:
+                    return size, lines, None
+            size -= 1
+        needed = longest * float(MIN_SIZE) / 1000
+        wide = needed if w is None else min(max(w, needed), w * MAX_WIDENING)
+        return float(MIN_SIZE), self.wrap(a, b, wide, float(MIN_SIZE)), wide
+
+    def split(self, a: int, b: int, weights: list[float], lengths: np.ndarray, kinds: np.ndarray) -> list[int]:
+        """Where the parts by weight begin, and the end."""
+        if a == b:
+            return [a]
+        if len(weights) <= 1 or b == a + 1:
+            return [a, b]
+        ends = np.cumsum(lengths[a:b] + 1) - 1
+        total, share, cuts = int(ends[-1]), 0.0, [a]
+        weight = float(sum(weights))
+        for part in weights[:-1]:
+            share += part / weight
+            at = cuts[-1] - a
+            if at > b - a - 2:
+                continue
+            off = np.abs(ends[at:-1] - share * total)
+            kind = kinds[a + at : b - 1]
+            rank = np.where((kind == 0) & (off <= SENTENCE_REACH * total), 0, np.where((kind == 1) & (off <= CLAUSE_REACH * total), 1, 2))
+            best = np.flatnonzero(rank == rank.min())
+            cuts.append(a + at + int(best[off[best].argmin()]) + 1)
+        return [*cuts, b]
+
+
+def _ends(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Characters of each word, and 0 for an end of a sentence, 1 for one of a clause, 2 for another."""
+    texts = words.field("text")
+    sentence, clause = (pc.match_substring_regex(texts, p).to_numpy(zero_copy_only=False) for p in (SENTENCE_END, CLAUSE_END))
+    return pc.utf8_length(texts).to_numpy().astype(np.int64), np.where(sentence, 0, np.where(clause, 1, 2))
+
+
+@F.arrow_udf(LINES)
+def _wrapped(words: pa.Array, max_width: pa.Array, size: pa.Array) -> pa.Array:
+    cut, out = Cut(words), []
+    for own, w, s in zip(cut, max_width.to_pylist(), size.to_pylist()):
+        lines = None if own is None else cut.wrap(*own, w, s)
+        out.append(None if own is None else [{"text": t, "m": cut.width(a, b)} for t, a, b in zip(cut.shown(lines), lines, lines[1:])])
+    return pa.array(out, pa.list_(pa.struct([("text", pa.string()), ("m", pa.int64())])))
+
+
+@F.arrow_udf(SIZED)
+def _fitted(words: pa.Array, w: pa.Array, h: pa.Array) -> pa.Array:
+    cut, out = Cut(words), []
+    for own, width, height in zip(cut, w.to_pylist(), h.to_pylist()):
+        size, lines, wide = (float(MIN_SIZE), None, width) if own is None else cut.fit(*own, width, height)
+        out.append((size, None if lines is None else cut.shown(lines), wide, None))
+    return _sized(out)
+
+
+@F.arrow_udf(SIZED)
+def _noted(words: pa.Array, width: pa.Array) -> pa.Array:
+    """The largest size of a note that fits its lines, else the least one."""
+    cut, out = Cut(words), []
+    for own, room in zip(cut, width.to_pylist()):
+        lines, size = None, float(MIN_SIZE)
+        if own is not None:
+            for s in range(LABEL_MAX_SIZE, MIN_SIZE - 1, -1):
+                size, most = float(s), LABEL_LINES if s > MIN_SIZE else float("inf")
+                lines = cut.wrap(*own, room, size, most)
+                if lines is not None and len(lines) - 1 <= LABEL_LINES and cut.widest(lines) * size / 1000 <= room:
+                    break
+        out.append((size, None if lines is None else cut.shown(lines), None, None if lines is None else cut.widest(lines)))
+    return _sized(out)
+
+
+def _sized(rows: list[tuple]) -> pa.Array:
+    kinds = {"size": pa.float64(), "lines": pa.list_(pa.string()), "wide": pa.float64(), "widest": pa.int64()}
+    columns = list(zip(*rows)) or [()] * len(kinds)
+    return pa.StructArray.from_arrays([pa.array(v, t) for v, t in zip(columns, kinds.values())], list(kinds))
+
+
+@F.arrow_udf(TEXTS)
+def _split(words: pa.Array, weights: pa.Array) -> pa.Array:
+    cut, (lengths, kinds) = Cut(words), _ends(words.values)
+    return pa.array([
+        None if own is None or shares is None else cut.shown(cut.split(*own, shares, lengths, kinds)) for own, shares in zip(cut, weights.to_pylist())
+    ], pa.list_(pa.string()))
+
+
+@F.arrow_udf(T.ArrayType(FIT))
+def _fitted_parts(words: pa.Array, boxes: pa.Array) -> pa.Array:
+    """Words cut by the boxes' areas, each part fitted to its box."""
+    cut, (lengths, kinds), out = Cut(words), _ends(words.values), []
+    for own, given in zip(cut, boxes.to_pylist()):
+        if own is None or given is None:
+            out.append(None)
+            continue
+        parts, fits = cut.split(*own, [b["w"] * b["h"] for b in given], lengths, kinds), []
+        for a, b, box in zip(parts, parts[1:], given):
+            x, y, w, h = (box[c] for c in "xywh")
+            size, lines, wide = cut.fit(a, b, w, h)
+            if wide is not None:
+                high = (len(lines) - 1) * size * LINE_HEIGHT
+                x, y, w, h = x + (w - wide) / 2, y + (h - high) / 2, wide, high
+            fits.append({"size": size, "lines": cut.shown(lines), "x": x, "y": y, "w": w, "h": h, "overflowed": wide is not None})
+        out.append(fits)
+    kinds_of = [("size", pa.float64()), ("lines", pa.list_(pa.string())), *((c, pa.float64()) for c in "xywh"), ("overflowed", pa.bool_())]
+    return pa.array(out, pa.list_(pa.struct(kinds_of)))
+
+
 def wrap(words: Column, max_width: Column, size: Column) -> Column:
     """Greedy lines of at most ``max_width`` pixels as (text, width); an overlong word stands alone."""
-    line = "struct<lines:array<struct<text:string,m:bigint>>,text:string,m:bigint>"
-    start = F.struct(
-        F.array().cast("array<struct<text:string,m:bigint>>").alias("lines"),
-        F.lit(None).cast("string").alias("text"), F.lit(0).cast("long").alias("m"),
-    ).cast(line)
-
-    def add(state: Column, word: Column) -> Column:
-        joined = state["m"] + SPACE + word["m"]
-        fits = joined * size / 1000 <= max_width
-        closed = F.concat(state["lines"], F.array(F.struct(state["text"].alias("text"), state["m"].alias("m"))))
-        return F.when(
-            state["text"].isNull(),
-            F.struct(state["lines"].alias("lines"), word["text"].alias("text"), word["m"].alias("m")),
-        ).when(
-            fits,
-            F.struct(state["lines"].alias("lines"), F.concat(state["text"], F.lit(" "), word["text"]).alias("text"), joined.alias("m")),
-        ).otherwise(F.struct(closed.alias("lines"), word["text"].alias("text"), word["m"].alias("m")))
-
-    def finish(state: Column) -> Column:
-        last = F.array(F.struct(state["text"].alias("text"), state["m"].alias("m")))
-        return F.when(state["text"].isNull(), state["lines"]).otherwise(F.concat(state["lines"], last))
-
-    return F.aggregate(words, start, add, finish)
+    return _wrapped(words, max_width.cast("double"), size.cast("double"))
 
 
 def pack_text(documents: DataFrame, key: str, text: str, max_width: float, size: float) -> DataFrame:
@@ -79,119 +223,33 @@ def pack_text(documents: DataFrame, key: str, text: str, max_width: float, size:
     return documents.select(key, F.posexplode(lines).alias("line", "_l")).select(key, "line", "_l.text", "_l.m")
 
 
-def _widest(lines: Column, size: Column) -> Column:
-    return F.aggregate(lines, F.lit(0).cast("long"), lambda w, line: F.greatest(w, line["m"])) * size / 1000
-
-
 def _block_height(lines: Column, size: Column) -> Column:
     return F.size(lines) * size * LINE_HEIGHT
 
 
-def _texts(lines: Column) -> Column:
-    return F.transform(lines, lambda line: line["text"])
-
-
 def fit_text(words: Column, x: Column, y: Column, w: Column, h: Column) -> Column:
-    """``_fit_text`` with the words cut once."""
-    return bind(words, lambda cut: _fit_text(cut, x, y, w, h))
-
-
-def _fit_text(words: Column, x: Column, y: Column, w: Column, h: Column) -> Column:
     """Largest size at which the words fit a box; else the smallest size, widened, centred, flagged.
 
-    Sizes are tried from large to small and the fold stops wrapping at the
-    first that fits.
+    Sizes are tried from large to small, and the first that fits is taken.
     """
-    fit_type = "struct<size:double,lines:array<string>,x:double,y:double,w:double,h:double,overflowed:boolean>"
-
-    def fit(size: Column, lines: Column, bx: Column, by: Column, bw: Column, bh: Column, over: bool) -> Column:
-        return F.struct(
-            size.cast("double").alias("size"), _texts(lines).alias("lines"), bx.cast("double").alias("x"), by.cast("double").alias("y"),
-            bw.cast("double").alias("w"), bh.cast("double").alias("h"), F.lit(over).alias("overflowed"),
-        ).cast(fit_type)
-
-    start = F.least(F.lit(float(MAX_SIZE)), F.greatest(F.lit(float(MIN_SIZE)), h))
-    sizes = F.transform(F.sequence(F.lit(0), F.floor(start - MIN_SIZE).cast("int")), lambda k: start - k)
-
-    # No size can fit whose longest word is too wide or whose words alone need
-    # more than the box's lines: those are not wrapped at all.
-    bounds = F.struct(
-        F.aggregate(words, F.lit(0).cast("long"), lambda m, word: F.greatest(m, word["m"])).alias("longest"),
-        F.aggregate(words, F.lit(0).cast("long"), lambda m, word: m + word["m"]).alias("total"),
-    )
-
-    def attempts(limits: Column) -> Column:
-        def attempt(done: Column, size: Column) -> Column:
-            rows = F.floor(h / (size * LINE_HEIGHT) + 1e-9)
-            hopeless = (limits["longest"] * size / 1000 > w + 1e-6) | (limits["total"] * size / 1000 > rows * w + 1e-6)
-            tried = bind(wrap(words, w, size), lambda lines: F.when(
-                (_widest(lines, size) <= w) & (_block_height(lines, size) <= h), fit(size, lines, x, y, w, h, False)))
-            return F.when(done.isNotNull(), done).when(hopeless, F.lit(None).cast(fit_type)).otherwise(tried)
-
-        return F.aggregate(sizes, F.lit(None).cast(fit_type), attempt)
-
-    fitted = bind(bounds, attempts)
-    least = F.lit(float(MIN_SIZE))
-    longest = F.aggregate(words, F.lit(0).cast("long"), lambda m, word: F.greatest(m, word["m"])) * least / 1000
-    wide = F.least(F.greatest(w, longest), w * MAX_WIDENING)
-    spilled = bind(wrap(words, wide, least), lambda lines: fit(
-        least, lines, x + (w - wide) / 2, y + (h - _block_height(lines, least)) / 2, wide, _block_height(lines, least), True))
-    blank = fit(least, F.array().cast("array<struct<text:string,m:bigint>>"), x, y, w, h, False)
-    return F.when(F.size(words) == 0, blank).otherwise(F.coalesce(fitted, spilled))
+    x, y, w, h = (c.cast("double") for c in (x, y, w, h))
+    f = _fitted(words, w, h)
+    size, lines, wide = f["size"], f["lines"], f["wide"]
+    high, over = _block_height(lines, size), wide.isNotNull()
+    return F.struct(
+        size.alias("size"), lines.alias("lines"), F.when(over, x + (w - wide) / 2).otherwise(x).alias("x"),
+        F.when(over, y + (h - high) / 2).otherwise(y).alias("y"), F.when(over, wide).otherwise(w).alias("w"),
+        F.when(over, high).otherwise(h).alias("h"), over.alias("overflowed"),
+    ).cast(FIT)
 
 
 def split_by_weight(words: Column, weights: Column) -> Column:
-    """``_split_by_weight`` with the words and weights worked out once."""
-    return bind(words, lambda cut: bind(weights, lambda shares: _split_by_weight(cut, shares)))
-
-
-def _split_by_weight(words: Column, weights: Column) -> Column:
     """Words cut into parts by weight, never inside a word.
 
     Each cut takes the word end nearest its share of the text, preferring a
     sentence end within reach, then a clause end; cuts increase.
     """
-    lengths = F.transform(words, lambda word: F.length(word["text"]))
-    ends = F.aggregate(
-        lengths, F.array().cast("array<int>"),
-        lambda acc, n: F.concat(acc, F.array(F.when(F.size(acc) == 0, n).otherwise(F.element_at(acc, -1) + 1 + n))),
-    )
-    count = F.size(words)
-    sum_of = F.aggregate(weights, F.lit(0.0), lambda s, v: s + v)
-    state = F.struct(F.lit(0.0).alias("share"), F.array().cast("array<int>").alias("cuts"))
-
-    def cut(ends: Column) -> Column:
-        total = F.element_at(ends, -1)
-
-        def step(acc: Column, k: Column) -> Column:
-            share = acc["share"] + F.element_at(weights, k) / sum_of
-            target = share * total
-            earliest = F.coalesce(F.try_element_at(acc["cuts"], F.lit(-1)) + 1, F.lit(0))
-
-            def ranked(i: Column) -> Column:
-                word = F.element_at(words, i + 1)["text"]
-                off = F.abs(F.element_at(ends, i + 1) - target)
-                kind = F.when(word.rlike(SENTENCE_END) & (off <= SENTENCE_REACH * total), 0).when(
-                    word.rlike(CLAUSE_END) & (off <= CLAUSE_REACH * total), 1).otherwise(2)
-                return F.struct(kind.alias("kind"), off.alias("off"), i.alias("i"))
-
-            candidates = F.when(earliest <= count - 2, F.transform(F.sequence(earliest, count - 2), ranked))
-            best = F.array_min(candidates)["i"]
-            cuts = F.when(best.isNull(), acc["cuts"]).otherwise(F.concat(acc["cuts"], F.array(best)))
-            return F.struct(share.alias("share"), cuts.alias("cuts"))
-
-        return F.aggregate(F.sequence(F.lit(1), F.size(weights) - 1), state, step, lambda s: s["cuts"])
-
-    cuts = bind(ends, cut)
-    bounds = F.concat(F.array(F.lit(-1)), cuts, F.array(count - 1))
-    texts = F.transform(words, lambda word: word["text"])
-    parts = bind(bounds, lambda b: bind(texts, lambda t: F.transform(
-        F.sequence(F.lit(1), F.size(b) - 1),
-        lambda k: F.array_join(F.slice(t, F.element_at(b, k) + 2, F.element_at(b, k + 1) - F.element_at(b, k)), " "),
-    )))
-    whole = F.array(F.array_join(texts, " "))
-    return F.when(count == 0, F.array().cast("array<string>")).when(
-        (F.size(weights) <= 1) | (count == 1), whole).otherwise(parts)
+    return _split(words, weights)
 
 
 def lay_in_balloon(texts: DataFrame, text: str, boxes: str) -> DataFrame:
@@ -200,53 +258,34 @@ def lay_in_balloon(texts: DataFrame, text: str, boxes: str) -> DataFrame:
     ``boxes`` is the region's lobes in reading order, two at most per closed part.
     """
 
-    def fitted(words: Column, b: Column) -> Column:
-        return fit_text(words, b["x"], b["y"], b["w"], b["h"])
-
-    weights = F.transform(boxes, lambda b: b["w"] * b["h"])
+    first = F.element_at(boxes, 1)
     laid = (
         texts.withColumn("_words", words_of(F.col(text)))
-        .withColumn("_single", fitted(F.col("_words"), F.element_at(boxes, 1)))
-        .withColumn("_parts", split_by_weight(F.col("_words"), weights))
-        .withColumn("_split", F.zip_with(
-            "_parts", F.slice(boxes, F.lit(1), F.size("_parts")), lambda part, b: fitted(words_of(part), b)))
+        .withColumn("_single", fit_text(F.col("_words"), *(first[c] for c in "xywh")))
+        .withColumn("_split", _fitted_parts(F.col("_words"), F.col(boxes)))
     )
     smallest = F.array_min(F.transform("_split", lambda b: b["size"]))
     overflows = F.exists("_split", lambda b: b["overflowed"]) & ~F.col("_single.overflowed")
     use = (F.size(boxes) > 1) & (F.size("_split") > 1) & (smallest >= F.col("_single.size")) & ~overflows
     return laid.withColumn("blocks", F.when(use, F.col("_split")).otherwise(F.array("_single"))).drop(
-        "_words", "_single", "_parts", "_split"
+        "_words", "_single", "_split"
     )
 
 
 def fit_label(words: Column, x: Column, y: Column, w: Column, h: Column, page_w: Column, page_h: Column, gap: float = LABEL_GAP) -> Column:
     """Size, lines and place of a note beside a region: under it where the page has room, over it otherwise, and as a last resort across its bottom."""
     width = F.least(F.lit(float(LABEL_MAX_WIDTH)), F.greatest(F.lit(float(LABEL_MIN_WIDTH)), w * 1.2))
-    state = "struct<size:double,lines:array<struct<text:string,m:bigint>>>"
-
-    def fits(s: Column) -> Column:
-        return (F.size(s["lines"]) <= LABEL_LINES) & (_widest(s["lines"], s["size"]) <= width)
-
-    def attempt(done: Column, size: Column) -> Column:
-        return F.when(done.isNotNull() & fits(done), done).otherwise(
-            F.struct(size.alias("size"), wrap(words, width, size).alias("lines")).cast(state))
-
-    sizes = F.array(*(F.lit(float(s)) for s in range(LABEL_MAX_SIZE, MIN_SIZE - 1, -1)))
-
-    def place(s: Column) -> Column:
-        size, lines = s["size"], s["lines"]
-        block = F.least(width, _widest(lines, size))
-        height = _block_height(lines, size)
-        left = F.least(F.greatest(F.lit(0.0), x + (w - block) / 2), F.greatest(F.lit(0.0), page_w - block))
-        below, above = y + h + gap, y - gap - height
-        top = F.when(below + height + gap <= page_h, below).when(above - gap >= 0, above).otherwise(
-            F.greatest(F.lit(0.0), y + h - height))
-        return F.struct(
-            size.alias("size"), _texts(lines).alias("lines"), left.alias("x"), top.alias("y"), block.alias("w"),
-            height.alias("h"), (_widest(lines, size) > width).alias("overflowed"),
-        )
-
-    return F.aggregate(sizes, F.lit(None).cast(state), attempt, place)
+    s = _noted(words, width)
+    size, lines, own = s["size"], s["lines"], s["widest"] * s["size"] / 1000
+    block, height = F.least(width, own), _block_height(lines, size)
+    left = F.least(F.greatest(F.lit(0.0), x + (w - block) / 2), F.greatest(F.lit(0.0), page_w - block))
+    below, above = y + h + gap, y - gap - height
+    top = F.when(below + height + gap <= page_h, below).when(above - gap >= 0, above).otherwise(
+        F.greatest(F.lit(0.0), y + h - height))
+    return F.struct(
+        size.alias("size"), lines.alias("lines"), left.alias("x"), top.alias("y"), block.alias("w"),
+        height.alias("h"), (own > width).alias("overflowed"),
+    )
 
 
 def render_plan(regions: DataFrame, plates: bool = True, plate_coverage: float = 0.73) -> DataFrame:
