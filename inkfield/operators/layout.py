@@ -44,10 +44,19 @@ SPACE = GLYPH_WIDTHS[" "]
 
 
 def words_of(text: Column) -> Column:
-    """Words with their widths."""
-    return F.transform(
-        F.filter(F.split(text, f"{BLANK}+"), lambda w: w != ""), lambda w: F.struct(w.alias("text"), measure(w).alias("m"))
-    )
+    return F.array_remove(F.split(text, f"{BLANK}+"), "")
+
+
+#: Width of a character by the first byte of its UTF-8 form; further bytes have none.
+BYTE_WIDTHS = np.array([0 if 0x80 <= b < 0xC0 else next((m for glyphs, m in GLYPH_WIDTHS.items() if chr(b) in glyphs), DEFAULT_WIDTH) for b in range(256)], np.int64)
+
+
+def widths(texts: pa.Array) -> np.ndarray:
+    """``measure`` of each text of an Arrow column."""
+    texts = texts.cast(pa.large_string())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    return np.diff(np.append(0, np.cumsum(BYTE_WIDTHS[data]))[offsets - offsets[0]])
 
 
 TEXTS = T.ArrayType(T.StringType())
@@ -63,7 +72,7 @@ class Cut:
     def __init__(self, words: pa.Array):
         held = words.values
         self.bounds, self.valid = words.offsets.to_numpy().tolist(), words.is_valid().to_pylist()
-        self.words, self.texts, self.m = held, None, held.field("m").to_numpy()
+        self.words, self.texts, self.m = held, None, widths(held)
         self.sums = np.append(0, np.cumsum(self.m + SPACE)).tolist()
 
     def __iter__(self) -> Iterator[tuple[int, int] | None]:
@@ -95,7 +104,7 @@ class Cut:
 
     def shown(self, lines: list[int]) -> list[str]:
         if self.texts is None:
-            self.texts = self.words.field("text").to_pylist()
+            self.texts = self.words.to_pylist()
         return [" ".join(self.texts[a:b]) for a, b in zip(lines, lines[1:])]
 
     def fit(self, a: int, b: int, w: float | None, h: float | None) -> tuple[float, list[int], float | None]:
@@ -138,9 +147,8 @@ class Cut:
 
 def _ends(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Characters of each word, and 0 for an end of a sentence, 1 for one of a clause, 2 for another."""
-    texts = words.field("text")
-    sentence, clause = (pc.match_substring_regex(texts, p).to_numpy(zero_copy_only=False) for p in (SENTENCE_END, CLAUSE_END))
-    return pc.utf8_length(texts).to_numpy().astype(np.int64), np.where(sentence, 0, np.where(clause, 1, 2))
+    sentence, clause = (pc.match_substring_regex(words, p).to_numpy(zero_copy_only=False) for p in (SENTENCE_END, CLAUSE_END))
+    return pc.utf8_length(words).to_numpy().astype(np.int64), np.where(sentence, 0, np.where(clause, 1, 2))
 
 
 @F.arrow_udf(LINES)

@@ -75,3 +75,12 @@ def test_balloon_parts_are_fitted_to_their_lobes(spark):
     assert len(blocks) in (1, 2) and " ".join(w for b in blocks for w in b.lines) == text
     if len(blocks) == 2:
         assert [" ".join(b.lines) for b in blocks] == parts
+
+
+def test_widths_by_bytes_are_those_of_characters(spark):
+    import pyarrow as pa
+
+    texts = ["", "wide mW", "é", "日本l", "'|", "😀 .", "plain"]
+    assert lo.widths(pa.array(["cut off", *texts])[1:]).tolist() == [width(t) for t in texts] and lo.widths(pa.array([], pa.string())).tolist() == []
+    got = spark.createDataFrame([(t,) for t in texts], "t STRING").select(lo.measure(F.col("t"))).collect()
+    assert [r[0] for r in got] == [width(t) for t in texts]
