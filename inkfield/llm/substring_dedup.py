@@ -43,11 +43,15 @@ MAX_GAP, GAP_COST = 60, 0.05
 BLOCK = 1 << 20
 #: Text bytes that a bucket of seeds is to stand for, and the least and most bits of a bucket's number.
 BUCKET_BYTES, BUCKET_BITS = 1 << 19, (6, 18)
+#: A bucket of windows stands for as many buckets of seeds; matches of texts that are taken on at once.
+WINDOW_BUCKETS, TAKEN = 8, 1 << 17
 #: Bytes of a seed beside its bucket, and of one that goes with its text; occurrences that are sent on together.
 SEED_BYTES, SHORT_SEED, SENT = 5, 4, 1 << 19
 PACKED = "bucket int, ids binary, ths binary, held binary, pos binary, seeds binary"
 SHARED = "part int, ids binary, ths binary, held binary, pos binary, seeds binary, owners binary, owner_ths binary, owner_pos binary"
-RUN = "doc_id long, th int, owners binary, owner_ths binary, pos binary, owner_pos binary, seed long, at int"
+MATCHES = "part int, ids binary, ths binary, held binary, pos binary, owners binary, owner_ths binary, owner_pos binary"
+RUN = MATCHES + ", windows binary"
+TEXT_MATCHES = ["doc_id", "th", "owners", "owner_ths", "pos", "owner_pos"]
 MATCH_KEYS = ["doc_id", "th", "owner_id", "owner_th"]
 
 
@@ -83,6 +87,16 @@ def pack(key: np.ndarray, ids: np.ndarray, ths: np.ndarray, doc: np.ndarray, mor
     return rows
 
 
+def by_part(ids: np.ndarray, ths: np.ndarray, pos: np.ndarray, more: list[tuple[np.ndarray, int | None]], parts: int) -> list[tuple]:
+    """A row for each part of the documents, texts and places ascending."""
+    part = (mix(ids.view(np.uint64) * Words.BASE + ths.view(np.uint32)) % np.uint64(parts)).astype(np.int32)
+    order = np.lexsort((pos, ths, ids, part))
+    ids, ths, part = ids[order], ths[order], part[order]
+    doc = np.cumsum(firsts(ids, ths)) - 1
+    first = np.flatnonzero(firsts(ids, ths))
+    return pack(part, ids[first], ths[first], doc, [(pos[order], None), *((v[order], size) for v, size in more)])
+
+
 def packed(rows: list[tuple], schema: str) -> pa.RecordBatch:
     names = [f.split()[0] for f in schema.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), [pa.int32()] + [pa.binary()] * (len(names) - 1))], names)
@@ -141,13 +155,8 @@ def shared(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordB
 
     def sent() -> pa.RecordBatch:
         ids, ths, pos, seed, owner, owner_th, owner_pos = map(np.concatenate, zip(*held))
-        part = (mix(ids.view(np.uint64) * Words.BASE + ths.view(np.uint32)) % np.uint64(parts)).astype(np.int32)
-        order = np.lexsort((pos, ths, ids, part))
-        ids, ths, pos, seed, owner, owner_th, owner_pos, part = (v[order] for v in (ids, ths, pos, seed, owner, owner_th, owner_pos, part))
-        doc = np.cumsum(np.append(0, (ids[1:] != ids[:-1]) | (ths[1:] != ths[:-1])))
-        first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-        more = [(pos, None), (seed, SHORT_SEED), (owner, None), (owner_th, None), (owner_pos, None)]
-        return packed(pack(part, ids[first], ths[first], doc, more), SHARED)
+        more = [(seed, SHORT_SEED), (owner, None), (owner_th, None), (owner_pos, None)]
+        return packed(by_part(ids, ths, pos, more, parts), SHARED)
 
     for table in whole_groups(batches, ["bucket"]):
         buckets = table.column("bucket").to_numpy()
@@ -178,16 +187,14 @@ def steady(same: np.ndarray) -> np.ndarray:
     return n - np.maximum.accumulate(np.where(same, 0, n))
 
 
-def runs_of_texts(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
-    """Per text, its shared seeds' matches with their owners, and, with a hash, the windows of min_words words that no one owner's matches cover.
+def runs_of_texts(batches: Iterator[pa.RecordBatch], min_words: int, parts: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """The matches of each text's shared seeds with their owners, and, with a hash, the windows of min_words words that no one owner's matches cover.
 
     All seeds of such a window are shared. Which owner a seed has depends on
     the seed alone, so equal windows are given in all texts or in none. Matches
-    inside a run of steady ones are left out but for each STEP-th. A text's
-    matches are one row, a window is one.
+    inside a run of steady ones are left out but for each STEP-th. Matches are
+    in rows for each part of the documents, windows in rows for each bucket of hashes.
     """
-    kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 4, pa.int64(), pa.int32()]
-    names = [f.split()[0] for f in RUN.split(", ")]
     numbered = [("pos", np.int32, None), ("seeds", np.int64, SHORT_SEED), ("owners", np.int64, None), ("owner_ths", np.int32, None), ("owner_pos", np.int32, None)]
     for table in whole_groups(batches, ["part"]):
         ids, ths, pos, *more = unpacked(table, numbered)
@@ -199,20 +206,61 @@ def runs_of_texts(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator
         alike = near & np.append(False, (owner[1:] == owner[:-1]) & (owner_th[1:] == owner_th[:-1]) & (owner_pos[1:] == owner_pos[:-1] + 1))
         inner = alike & np.append(alike[1:], False) & (pos % STEP != 0)
         keep = ~inner & ((ids != owner) | (ths != owner_th))
-        kept = [v[keep] for v in (ids, ths, owner, owner_th, pos, owner_pos)]
-        begins = np.append(np.flatnonzero(firsts(*kept[:2])), len(kept[0]))
-        rows = [(int(kept[0][x]), int(kept[1][x]), *(planes(v[x:y]) for v in kept[2:]), None, None) for x, y in zip(begins.tolist(), begins[1:].tolist())]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), kinds)], names)
+        rows = []
+        if keep.any():
+            more = [(v[keep], None) for v in (owner, owner_th, owner_pos)]
+            rows = [(*row, None) for row in by_part(ids[keep], ths[keep], pos[keep], more, parts)]
         span = max(min_words - K, 0)  # from a window's first seed to its last
         end = np.flatnonzero((steady(near) >= span) & (steady(alike) < span))
         if len(end):
             whole = np.zeros(len(end), np.uint64)
             for step in range(span + 1):
                 whole = whole * Words.BASE + seed[end - span + step].view(np.uint64)
-            empty = pa.nulls(len(end), pa.binary())
-            begin = end - span
-            yield pa.RecordBatch.from_arrays([pa.array(ids[begin]), pa.array(ths[begin]), *[empty] * 4, pa.array(mix(whole).view(np.int64)), pa.array(pos[begin])], names)
+            whole, begin = mix(whole), end - span
+            bucket = (whole >> np.uint64(64 - bits)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")  # texts and places stay in order
+            begin, new = begin[order], firsts(ids, ths)
+            doc = np.cumsum(new) - 1
+            held = pack(bucket[order], ids[new], ths[new], doc[begin], [(pos[begin], None), (whole[order], None)])
+            rows += [(*row[:5], None, None, None, row[5]) for row in held]
+        if rows:
+            yield packed(rows, RUN)
+
+
+def first_holders(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """Of the windows that two texts hold, every later text's matches with the first one's, in rows for each part of the documents."""
+    for table in whole_groups(batches, ["part"]):
+        ids, ths, pos, window = unpacked(table, [("pos", np.int32, None), ("windows", np.uint64, None)])
+        order = np.lexsort((pos, ths, ids, window))
+        ids, ths, pos, window = (v[order] for v in (ids, ths, pos, window))
+        new = firsts(window)
+        owner = np.flatnonzero(new)[np.cumsum(new) - 1]
+        later = (ids != ids[owner]) | (ths != ths[owner])
+        if later.any():
+            owner = owner[later]
+            yield packed(by_part(ids[later], ths[later], pos[later], [(v[owner], None) for v in (ids, ths, pos)], parts), MATCHES)
+
+
+def texts_of_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The matches of each text in one row. A window's match, n words on to its last seed, is one of each STEP-th of its seeds and of its last."""
+    kinds = [("pos", np.int32), ("owners", np.int64), ("owner_ths", np.int32), ("owner_pos", np.int32)]
+    for table in whole_groups(batches, ["part"]):
+        ids, ths, *more = unpacked(table, [(name, kind, None) for name, kind in kinds])
+        each = [len(raw.as_buffer()) // 4 for raw in table.column("pos")]
+        n = np.repeat(table.column("n").to_numpy(), each)
+        order = np.lexsort((ths, ids))
+        ids, ths, x, owner, owner_th, y, n = (v[order] for v in (ids, ths, *more, n))
+        begins = np.append(np.flatnonzero(firsts(ids, ths)), len(ids))
+        cuts = np.unique(np.append(np.searchsorted(begins, np.arange(0, len(ids), TAKEN)), len(begins) - 1))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            some = slice(begins[a], begins[b])
+            times = np.where(n[some] > 0, -(-n[some] // STEP) + 1, 1)
+            row = np.repeat(np.arange(begins[a], begins[b]), times)
+            on = np.minimum((np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)) * STEP, n[row])
+            of = [owner[row], owner_th[row], (x[row] + on).astype(np.int32), (y[row] + on).astype(np.int32)]
+            to = np.append(0, np.cumsum(times))[begins[a : b + 1] - begins[a]].tolist()
+            rows = [(int(ids[t]), int(ths[t]), *(planes(v[p:q]) for v in of)) for t, p, q in zip(begins[a:b], to, to[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), [pa.int64(), pa.int32()] + [pa.binary()] * 4)], TEXT_MATCHES)
 
 
 class Fenwick:
@@ -342,23 +390,14 @@ def nested(values: np.ndarray, inner: np.ndarray, outer: np.ndarray) -> pa.Array
 
 def matches_of(table: pa.Table) -> list[np.ndarray]:
     """doc_id, th, owner_id, owner_th, pos and owner_pos of every match, sorted, none twice."""
-    lone = table.filter(table.column("owners").is_null())
-    packed_rows = table.filter(table.column("owners").is_valid())
-    out = []
+    held, out = [], []
     for name, kind in (("owners", np.int64), ("owner_ths", np.int32), ("pos", np.int32), ("owner_pos", np.int32)):
-        given = [numbers(raw.as_buffer(), kind) for raw in packed_rows.column(name)]
-        held = np.array([len(v) for v in given], np.int64)
+        given = [numbers(raw.as_buffer(), kind) for raw in table.column(name)]
+        held = [len(v) for v in given]
         out.append(np.concatenate([np.zeros(0, kind), *given]))
-    keys = [np.repeat(packed_rows.column(k).to_numpy(), held) for k in MATCH_KEYS[:2]]
-    ids, ths, owner, owner_th, x, y = (np.concatenate([v, lone.column(k).to_numpy()]) for v, k in zip(
-        [*keys, *out], [*MATCH_KEYS, "at", "owner_at"]))
-    # A window's match, n words on to its last seed, is one of each STEP-th of its seeds and of its last.
-    n = np.concatenate([np.zeros(len(out[0]), np.int64), lone.column("n").to_numpy().astype(np.int64)])
-    times = np.where(n > 0, -(-n // STEP) + 1, 1)
-    row = np.repeat(np.arange(len(n)), times)
-    on = np.minimum((np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)) * STEP, n[row])
-    x, y = x[row].astype(np.int64) + on, y[row].astype(np.int64) + on
-    keys = [v[row] for v in (ids, ths, owner, owner_th)]
+    owner, owner_th, x, y = out
+    keys = [*(np.repeat(table.column(k).to_numpy(), held) for k in MATCH_KEYS[:2]), owner, owner_th]
+    x, y = x.astype(np.int64), y.astype(np.int64)
     order = np.lexsort((y, x, *keys[::-1]))
     every = [v[order] for v in (*keys, x, y)]
     once = firsts(*every)  # a window's matches repeat those of its seeds
@@ -642,28 +681,21 @@ def bucket_bits(own: DataFrame) -> int:
 
 def find(docs: DataFrame, bench: Bench, doc_id: str, text: str, min_words: int, identity: float) -> DataFrame:
     own, tasks = with_key(docs, bench, doc_id, text), partitions(docs)
-    bits = bucket_bits(ids_and_texts(docs, doc_id, text))
+    bits, parts = bucket_bits(ids_and_texts(docs, doc_id, text)), 4 * tasks
+    window_bits = max(bits - (WINDOW_BUCKETS.bit_length() - 1), BUCKET_BITS[0])
     runs = bench.keep(
         own.mapInArrow(lambda b: seeds(b, bits), PACKED).repartition(tasks, "bucket").sortWithinPartitions("bucket")
-        .mapInArrow(lambda b: shared(b, 4 * tasks), SHARED).repartition(tasks, "part").sortWithinPartitions("part")
-        .mapInArrow(lambda b: runs_of_texts(b, min_words), RUN),
+        .mapInArrow(lambda b: shared(b, parts), SHARED).repartition(tasks, "part").sortWithinPartitions("part")
+        .mapInArrow(lambda b: runs_of_texts(b, min_words, parts, window_bits), RUN),
         "runs",
     )
-    windows = runs.where("seed IS NOT NULL").select("seed", "doc_id", "th", F.col("at").alias("pos"))
-    owners = (
-        windows.groupBy("seed")
-        .agg(F.min(F.struct("doc_id", "th", "pos")).alias("o"), F.max(F.struct("doc_id", "th")).alias("last"))
-        .where((F.col("o.doc_id") != F.col("last.doc_id")) | (F.col("o.th") != F.col("last.th")))
-        .select("seed", F.col("o.doc_id").alias("owner_id"), F.col("o.th").alias("owner_th"), F.col("o.pos").alias("owner_pos"))
-    )
-    whole = (
-        windows.join(owners, "seed").where((F.col("doc_id") != F.col("owner_id")) | (F.col("th") != F.col("owner_th")))
-        .select(*MATCH_KEYS, F.col("pos").alias("at"), F.col("owner_pos").alias("owner_at"), F.lit(max(min_words - K, 0)).alias("n"))
-    )
-    matches = runs.where("seed IS NULL").drop("seed", "at").unionByName(whole, allowMissingColumns=True)
+    windows = runs.where("windows IS NOT NULL").select("part", "ids", "ths", "held", "pos", "windows")
+    whole = windows.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(lambda b: first_holders(b, parts), MATCHES)
+    of_seeds = runs.where("windows IS NULL").drop("windows")
+    matches = of_seeds.withColumn("n", F.lit(0)).unionByName(whole.withColumn("n", F.lit(max(min_words - K, 0))))
     chained = bench.keep(
-        matches.repartition(tasks, "doc_id", "th").sortWithinPartitions("doc_id", "th")
-        .mapInArrow(lambda b: chain_matches(b, min_words, identity), CHAINS),
+        matches.repartition(tasks, "part").sortWithinPartitions("part")
+        .mapInArrow(lambda b: chain_matches(texts_of_parts(b), min_words, identity), CHAINS),
         "chained",
     )
     bench.drop("runs")

@@ -271,3 +271,24 @@ def test_only_chains_without_hope_are_left_out():
         i, j = sd.equal_words(a, b, np.array(xs), np.array(xs), (*bounds, *bounds))
         assert not sd.parts(i, j, 50, 0.8)
     assert left_out > 50
+
+
+def test_windows_are_matched_as_packed_numbers():
+    """Later texts' windows go to the first text that holds them, in one row for each part of the documents however many hold one."""
+    rng = np.random.default_rng(12)
+    ids, pos = np.repeat(np.arange(300), 4), np.tile(np.arange(0, 8, 2, dtype=np.int32), 300)
+    window = rng.choice(np.array([5, 6, 7, 8, 2**63 + 1], np.uint64), len(ids), p=[0.7, 0.2, 0.05, 0.04, 0.01])
+    row = sd.pack(np.zeros(len(ids), np.int32), np.arange(300), np.zeros(300, np.int32), ids, [(pos, None), (window, None)])
+    given = sd.packed(row, "part int, ids binary, ths binary, held binary, pos binary, windows binary")
+    out = list(sd.first_holders(iter([given]), 3))
+    assert sum(b.num_rows for b in out) == 3
+    got = set()
+    for batch in out:
+        batch = batch.append_column("n", __import__("pyarrow").array([0] * batch.num_rows, "int32"))
+        for texts in sd.texts_of_parts(iter([batch])):
+            got |= set(zip(*(v.tolist() for v in sd.matches_of(__import__("pyarrow").Table.from_batches([texts])))))
+    first = {}
+    for i, p, w in zip(ids.tolist(), pos.tolist(), window.tolist()):
+        first.setdefault(w, (i, p))
+    want = {(i, 0, first[w][0], 0, p, first[w][1]) for i, p, w in zip(ids.tolist(), pos.tolist(), window.tolist()) if i != first[w][0]}
+    assert got == want
