@@ -25,6 +25,7 @@ FRAGMENT_SHARE = 0.05  # share of a region a piece must hold
 WHOLE_SHARE = 0.9      # a single detection covering this much is not a split
 
 CELL = 512.0
+TILE_CELL = 2048.0      # of documents: a tile that spans cells is sent once for each
 
 
 def _to_cells(df: DataFrame, b: g.Box, cell: float) -> DataFrame:
@@ -266,14 +267,14 @@ def fragments(regions: DataFrame, detections: DataFrame) -> DataFrame:
     )
 
 
-def tiles_touched(tiles: DataFrame, drawn: DataFrame, on: Sequence[str], cell: float = CELL) -> DataFrame:
+def tiles_touched(tiles: DataFrame, drawn: DataFrame, on: Sequence[str], cell: float = TILE_CELL) -> DataFrame:
     """Tiles with strictly positive overlap with a drawn rectangle of the same document."""
     return overlap_join(tiles, drawn, on=on, cell=cell)
 
 
 def owner_of(
     tiles: DataFrame, drawn: DataFrame, on: Sequence[str], drawn_key: Sequence[str],
-    tile_order: Sequence[str], cell: float = CELL,
+    tile_order: Sequence[str], cell: float = TILE_CELL,
 ) -> DataFrame:
     """Per drawn rectangle the tile holding most of it, the first in order on ties; none at zero overlap."""
     area = g.intersection(g.box(), g.box("d"))
