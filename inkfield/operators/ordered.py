@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from inkfield.functions import geometry as g
 
@@ -68,6 +68,21 @@ def ordered_scan(
     )
 
 
+def unnulled(df: DataFrame, parts: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """Columns without nulls that are equal where the given ones are, null to null.
+
+    A join on them keeps the layout of a window by them; a null-safe join on the
+    given ones would send all rows again. Parts of other types than numbers and
+    strings are left as they are, with none in return.
+    """
+    kinds = [df.schema[p].dataType for p in parts]
+    if not all(isinstance(k, (T.NumericType, T.StringType)) for k in kinds):
+        return df, []
+    blank = {f"_key_{p}": F.coalesce(p, F.lit("" if isinstance(k, T.StringType) else 0).cast(k)) for p, k in zip(parts, kinds)}
+    nulls = sum((F.col(p).isNull().cast("int") * 2**n for n, p in enumerate(parts)), F.lit(0))
+    return df.withColumns({**blank, "_nulls": nulls}), [*blank, "_nulls"]
+
+
 def islands(
     df: DataFrame,
     keys: Sequence[str],
@@ -86,13 +101,13 @@ def islands(
     ranks together.
     """
     parts = [*keys, "_bucket"]
-    along = W.partitionBy(*parts).orderBy(*order)
+    bucketed, plain = unnulled(df.withColumn("_bucket", bucket), parts)
+    along = W.partitionBy(*(plain or parts)).orderBy(*order)
     so_far = along.rowsBetween(W.unboundedPreceding, 0)
     whole = along.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     started = F.coalesce(opens, F.lit(False)).cast("long")
     local = (
-        df.withColumn("_bucket", bucket)
-        .select(
+        bucketed.select(
             "*", F.row_number().over(along).alias("_place"),
             *(F.lag(c).over(along).alias(o) for o, c in lag.items()),
         )
@@ -109,15 +124,16 @@ def islands(
         first_rows.withColumns({o: F.lag(f"_end_{o}").over(across) for o in lag})
         .withColumn("_first", started)
         .select(
-            *(F.col(p).alias(f"_at_{p}") for p in parts),
+            *(F.col(p).alias(f"_at_{p}") for p in plain or parts),
             *(F.col(o).alias(f"_carried_{o}") for o in lag),
             (F.coalesce(F.sum(F.col("_total") + F.col("_first")).over(earlier), F.lit(0)) + F.col("_first")).alias("_run_base"),
             F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_rank_base"),
         )
     )
     same = F.lit(True)
-    for part in parts:
-        same = same & F.col(part).eqNullSafe(F.col(f"_at_{part}"))
+    for part in plain or parts:
+        here, there = F.col(part), F.col(f"_at_{part}")
+        same = same & (here == there if plain else here.eqNullSafe(there))
     ranked = [(F.col("_place") + F.col("_rank_base")).alias(rank)] if rank else []
     return local.join(carry, same).select(
         *df.columns,

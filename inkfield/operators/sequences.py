@@ -28,15 +28,24 @@ def strips(tiles: DataFrame, bucket_height: float = 4096.0) -> DataFrame:
     """
     t = EDGE_TOLERANCE
     step = 4.0
-    columns = (
-        tiles.where("w > 0 AND h > 0").select("doc_id", F.col("x").alias("kx"), F.col("w").alias("kw")).distinct()
+    alike = (F.abs(F.col("x") - F.col("kx")) <= t) & (F.abs(F.col("w") - F.col("kw")) <= t)
+    held = tiles.where("h > 0").groupBy("doc_id", "x", "w").agg(F.count(F.lit(1)).alias("_held"))
+    spots = (
+        held.where("w > 0").select("doc_id", F.col("x").alias("kx"), F.col("w").alias("kw"))
         .withColumn("_cell", F.explode(F.sequence(F.floor((F.col("kx") - t) / step), F.floor((F.col("kx") + t) / step))))
     )
+    # A column of fewer tiles has no run: its tiles are not sent.
+    long = (
+        spots.join(held.withColumn("_cell", F.floor(F.col("x") / step)), ["doc_id", "_cell"]).where(alike)
+        .groupBy("doc_id", "kx", "kw").agg(F.sum("_held").alias("_tiles")).where(F.col("_tiles") >= MIN_TILES)
+    )
+    columns = long.select("doc_id", "kx", "kw").withColumn(
+        "_cell", F.explode(F.sequence(F.floor((F.col("kx") - t) / step), F.floor((F.col("kx") + t) / step))))
     placed = (
         tiles.where("h > 0").withColumn("_cell", F.floor(F.col("x") / step))
         .join(columns, ["doc_id", "_cell"])
-        .where((F.abs(F.col("x") - F.col("kx")) <= t) & (F.abs(F.col("w") - F.col("kw")) <= t))
-        .select("doc_id", "kx", "kw", "tile_id", "x", "y", "w", "h", (F.col("y") + F.col("h")).alias("bottom"))
+        .where(alike)
+        .select("doc_id", "kx", "kw", "tile_id", ((F.col("x") == F.col("kx")) & (F.col("w") == F.col("kw"))).alias("own"), "y", (F.col("y") + F.col("h")).alias("bottom"))
     )
     keys, order = ["doc_id", "kx", "kw"], ["y", "tile_id"]
     bucket = F.floor(F.col("y") / bucket_height)
@@ -44,12 +53,13 @@ def strips(tiles: DataFrame, bucket_height: float = 4096.0) -> DataFrame:
         placed, keys, order, bucket, lag={"above": "bottom"},
         opens=F.col("above").isNull() | (F.abs(F.col("y") - F.col("above")) > t), island="run", rank="place",
     )
-    extents = runs.groupBy(*keys, "run").agg(
-        F.count(F.lit(1)).alias("tiles"), F.min("place").alias("first_place"), F.min("y").alias("top"),
-        F.max_by("bottom", "place").alias("last_bottom"),
-    ).where(F.col("tiles") >= MIN_TILES)
-    own = runs.where("x = kx AND w = kw")
-    return own.join(extents, [*keys, "run"]).select(
+    # Windows in place of a join with the runs' extents, which would make all runs twice.
+    run = W.partitionBy(*keys, "run")
+    extents = runs.withColumns({
+        "tiles": F.count(F.lit(1)).over(run), "first_place": F.min("place").over(run), "top": F.min("y").over(run),
+        "last_bottom": F.max_by("bottom", "place").over(run),
+    })
+    return extents.where(F.col("own") & (F.col("tiles") >= MIN_TILES)).select(
         "tile_id", "doc_id", "tiles", (F.col("place") - F.col("first_place")).alias("position"),
         (F.col("last_bottom") - F.col("top")).alias("height"),
     )
