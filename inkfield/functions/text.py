@@ -1,13 +1,14 @@
-"""Text clean-up as column expressions; the one thing Spark lacks, NFKC, is an Arrow UDF."""
+"""Text clean-up as column expressions; NFKC, which Spark lacks, and edit distances are Arrow UDFs."""
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import IntegerType, StringType
 
 from inkfield.functions.arrays import bind
 
@@ -19,7 +20,7 @@ BLANKS = r"\t-\r\x1c-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x
 BLANK = f"[{BLANKS}]"
 BLANK_SIGNS = "".join(map(chr, [
     *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
-LOOSE_DROPPED = f"[.．…・♪❤♥♡{BLANKS}]"
+LOOSE_DROPPED = re.compile("[.．…・♪❤♥♡" + re.escape(BLANK_SIGNS) + "]+")
 REPLY_LABEL = f"(?i)^{BLANK}*(?:english|translation|translated(?:{BLANK}+text)?|answer|output){BLANK}*[:：-]{BLANK}*"
 QUOTE_PAIRS = [('"', '"'), ("'", "'"), ("「", "」"), ("『", "』"), ("“", "”"), ("‘", "’")]
 SOURCE_NAMES = {"ja": ("Japanese", "romaji"), "zh": ("Chinese", "pinyin"), "ko": ("Korean", "romanization")}
@@ -49,14 +50,48 @@ def post_process(text: Column) -> Column:
     return F.translate(dotted, ASCII_VISIBLE, FULL_WIDTH)
 
 
-@F.pandas_udf(StringType())
-def nfkc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+def edit_distance(a: str, b: str) -> int:
+    """Characters put in, left out or replaced; 0 for equal texts alone.
+
+    A text that is the other without some characters needs those alone. Else what
+    both begin and end with is left out, and a column of the table is two whole
+    numbers, the bits of its steps up and down (Myers 1999, Hyyro 2003).
+    """
+    if a == b:
+        return 0
+    a, b = (a, b) if len(a) <= len(b) else (b, a)
+    rest = iter(b)
+    if all(c in rest for c in a):
+        return len(b) - len(a)
+    head = next(n for n, c in enumerate(a) if c != b[n])
+    tail = next(n for n in range(len(a) - head + 1) if n == len(a) - head or a[-1 - n] != b[-1 - n])
+    a, b = a[head : len(a) - tail], b[head : len(b) - tail]
+    places: dict[str, int] = {}
+    for n, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << n
+    every, last, distance = (1 << len(a)) - 1, max(len(a) - 1, 0), len(a)
+    up, down = every, 0
+    for c in b:
+        same = places.get(c, 0)
+        level = (((same & up) + up) ^ up) | same | down
+        more, less = down | ((level | up) & every ^ every), level & up
+        distance += (more >> last & 1) - (less >> last & 1)
+        more, less = more << 1 | 1, less << 1
+        up, down = (less | (level | more) & every ^ every) & every, more & level & every
+    return distance
+
+
+@F.pandas_udf(IntegerType())
+def edits(one: pd.Series, other: pd.Series) -> pd.Series:
+    """``edit_distance`` row by row; null if either is."""
+    found = [None if a is None or b is None else edit_distance(a, b) for a, b in zip(one, other)]
+    return pd.Series(found, dtype="Int32")
 
 
-def loose(text: Column) -> Column:
+@F.pandas_udf(StringType())
+def loose(texts: pd.Series) -> pd.Series:
     """Text for a forgiving comparison: widths folded, then dots, hearts, notes and spaces dropped."""
-    return F.regexp_replace(nfkc(text), LOOSE_DROPPED, "")
+    return texts.map(lambda t: None if t is None else LOOSE_DROPPED.sub("", unicodedata.normalize("NFKC", t)))
 
 
 def clean_reply(text: Column) -> Column:

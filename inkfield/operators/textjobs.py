@@ -19,11 +19,10 @@ NUMBERED = f"^{tx.BLANK}*(\\d{{1,9}}){tx.BLANK}*[.):：]{tx.BLANK}*(.*)$"
 
 def character_error(readings: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Exact count and character error rate of ``got`` against ``want``, by slice; empty slices do not show."""
-    errors = F.when(F.col("got") == F.col("want"), 0).otherwise(F.levenshtein("got", "want"))
-    return readings.groupBy(*by).agg(
+    return readings.withColumn("_edits", tx.edits("got", "want")).groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
-        F.count_if(F.col("got") == F.col("want")).alias("exact"),
-        F.sum(errors).cast("long").alias("errors"),
+        F.count_if(F.col("_edits") == 0).alias("exact"),
+        F.sum("_edits").cast("long").alias("errors"),
         F.sum(F.length("want")).alias("characters"),
     ).withColumn("error_rate", F.try_divide("errors", "characters"))  # null where nothing was wanted
 
