@@ -57,37 +57,16 @@ def latest_keys_stream(touches: DataFrame) -> DataFrame:
     )
 
 
-def rebuild_stream(states: DataFrame, delay: str) -> DataFrame:
-    """Whether each settings event rebuilds the translator, against the user's event before it.
+def settled_stream(rows: DataFrame, key: str, delay: str) -> DataFrame:
+    """Rows given out once the watermark has passed their millisecond, so a batch's rows are all later than those of the batches before.
 
-    Rows carry ``at, at_us, event_id`` and the settings. They are held until the
-    watermark has passed them, so their order is that of event time however they
-    arrive; the state is one user's rows of the last ``delay``.
+    Native windows of a millisecond hold them; no group calls Python, and the
+    state is the rows of the last ``delay``. Rows that are there twice stay two.
     """
-    fields = ["provider", "api_key", "source", "target"]
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        known, before, *held = state.get if state.exists else (False, [None] * len(fields), [], [], *([] for _ in fields))
-        rows = list(zip(*held))
-        for frame in frames:
-            rows += zip(*(frame[c].tolist() for c in ["at_us", "event_id", *fields]))
-        rows.sort(key=lambda r: r[:2])
-        passed = state.getCurrentWatermarkMs()
-        out, before = [], tuple(before)
-        while rows and rows[0][0] // 1000 <= passed:
-            _, event, *now = rows.pop(0)
-            out.append((event, key[0], known and tuple(now) != before))
-            known, before = True, tuple(now)
-        columns = [list(c) for c in zip(*rows)] or [[] for _ in range(2 + len(fields))]
-        state.update((known, list(before), *columns))
-        if rows:
-            state.setTimeoutTimestamp(max(passed + 1, rows[0][0] // 1000))
-        yield pd.DataFrame(out, columns=["event_id", "user_id", "rebuild"])
-
-    held = "".join(f", {f}_held ARRAY<STRING>" for f in fields)
-    return states.withWatermark("at", delay).groupBy("user_id").applyInPandasWithState(
-        step, "event_id LONG, user_id LONG, rebuild BOOLEAN",
-        f"known BOOLEAN, before ARRAY<STRING>, at ARRAY<LONG>, event ARRAY<LONG>{held}", "append", GroupStateTimeout.EventTimeTimeout,
+    return (
+        rows.withWatermark("at", delay).groupBy(key, F.window("at", "1 millisecond").alias("_span"))
+        .agg(F.collect_list(F.struct(*(c for c in rows.columns if c not in (key, "at")))).alias("_rows"))
+        .select(key, F.inline("_rows"))
     )
 
 
