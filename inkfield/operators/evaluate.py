@@ -136,17 +136,29 @@ def step_of(score: Column, thresholds: Sequence[float] = THRESHOLDS) -> Column:
 
 
 def _region_steps(regions: DataFrame, detections: DataFrame) -> DataFrame:
-    """Changes of each region's state as the threshold falls, per (region box, model, step).
+    """Changes of each region's state as the threshold falls, per (region box, model, step)."""
+    return _pair_steps(sp.measured_pairs(regions, detections, ["model", "step"]))
+
+
+def _pair_steps(measured: DataFrame, labels: Sequence[str] = ()) -> DataFrame:
+    """The same from the measured pairs, per labels of the region too.
 
     A detection with step s counts at thresholds 1..s, so going down from the
-    highest step each region gains detections. Pairs are dealt by region box
-    once; the windows below run over at most one row per threshold.
+    highest step each region gains detections; those of step 0 come last and
+    say nothing of the steps above. Pairs are dealt by region box once, with
+    what the steps ask of a measure in place of the measure; the windows below
+    run over at most one row per threshold.
     """
-    keys = ["_box", *sp.REGION_KEY, "model"]
+    keys = ["_box", *sp.REGION_KEY, *labels, "model"]
     # Rectangles reached so far: where at every step one of them is the hull of all, its cells are their union and no column is enumerated.
     until = W.partitionBy(*keys).orderBy(F.desc("step")).rangeBetween(W.unboundedPreceding, W.currentRow)
     cells, real = sp.rect_cells(), sp.rect_cells() > 0
-    pairs = sp.laid_out(sp.measured_pairs(regions, detections, ["model", "step"]).where("step > 0")).select(
+    asked = measured.select(
+        *keys[1:], "step", "c0", "c1", "r0", "r1",
+        (F.col("iou") >= sp.IOU_HIT).alias("iou_hit"), (F.col("region_inside") >= sp.WHOLE_SHARE).alias("whole"),
+        F.when(F.col("piece") > sp.FRAGMENT_SHARE, F.col("copies")).otherwise(0).alias("pieces"),
+    )
+    pairs = sp.laid_out(asked).select(
         "*", F.max(cells).over(until).alias("largest"),
         *(f(F.when(real, F.col(c))).over(until).alias(f"hull_{c}") for f, c in ((F.min, "c0"), (F.max, "c1"), (F.min, "r0"), (F.max, "r1"))),
     ).withColumn("several", F.max(F.coalesce(sp.rect_cells("hull_"), F.lit(0)) != F.col("largest")).over(W.partitionBy(*keys)))
@@ -158,9 +170,9 @@ def _region_steps(regions: DataFrame, detections: DataFrame) -> DataFrame:
         sp.with_columns_of(pairs, F.col("several"))
         .groupBy(*keys, "col", "step")
         .agg(
-            F.max((F.col("iou") >= sp.IOU_HIT).cast("int")).alias("iou_hit"),
-            F.max((F.col("region_inside") >= sp.WHOLE_SHARE).cast("int")).alias("whole"),
-            F.sum(F.when(F.col("piece") > sp.FRAGMENT_SHARE, F.col("copies")).otherwise(0)).alias("pieces"),
+            F.max(F.col("iou_hit").cast("int")).alias("iou_hit"),
+            F.max(F.col("whole").cast("int")).alias("whole"),
+            F.sum("pieces").alias("pieces"),
             F.max("largest").alias("largest"), F.max("several").alias("several"),
             *sp.column_unions(),
         )
@@ -192,39 +204,50 @@ def _region_steps(regions: DataFrame, detections: DataFrame) -> DataFrame:
     )
 
 
+def _near_counts(pairs: DataFrame) -> DataFrame:
+    """Detections that are not spurious per model and step.
+
+    The digest of the whole pair is true of every row: with it this reading of
+    the pairs has the columns of the other one, and the boxes are dealt once for both.
+    """
+    whole = F.xxhash64(*pairs.columns[: pairs.columns.index("iou")]) <= (1 << 63) - 1
+    return (
+        pairs.groupBy("page_id", *sp.DETECTION_BOX, "model", "step", "copies")
+        .agg(F.max(sp.near_boxes(g.box(), g.box("d")) & whole).alias("near"))
+        .where("near").groupBy("model", "step").agg(F.sum("copies").alias("near"))
+    )
+
+
 def sweep(regions: DataFrame, detections: DataFrame, thresholds: Sequence[float] = THRESHOLDS) -> DataFrame:
     """Every slice metric at every threshold and model, without a join to the thresholds.
 
     Each region adds its change of state at the step it happens; the value at a
     threshold is the sum of all changes at that step or above. Detection and
-    spurious counts accumulate the same way.
+    spurious counts accumulate the same way. Boxes are joined once: regions'
+    states and the detections near a region are two readings of the pairs.
     """
     scored = detections.withColumn("step", step_of(F.col("score"), thresholds))
-    labelled = sp.collapse(regions, [*sp.REGION_KEY, "kind", "dark"], "n")
     values = ["coverage", "hits", "iou_hits", "fragmented", "true_split"]
     n = F.col("n")
+    pairs = sp.measured_pairs(regions, scored, ["model", "step"], ["kind", "dark"])
     changes = (
-        sp.join_boxes(labelled, _region_steps(regions, scored), "inner")
+        _pair_steps(pairs, ["kind", "dark", "n"])
         .groupBy("model", "kind", "dark", "step")
         .agg(*(F.sum(F.col(v) * n).alias(v) for v in values))
     )
     in_slices = F.explode(F.array(F.lit("all"), F.col("kind"), background(F.col("dark")))).alias("slice")
     sized = (
-        labelled.groupBy("kind", "dark").agg(F.sum("n").alias("n"))
+        sp.collapse(regions, ["kind", "dark"], "n")
         .select("n", in_slices).groupBy("slice").agg(F.sum("n").alias("n"))
     )
     by_slice = (
         changes.select("model", "step", *values, in_slices)
         .groupBy("model", "slice", "step").agg(*(F.sum(v).alias(v) for v in values))
     )
-    copies = F.col("copies")
     counts = (
-        sp.detection_flags(regions, scored, ["model", "step"])
-        .groupBy("model", "step")
-        .agg(
-            F.sum(copies).alias("detections"),
-            F.sum(F.when(F.col("spurious"), copies).otherwise(0)).alias("spurious"),
-        )
+        sp.collapse(scored, ["model", "step"], "detections")
+        .join(_near_counts(pairs), ["model", "step"], "left")
+        .select("model", "step", "detections", (F.col("detections") - F.coalesce("near", F.lit(0))).alias("spurious"))
     )
     # models x slices x thresholds: bounded by the model count, never by the rows.
     slices = F.explode(F.array(*(F.lit(name) for name in SWEEP_SLICES))).alias("slice")

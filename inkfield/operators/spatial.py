@@ -66,16 +66,20 @@ def collapse(df: DataFrame, columns: Sequence[str], count: str) -> DataFrame:
     return df.groupBy(*columns).agg(F.count(F.lit(1)).alias(count))
 
 
-def measured_pairs(regions: DataFrame, detections: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
-    """Distinct region boxes joined to distinct detection boxes, with every pair measure."""
-    boxes = regions.select(*REGION_KEY).distinct()
+def measured_pairs(regions: DataFrame, detections: DataFrame, extra: Sequence[str] = (), labels: Sequence[str] = ()) -> DataFrame:
+    """Distinct region boxes joined to distinct detection boxes, with every pair measure.
+
+    With ``labels`` a region box comes once for each of its labels, with their count ``n``.
+    """
+    boxes = collapse(regions, [*REGION_KEY, *labels], "n") if labels else regions.select(*REGION_KEY).distinct()
     found = collapse(detections, ["page_id", *DETECTION_BOX, *extra], "copies")
     region, det = g.box(), g.box("d")
     shared = g.intersection(det, region)
     c0, c1 = g.sample_range(region.x, region.w, det.x, det.right)
     r0, r1 = g.sample_range(region.y, region.h, det.y, det.bottom)
     return overlap_join(boxes, found).select(
-        *REGION_KEY,
+        *boxes.columns,
+        *DETECTION_BOX,
         *extra,
         "copies",
         g.iou(det, region).alias("iou"),
@@ -86,6 +90,11 @@ def measured_pairs(regions: DataFrame, detections: DataFrame, extra: Sequence[st
     )
 
 
+def near_boxes(region: g.Box, det: g.Box) -> Column:
+    """Whether either box has PRECISION_HIT of it in the other: the detection is not spurious."""
+    return (g.encloses(det, region) >= PRECISION_HIT) | (g.encloses(region, det) >= PRECISION_HIT)
+
+
 def rect_cells(prefix: str = "") -> Column:
     c0, c1, r0, r1 = (F.col(prefix + n) for n in ("c0", "c1", "r0", "r1"))
     return F.when((c1 >= c0) & (r1 >= r0), (c1 - c0 + 1).cast("long") * (r1 - r0 + 1)).otherwise(F.lit(0).cast("long"))
@@ -228,7 +237,7 @@ def detection_flags(regions: DataFrame, detections: DataFrame, extra: Sequence[s
     found = collapse(detections, ["page_id", *DETECTION_BOX, *extra], "copies")
     boxes = found.select("page_id", *DETECTION_BOX).distinct()
     region, det = g.box(), g.box("d")
-    near = (g.encloses(det, region) >= PRECISION_HIT) | (g.encloses(region, det) >= PRECISION_HIT)
+    near = near_boxes(region, det)
     held = F.when(g.encloses(det, region) >= COVER_HIT, F.col("region_copies")).otherwise(0)
     hits = (
         overlap_join(labelled, boxes)

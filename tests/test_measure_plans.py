@@ -47,3 +47,18 @@ def test_sweep_columns_only_where_needed(spark, monkeypatch):
     got = [(r.model, r.step, round(r.coverage * 400)) for r in ev._region_steps(regions, growing.unionByName(crossing)).collect()]
     assert sorted(got) == [("a", 2, 300), ("a", 4, 50), ("a", 9, 50), ("b", 3, 75), ("b", 9, 100)]
     assert {r["model"] for r in seen[0].where("col IS NOT NULL").select("model").distinct().collect()} == {"b"}
+
+
+def test_sweep_deals_its_boxes_once(spark):
+    """Regions' states and the spurious counts read the same shuffles of the boxes; each is written once."""
+    held = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = QUERIES["sweep"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    of_pages = [line for line in plan.splitlines() if "Exchange hashpartitioning(page_id" in line and "ReusedExchange" not in line]
+    assert len(of_pages) <= 5  # regions, detections, both by cell, detections with what is near
+    assert plan.count("ReusedExchange") >= 2
