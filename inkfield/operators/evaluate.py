@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from inkfield.functions import geometry as g
 from inkfield.operators import spatial as sp
-from inkfield.operators.ordered import ordered_scan
+from inkfield.session import spread
 
 # Fixed values the results depend on.
 DARK_SHARE = 0.25
@@ -394,26 +394,54 @@ def parity(left: DataFrame, right: DataFrame, key: Sequence[str], order: Sequenc
     Within a key both sides are put in ``order``, whose first column is a
     number: a key's rows are ranked in stretches of ``extent`` of it. Keys whose
     row counts differ are reported once with both counts and no pairing.
+
+    Both sides are dealt once by key and stretch. A position is the rank there
+    and the rows of the side's earlier stretches, which are counted before the
+    shuffle. A pair whose rows are of one stretch meets where it is; only what
+    differs or is next to an edge goes on to meet by position. Columns of the
+    order behind all that are compared decide between equal values only and are
+    not sent.
     """
-    values = list(tolerances)
+    values, parts, order = list(tolerances), [*key, "_stretch"], list(order)
+    if set(values) <= set(order):
+        order = order[: max(order.index(v) for v in values) + 1]
     counts = (
         left.groupBy(*key).agg(F.count(F.lit(1)).alias("left_rows"))
         .join(right.groupBy(*key).agg(F.count(F.lit(1)).alias("right_rows")), list(key), "full_outer")
         .fillna(0, ["left_rows", "right_rows"])
     )
-    def placed(side: DataFrame, name: str) -> DataFrame:
-        ranked = ordered_scan(side, list(key), list(order), F.floor(F.col(order[0]) / extent), rank="position")
-        return ranked.select(*key, F.col("position").cast("int").alias("position"), *(F.col(v).alias(f"{name}_{v}") for v in values))
-
-    a, b = placed(left, "a"), placed(right, "b")
+    first = F.col(order[0])
+    stretch = F.when(F.isnan(first.cast("double")), 2**63 - 1).otherwise(F.coalesce(F.floor(first / extent), F.lit(-(2**63))))  # as they sort
+
+    def side(rows: DataFrame, second: bool) -> DataFrame:
+        return rows.select(*dict.fromkeys([*key, *order, *values]), stretch.alias("_stretch"), F.lit(second).alias("_second"))
+
+    both = side(left, False).unionByName(side(right, True))
+    second, sides = F.col("_second"), ["_a", "_b"]
+    of_key = W.partitionBy(*key)
+    earlier = of_key.orderBy("_stretch").rowsBetween(W.unboundedPreceding, -1)
+    before = (
+        both.groupBy(*parts).agg(F.count_if(~second).alias("_a"), F.count_if(second).alias("_b"))
+        .select(
+            *parts, *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in sides),
+            (F.sum("_a").over(of_key) == F.sum("_b").over(of_key)).alias("_even"),
+        )
+        .where("_even")
+    )
+    rank = F.row_number().over(W.partitionBy(*parts, "_second").orderBy(*order))
+    placed = spread(both, *parts).withColumn("_rank", rank).join(before, parts).withColumn(
+        "position", (F.col("_rank") + F.when(second, F.col("_b_before")).otherwise(F.col("_a_before"))).cast("int"))
+    met = placed.groupBy(*parts, "position").agg(
+        F.count(F.lit(1)).alias("_met"),
+        *(F.max(F.when(second == is_second, F.col(v))).alias(f"{name}_{v}") for name, is_second in (("a", False), ("b", True)) for v in values),
+    )
     off = F.lit(False)
     for v, tolerance in tolerances.items():
         off = off | (F.abs(F.col(f"a_{v}") - F.col(f"b_{v}")) > tolerance)
-    same_size = counts.where("left_rows = right_rows").select(*key)
     moved = (
-        a.join(b, [*key, "position"])
+        met.where((F.col("_met") < 2) | off)
+        .groupBy(*key, "position").agg(*(F.max(f"{name}_{v}").alias(f"{name}_{v}") for name in "ab" for v in values))
         .where(off)
-        .join(same_size, list(key), "left_semi")
         .select(*key, "position", F.lit("value").alias("reason"))
     )
     uneven = counts.where("left_rows <> right_rows").select(
