@@ -19,6 +19,7 @@ WEAK_CONFIDENCE = -0.5
 PLATE_COVERAGE = 0.73
 SHORT_SIDE, LONG_SIDE = 300, 400
 RETAINED_KEYS = 3
+TARGET_COLUMNS = ["x", "y", "w", "h", "natural_width", "natural_height"]
 
 
 def above_threshold(detections: DataFrame, threshold: float) -> DataFrame:
@@ -242,19 +243,20 @@ def ranked(detections: DataFrame) -> DataFrame:
 
 
 def best_targets(tiles: DataFrame, strips: DataFrame, viewport: tuple[Column, Column, Column, Column]) -> DataFrame:
-    """Per document the image most of the viewport shows: whole images first, then slices of a strip."""
+    """Per document the image most of the viewport shows: whole images first, then slices of a strip.
+
+    ``strips`` have their tiles' columns (``keep`` of ``sequences.strips``), so the tiles are not joined with them.
+    """
     vx, vy, vw, vh = viewport
     b = g.box()
     across = F.greatest(F.lit(0.0), F.least(b.right - vx, vw) - F.greatest(b.x - vx, F.lit(0.0)))
     down = F.greatest(F.lit(0.0), F.least(b.bottom - vy, vh) - F.greatest(b.y - vy, F.lit(0.0)))
     whole = clears_gate(b.w, b.h)
-    in_strip = F.coalesce(clears_gate(b.w, F.col("strip_height")), F.lit(False))
-    rows = (
-        tiles.join(strips.select("tile_id", F.col("height").alias("strip_height")), "tile_id", "left")
-        .where(has_pixels() & (whole | in_strip))
-        .withColumns({"visible_area": across * down, "whole": whole})
-        .where("visible_area > 0")
-    )
+
+    def shown(found: DataFrame, wanted: Column) -> DataFrame:
+        return found.where(has_pixels() & wanted).select("doc_id", "tile_id", (across * down).alias("visible_area"), whole.alias("whole")).where("visible_area > 0")
+
+    rows = shown(tiles, whole).unionByName(shown(strips, ~whole & clears_gate(b.w, F.col("height"))))
     first = F.min_by(
         F.struct("tile_id", "visible_area", "whole"),
         F.struct(~F.col("whole"), -F.col("visible_area"), F.col("tile_id")),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from inkfield.functions import geometry as g
 from inkfield.operators import spatial as sp
-from inkfield.session import spread
+from inkfield.session import same_columns, spread
 
 # Fixed values the results depend on.
 DARK_SHARE = 0.25
@@ -207,10 +207,9 @@ def _pair_steps(measured: DataFrame, labels: Sequence[str] = ()) -> DataFrame:
 def _near_counts(pairs: DataFrame) -> DataFrame:
     """Detections that are not spurious per model and step.
 
-    The digest of the whole pair is true of every row: with it this reading of
-    the pairs has the columns of the other one, and the boxes are dealt once for both.
+    With ``same_columns`` the boxes are dealt once for this reading of the pairs and the other one.
     """
-    whole = F.xxhash64(*pairs.columns[: pairs.columns.index("iou")]) <= (1 << 63) - 1
+    whole = same_columns(pairs.select(*pairs.columns[: pairs.columns.index("iou")]))
     return (
         pairs.groupBy("page_id", *sp.DETECTION_BOX, "model", "step", "copies")
         .agg(F.max(sp.near_boxes(g.box(), g.box("d")) & whole).alias("near"))

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from inkfield.functions import geometry as g
 from inkfield.operators.ordered import islands, ordered_scan
+from inkfield.session import same_columns, spread
 
 # Fixed values the results depend on.
 EDGE_TOLERANCE = 2
 MIN_TILES = 3
+STRIP_CELL = 32  # of left edges; wider than the tolerance, so that few tiles are of two
 INK_ACTIVE, INK_GAP, MIN_CELL = 0.03, 0.045, 0.3
 MAX_REPEATS, MAX_LENGTH = 16, 300
 START_TOKEN, END_TOKEN = 2, 3
@@ -19,49 +22,88 @@ CHUNK_CHARS = 18
 VERTICAL_SHARE = 0.6
 
 
-def strips(tiles: DataFrame, bucket_height: float = 4096.0) -> DataFrame:
+def strips(tiles: DataFrame, bucket_height: float = 4096.0, keep: Sequence[str] = ()) -> DataFrame:
     """Tiles that make up one long picture: at least three on top of each other without a gap, of one width and left edge; each with its place.
 
     A tile's column holds the tiles within the tolerance of *its* left edge and
     width. Tiles of equal left and width share a column, so columns are built
-    per distinct (left, width), not per pair of tiles.
+    per distinct (left, width), not per pair of tiles. ``keep`` are further
+    columns of the tiles to come along.
+
+    Tiles are dealt once, by document, cell of left edges and bucket of heights;
+    one whose columns may be of the next cell goes there too. Runs are found
+    inside a bucket. Only where a document's cell has several buckets are the
+    first and last run of each put together with those of its neighbours.
     """
-    t = EDGE_TOLERANCE
-    step = 4.0
-    alike = (F.abs(F.col("x") - F.col("kx")) <= t) & (F.abs(F.col("w") - F.col("kw")) <= t)
-    held = tiles.where("h > 0").groupBy("doc_id", "x", "w").agg(F.count(F.lit(1)).alias("_held"))
-    spots = (
-        held.where("w > 0").select("doc_id", F.col("x").alias("kx"), F.col("w").alias("kw"))
-        .withColumn("_cell", F.explode(F.sequence(F.floor((F.col("kx") - t) / step), F.floor((F.col("kx") + t) / step))))
-    )
-    # A column of fewer tiles has no run: its tiles are not sent.
-    long = (
-        spots.join(held.withColumn("_cell", F.floor(F.col("x") / step)), ["doc_id", "_cell"]).where(alike)
-        .groupBy("doc_id", "kx", "kw").agg(F.sum("_held").alias("_tiles")).where(F.col("_tiles") >= MIN_TILES)
-    )
-    columns = long.select("doc_id", "kx", "kw").withColumn(
-        "_cell", F.explode(F.sequence(F.floor((F.col("kx") - t) / step), F.floor((F.col("kx") + t) / step))))
-    placed = (
-        tiles.where("h > 0").withColumn("_cell", F.floor(F.col("x") / step))
-        .join(columns, ["doc_id", "_cell"])
-        .where(alike)
-        .select("doc_id", "kx", "kw", "tile_id", ((F.col("x") == F.col("kx")) & (F.col("w") == F.col("kw"))).alias("own"), "y", (F.col("y") + F.col("h")).alias("bottom"))
-    )
-    keys, order = ["doc_id", "kx", "kw"], ["y", "tile_id"]
-    bucket = F.floor(F.col("y") / bucket_height)
-    runs = islands(
-        placed, keys, order, bucket, lag={"above": "bottom"},
-        opens=F.col("above").isNull() | (F.abs(F.col("y") - F.col("above")) > t), island="run", rank="place",
+    t, spot = EDGE_TOLERANCE, ["doc_id", "_cell", "_bucket"]
+
+    def cell(x: Column) -> Column:
+        return F.floor(x / STRIP_CELL)
+
+    placed = tiles.where("h > 0").select(
+        *dict.fromkeys(["doc_id", "tile_id", "x", "y", "w", *keep]), (F.col("y") + F.col("h")).alias("bottom"),
+        F.coalesce(F.floor(F.col("y") / bucket_height), F.lit(-(2**63))).alias("_bucket"),
     )
-    # Windows in place of a join with the runs' extents, which would make all runs twice.
-    run = W.partitionBy(*keys, "run")
-    extents = runs.withColumns({
-        "tiles": F.count(F.lit(1)).over(run), "first_place": F.min("place").over(run), "top": F.min("y").over(run),
+    # The columns of a cell, in each bucket of the cell.
+    own = placed.where("w > 0").select("doc_id", cell(F.col("x")).alias("_cell"), F.col("x").alias("kx"), F.col("w").alias("kw")).distinct()
+    reached = F.explode(F.sequence(cell(F.col("x") - t), cell(F.col("x") + t))).alias("_cell")
+    dealt = spread(placed.select("*", reached), *spot)
+    buckets = placed.select("doc_id", reached, "_bucket").groupBy("doc_id", "_cell").agg(F.collect_set("_bucket").alias("_buckets"))
+    columns = own.join(buckets, ["doc_id", "_cell"]).select(
+        "doc_id", "_cell", "kx", "kw", (F.size("_buckets") > 1).alias("_several"), F.explode("_buckets").alias("_bucket"))
+    alike = (F.abs(F.col("x") - F.col("kx")) <= t) & (F.abs(F.col("w") - F.col("kw")) <= t)
+    column = [*spot, "kx", "kw"]
+    along, run = W.partitionBy(*column).orderBy("y", "tile_id"), W.partitionBy(*column, "_run")
+    parted = F.col("above").isNull() | (F.abs(F.col("y") - F.col("above")) > t)
+    paired = dealt.join(columns, spot).where(alike)
+
+    def in_runs(rows: DataFrame) -> DataFrame:
+        return rows.withColumns({"place": F.row_number().over(along), "above": F.lag("bottom").over(along)}).withColumn(
+            "_run", F.sum(F.when((F.col("place") > 1) & parted, 1).otherwise(0)).over(along.rowsBetween(W.unboundedPreceding, 0)))
+
+    runs = in_runs(paired).withColumns({
+        "tiles": F.count(F.lit(1)).over(run), "_first": F.min("place").over(run), "top": F.min("y").over(run),
         "last_bottom": F.max_by("bottom", "place").over(run),
     })
-    return extents.where(F.col("own") & (F.col("tiles") >= MIN_TILES)).select(
-        "tile_id", "doc_id", "tiles", (F.col("place") - F.col("first_place")).alias("position"),
-        (F.col("last_bottom") - F.col("top")).alias("height"),
+    pieces = _pieces(in_runs(paired.where(F.col("_several") & same_columns(dealt, "kx", "kw"))), column, t)
+    theirs = pieces.withColumnsRenamed({c: f"_of_{c}" for c in pieces.columns})
+    same = functools.reduce(lambda m, c: m & (F.col(c) == F.col(f"_of_{c}")), spot, F.lit(True))
+    for c in ("kx", "kw", "_run"):  # by order: as keys of the join they would have the rows dealt again
+        same = same & (F.col(c) <= F.col(f"_of_{c}")) & (F.col(c) >= F.col(f"_of_{c}"))
+    joined = F.col("_of__run").isNotNull()
+
+    def whole(name: str) -> Column:
+        return F.when(joined, F.col(f"_of_{name}")).otherwise(F.col(name))
+
+    return (
+        runs.where((F.col("x") == F.col("kx")) & (F.col("w") == F.col("kw")))
+        .join(theirs, same, "left")
+        .select(
+            "tile_id", "doc_id", *keep, whole("tiles").alias("tiles"),
+            (F.col("place") - F.col("_first") + F.coalesce("_of_before", F.lit(0))).alias("position"),
+            (whole("last_bottom") - whole("top")).alias("height"),
+        )
+        .where(F.col("tiles") >= MIN_TILES)
+    )
+
+
+def _pieces(rows: DataFrame, column: Sequence[str], tolerance: float) -> DataFrame:
+    """The first and last run of each bucket with the extents of the whole run that each is part of; ``before``: its tiles above."""
+    lowest = F.max("_run").over(W.partitionBy(*column))
+    ends = (
+        rows.withColumn("_last", lowest).where("_run = 0 OR _run = _last")
+        .groupBy(*column, "_run").agg(
+            F.count(F.lit(1)).alias("_n"), F.min("y").alias("_top"), F.min_by("y", "place").alias("_from"), F.max_by("bottom", "place").alias("_to"))
+    )
+    whole = [c for c in column if c != "_bucket"]
+    down = W.partitionBy(*whole).orderBy("_bucket", "_run")
+    opens = (F.col("_run") > 0) | F.col("_above").isNull() | (F.abs(F.col("_from") - F.col("_above")) > tolerance)
+    joined = ends.withColumn("_above", F.lag("_to").over(down)).withColumn("_whole", F.sum(F.when(opens, 1).otherwise(0)).over(down))
+    of = W.partitionBy(*whole, "_whole")
+    return joined.select(
+        *column, "_run", F.sum("_n").over(of).alias("tiles"), F.min("_top").over(of).alias("top"),
+        F.max_by("_to", F.struct("_bucket", "_run")).over(of).alias("last_bottom"),
+        F.sum("_n").over(of.orderBy("_bucket", "_run").rowsBetween(W.unboundedPreceding, -1)).alias("before"),
     )
 
 

@@ -233,7 +233,7 @@ SELECT tile_id, tiles, CAST(position AS BIGINT) AS position, height FROM strips_
 def best_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     tiles = st.tiles(spark, sf_dir)
     viewport = (F.lit(0.0), (100 * (F.col("doc_id") % 3)).cast("double"), F.lit(700.0), F.lit(600.0))
-    return de.best_targets(tiles, sq.strips(tiles), viewport)
+    return de.best_targets(tiles, sq.strips(tiles, keep=de.TARGET_COLUMNS), viewport)
 
 
 SQL["best_targets"] = views(v.STRIPS) + """
