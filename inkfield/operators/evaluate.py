@@ -211,9 +211,9 @@ def _near_counts(pairs: DataFrame) -> DataFrame:
     """
     whole = same_columns(pairs.select(*pairs.columns[: pairs.columns.index("iou")]))
     return (
-        pairs.groupBy("page_id", *sp.DETECTION_BOX, "model", "step", "copies")
-        .agg(F.max(sp.near_boxes(g.box(), g.box("d")) & whole).alias("near"))
-        .where("near").groupBy("model", "step").agg(F.sum("copies").alias("near"))
+        pairs.where(sp.near_boxes(g.box(), g.box("d")) & whole)
+        .select("page_id", *sp.DETECTION_BOX, "model", "step", "copies").distinct()
+        .groupBy("model", "step").agg(F.sum("copies").alias("near"))
     )
 
 
