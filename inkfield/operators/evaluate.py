@@ -163,26 +163,19 @@ def _pair_steps(measured: DataFrame, labels: Sequence[str] = ()) -> DataFrame:
         *(f(F.when(real, F.col(c))).over(until).alias(f"hull_{c}") for f, c in ((F.min, "c0"), (F.max, "c1"), (F.min, "r0"), (F.max, "r1"))),
     ).withColumn("several", F.max(F.coalesce(sp.rect_cells("hull_"), F.lit(0)) != F.col("largest")).over(W.partitionBy(*keys)))
     per_column = W.partitionBy(*keys, "col").orderBy(F.desc("step"))
-    falling = per_column.rowsBetween(W.unboundedPreceding, 0)
+    # Pairs of one step see each other's cells: the first of them has the gain, whichever it is, and no row a column is grouped.
+    falling = per_column.rangeBetween(W.unboundedPreceding, W.currentRow)
     words = [f"m{i}" for i in range(g.MASK_WORDS)]
     measure = F.col("col").isNull()
     flags = (
         sp.with_columns_of(pairs, F.col("several"))
-        .groupBy(*keys, "col", "step")
-        .agg(
-            F.max(F.col("iou_hit").cast("int")).alias("iou_hit"),
-            F.max(F.col("whole").cast("int")).alias("whole"),
-            F.sum("pieces").alias("pieces"),
-            F.max("largest").alias("largest"), F.max("several").alias("several"),
-            *sp.column_unions(),
-        )
         .select(*keys, "col", "step", "iou_hit", "whole", "pieces", "largest", "several", *(F.bit_or(w).over(falling).alias(w) for w in words))
         .withColumn("size", F.when(measure, F.when(F.col("several"), 0).otherwise(F.col("largest"))).otherwise(sp.mask_size()))
         .withColumn("gain", F.col("size") - F.coalesce(F.lag("size").over(per_column), F.lit(0)))
         .groupBy(*keys, "step")
         .agg(
-            *(F.max(F.when(measure, F.col(c))).alias(c) for c in ("iou_hit", "whole", "pieces")),
-            F.sum("gain").alias("gain"),
+            *(F.max(F.when(measure, F.col(c).cast("int"))).alias(c) for c in ("iou_hit", "whole")),
+            F.sum(F.when(measure, F.col("pieces"))).alias("pieces"), F.sum("gain").alias("gain"),
         )
     )
     so_far = W.partitionBy(*keys).orderBy(F.desc("step")).rowsBetween(W.unboundedPreceding, 0)
